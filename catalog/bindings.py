@@ -126,3 +126,42 @@ def ranked_sql(scored: str, score: str, floor: float, name: str = "ranked") -> s
 
 
 QUERIES_SQL = "queries AS (SELECT item_id::VARCHAR AS query_id, text FROM benchmark)"
+
+
+# --- value bindings -------------------------------------------------------------
+
+
+def raw_channel(event_type: Column) -> Column:
+    """Raw channel names that reach every branch of channel coercion."""
+    return (
+        F.when(event_type == "view", F.lit("API_DOCUMENTATION"))
+        .when(event_type == "click", F.lit("chat-widget"))
+        .when(event_type == "signup", F.lit("email_inbound"))
+        .when(event_type == "purchase", F.lit("carrier-pigeon"))
+    )
+
+
+RAW_CHANNEL_SQL = (
+    "CASE event_type WHEN 'view' THEN 'API_DOCUMENTATION' WHEN 'click' THEN 'chat-widget' "
+    "WHEN 'signup' THEN 'email_inbound' WHEN 'purchase' THEN 'carrier-pigeon' END"
+)
+
+
+def taxonomy_at(index: Column) -> Column:
+    return F.element_at(
+        F.array(*[F.lit(n) for n in lx.TAXONOMY]), F.least(index, F.lit(len(lx.TAXONOMY) - 1)).cast("int") + 1
+    )
+
+
+TAXONOMY_SQL = "[" + ", ".join(f"'{n}'" for n in lx.TAXONOMY) + "]"
+
+
+def taxonomy_at_sql(index: str) -> str:
+    return f"{TAXONOMY_SQL}[least({index}, {len(lx.TAXONOMY) - 1})::INT + 1]"
+
+
+def intent_of_source(source: Column) -> Column:
+    return taxonomy_at(F.substring(source, F.lit(4), F.length(source)).cast("int"))
+
+
+INTENT_SQL = taxonomy_at_sql("substr(source, 4)::INT")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from deskloom.operators import lexical as lex
 from deskloom.operators import search as se
+from deskloom.session import cut_lineage
 from deskloom.settings import SearchSettings
 
 STRICT_FLOOR = 0.6
@@ -21,18 +22,17 @@ def corpus_summary(spark, sf_dir):
 
 
 def term_statistics(spark, sf_dir):
-    tokens = lex.chunk_tokens(b.chunks(spark, sf_dir))
-    index = lex.LexicalIndex(lex.postings(tokens), lex.corpus_stats(tokens))
+    index = lex.build_index(b.chunks(spark, sf_dir))
     return (
         index.postings.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
-        .withColumn("idf", F.round(lex.idf(F.col("df"), index.n_chunks), 6))
+        .withColumn("idf", F.round(lex.idf(F.col("df"), F.lit(index.n_chunks)), 6))
     )
 
 
 def bm25_scores(spark, sf_dir):
     chunks = b.chunks(spark, sf_dir)
-    terms = lex.query_terms(b.search_queries(spark, sf_dir))
+    terms = cut_lineage(lex.query_terms(b.search_queries(spark, sf_dir)))
     scored = lex.bm25_scores(terms, lex.build_index(chunks, terms))
     return scored.select("query_id", "doc_ord", "chunk_no", F.round("bm25", 6).alias("bm25"))
 
@@ -41,7 +41,7 @@ def _search(floor):
     def run(spark, sf_dir):
         chunks = b.chunks(spark, sf_dir)
         ranked = se.search_lexical(b.search_queries(spark, sf_dir), chunks, floor=floor)
-        return se.with_passages(ranked, chunks).select(
+        return se.with_passages_from(ranked, b.articles(spark, sf_dir)).select(
             "query_id", "rank", "chunk_id", "doc_id", "title", "text", "score"
         )
 

@@ -8,6 +8,8 @@ from deskloom.functions.scoring import saturate
 from deskloom.functions.text import is_blank
 from deskloom.operators import dense as dn
 from deskloom.operators import lexical as lex
+from deskloom.operators.chunking import chunk_documents
+from deskloom.session import cut_lineage
 from deskloom.settings import SearchSettings
 
 KEY = lex.KEY
@@ -62,7 +64,7 @@ def lexical_candidates(
     queries: DataFrame, chunks: DataFrame, s: SearchSettings, index: lex.LexicalIndex | None,
     depth: int | None,
 ) -> DataFrame:
-    terms = lex.query_terms(queries)
+    terms = cut_lineage(lex.query_terms(queries))
     index = index or lex.build_index(chunks, terms)
     scores = lex.bm25_scores(terms, index, s, depth)
     return scores.select("query_id", *KEY, saturate(F.col("bm25"), s.saturation).alias("lexical"))
@@ -148,6 +150,16 @@ def with_passages(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def with_passages_from(ranked: DataFrame, articles: DataFrame, settings: SearchSettings | None = None):
+    """Like :func:`with_passages`, but chunks only the articles that were found.
+
+    The ranking is a few rows per query and is read twice, so it is written down first.
+    """
+    ranked = cut_lineage(ranked)
+    found = articles.join(ranked.select("doc_ord").distinct(), "doc_ord", "left_semi")
+    return with_passages(ranked, chunk_documents(found, settings))
+
+
 def nest_passages(passages: DataFrame) -> DataFrame:
     """One row per query with an array of at most ``top_k`` passages in rank order."""
     dense_score: Column = (

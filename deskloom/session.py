@@ -24,17 +24,20 @@ def build_session(app: str = "deskloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder, so lost executors cost no recomputation.
-
-    ``spark.checkpoint.dir`` wins. A folder of our own is set only where neither the
-    conf nor the context has one, which is the single-machine case (tests).
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared folder; set one of our own only where none is named (tests)."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="deskloom-ckpt-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so a lost executor costs no recomputation.
+
+    For results that several branches of a plan read.
+    """
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -165,3 +165,135 @@ def intent_of_source(source: Column) -> Column:
 
 
 INTENT_SQL = taxonomy_at_sql("substr(source, 4)::INT")
+
+
+# --- outcomes and tickets from the star schema -------------------------------------
+
+
+def flat_outcomes(spark, sf_dir) -> DataFrame:
+    """events as decided tickets: the type is what happened, the value is the latency."""
+    kind, value = F.col("event_type"), F.col("value")
+    action = (
+        F.when(kind.isin("purchase", "click"), F.lit("answer"))
+        .when(kind == "error", F.lit("blocked"))
+        .otherwise(F.lit("escalate"))
+    )
+    strings = "array<string>"
+    finding = lambda name, hit, blocks: F.struct(
+        F.lit(name).alias("name"), hit.alias("triggered"), (hit & F.lit(blocks)).alias("blocked")
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("ticket_id"),
+        F.col("event_id").alias("ticket_ord"),
+        F.coalesce(
+            F.when(kind == "view", F.lit("docs_comment")).when(kind == "click", F.lit("chat"))
+            .when(kind == "signup", F.lit("email")).when(kind == "purchase", F.lit("forum")),
+            F.lit("unknown"),
+        ).alias("channel"),
+        action.alias("action"),
+        F.when((kind == "error") & (value > 100), F.lit("timeout")).alias("error"),
+        (kind == "signup").alias("degraded"),
+        taxonomy_at(F.dayofmonth("ts") - 1).alias("intent"),
+        F.when(value < 5, F.lit("low")).when(value < 20, F.lit("medium"))
+        .when(value < 60, F.lit("high")).otherwise(F.lit("critical")).alias("urgency"),
+        F.round(F.least(F.lit(1.0), value / 100), 4).alias("confidence"),
+        (kind == "view").alias("calibrated"),
+        F.when(kind != "error", F.round(F.least(F.lit(1.0), value / 50), 4)).alias("grounding_score"),
+        (value / 100).alias("latency_seconds"),
+        F.array().cast(strings).alias("retrieved_docs"),
+        F.array().cast(strings).alias("retrieved_chunks"),
+        F.array().cast(strings).alias("citations"),
+        F.array(
+            finding("private_data", (kind == "error") | ((kind == "click") & (value > 200)), True),
+            finding("unsupported_claims", value > 80, False),
+            finding("prohibited_commitment", F.lit(False), True),
+            finding("injection_leak", (kind == "error") & (value < 1), True),
+        ).alias("findings"),
+        F.when(action != "answer", F.concat(F.lit("see "), kind)).alias("escalation_note"),
+        F.when(action == "answer", F.lit(lx.R8)).when(kind == "error", F.lit(lx.R0))
+        .when(value < 30, F.lit(lx.R5)).otherwise(F.lit(lx.R4)).alias("rule_fired"),
+        F.round(F.least(F.lit(1.0), value / 30), 4).alias("top_score"),
+    )
+
+
+OUTCOMES_SQL = f"""outcomes AS (
+  SELECT user_id::VARCHAR AS ticket_id, event_id AS ticket_ord, event_type AS kind, value,
+    CASE event_type WHEN 'view' THEN 'docs_comment' WHEN 'click' THEN 'chat' WHEN 'signup' THEN 'email'
+      WHEN 'purchase' THEN 'forum' ELSE 'unknown' END AS channel,
+    CASE WHEN event_type IN ('purchase', 'click') THEN 'answer' WHEN event_type = 'error' THEN 'blocked'
+      ELSE 'escalate' END AS action,
+    CASE WHEN event_type = 'error' AND value > 100 THEN 'timeout' END AS error,
+    event_type = 'signup' AS degraded,
+    {taxonomy_at_sql("(day(ts) - 1)")} AS intent,
+    CASE WHEN value < 5 THEN 'low' WHEN value < 20 THEN 'medium' WHEN value < 60 THEN 'high' ELSE 'critical' END AS urgency,
+    round(least(1.0, value / 100), 4) AS confidence,
+    event_type = 'view' AS calibrated,
+    CASE WHEN event_type <> 'error' THEN round(least(1.0, value / 50), 4) END AS grounding_score,
+    value / 100 AS latency_seconds,
+    CASE WHEN event_type NOT IN ('purchase', 'click') THEN 'see ' || event_type END AS escalation_note,
+    CASE WHEN event_type IN ('purchase', 'click') THEN '{lx.R8}' WHEN event_type = 'error' THEN '{lx.R0}'
+      WHEN value < 30 THEN '{lx.R5}' ELSE '{lx.R4}' END AS rule_fired,
+    round(least(1.0, value / 30), 4) AS top_score,
+    (event_type = 'error') OR (event_type = 'click' AND value > 200) AS f_private,
+    value > 80 AS f_unsupported, (event_type = 'error' AND value < 1) AS f_injection
+  FROM events
+)"""
+
+
+def customer_tickets(spark, sf_dir) -> DataFrame:
+    """customer as tickets with a gold label block under alternative names, and a history."""
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    rows = (
+        table(spark, sf_dir, "customer")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    )
+    bal = F.col("c_acctbal")
+    labels = F.map_filter(
+        F.create_map(
+            F.lit("True_Intent"), F.initcap(F.replace(taxonomy_at(F.col("c_nationkey")), F.lit("_"), F.lit(" "))),
+            F.lit("priority"), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("P1"))
+            .when(F.col("c_mktsegment") == "MACHINERY", F.lit("blocker")).otherwise(F.lit("Minor")),
+            F.lit("expected_routing"), F.when(bal < 0, F.lit("Tier2 human"))
+            .when(bal < 8000, F.lit("auto_respond")).otherwise(F.lit("unknown")),
+            F.lit("answerable"), F.when(bal > 2000, F.lit("Yes")).when(bal > 500, F.lit("no")),
+            F.lit("must_not_automate"), F.when(bal < -500, F.lit("true")).otherwise(F.lit("0")),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    history = F.map_filter(
+        F.create_map(
+            F.lit("resolution_minutes"), F.when(bal > 0, F.round(bal / 100, 1).cast("string")),
+            F.lit("first_response_hours"), F.when(bal > -500, F.lit("4.5")),
+            F.lit("first_contact_resolution"), F.when(bal > 1000, F.lit("true")).otherwise(F.lit("false")),
+            F.lit("escalated"), F.when(bal > 4000, F.lit("false")).when(bal > 100, F.lit("true")),
+            F.lit("csat_rating"), F.when(bal > 5000, F.lit("4")).when(bal > 0, F.lit("2.5")).otherwise(F.lit("n/a")),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return rows.select(
+        F.col("c_custkey").cast("string").alias("ticket_id"),
+        F.col("c_custkey").alias("position"),
+        F.col("c_mktsegment").alias("customer_tier"),
+        F.col("r_name").alias("region"),
+        F.when(bal < 0, F.lit("limited")).when(bal < 5000, F.lit("fluent_non_native"))
+        .when(bal < 9000, F.lit("native")).alias("language_fluency"),
+        F.lit("").alias("subject"), F.col("c_name").alias("body"),
+        labels.alias("labels"), history.alias("history"),
+        F.create_map().cast("map<string,string>").alias("extra"),
+    )
+
+
+CUSTOMER_TICKETS_SQL = f"""tickets AS (
+  SELECT c_custkey::VARCHAR AS ticket_id, c_custkey AS position, c_acctbal AS bal, c_name AS body,
+    c_mktsegment AS customer_tier, r_name AS region,
+    CASE WHEN c_acctbal < 0 THEN 'limited' WHEN c_acctbal < 5000 THEN 'fluent_non_native'
+      WHEN c_acctbal < 9000 THEN 'native' END AS language_fluency,
+    {taxonomy_at_sql("c_nationkey")} AS gold_intent,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'high' WHEN 'MACHINERY' THEN 'critical' ELSE 'low' END AS gold_urgency,
+    CASE WHEN c_acctbal < 0 THEN true WHEN c_acctbal < 8000 THEN false END AS gold_escalate,
+    CASE WHEN c_acctbal > 2000 THEN true WHEN c_acctbal > 500 THEN false END AS gold_answerable,
+    c_acctbal < -500 AS gold_must_not
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+)"""

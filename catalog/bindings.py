@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from deskloom import lexicon as lx
+from deskloom.functions.scoring import answerability, prior_for
+from deskloom.functions.text import sql_array
 from deskloom.operators.chunking import chunk_documents
+from deskloom.operators.normalise import normalise_tickets
 from deskloom.session import spread
 
 
@@ -148,9 +151,7 @@ RAW_CHANNEL_SQL = (
 
 
 def taxonomy_at(index: Column) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(n) for n in lx.TAXONOMY]), F.least(index, F.lit(len(lx.TAXONOMY) - 1)).cast("int") + 1
-    )
+    return F.get(F.expr(sql_array(lx.TAXONOMY)), F.least(index, F.lit(len(lx.TAXONOMY) - 1)).cast("int"))
 
 
 TAXONOMY_SQL = "[" + ", ".join(f"'{n}'" for n in lx.TAXONOMY) + "]"
@@ -297,3 +298,156 @@ CUSTOMER_TICKETS_SQL = f"""tickets AS (
     c_acctbal < -500 AS gold_must_not
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 )"""
+
+
+# --- labelled, scored tickets from documents and labels ------------------------------
+
+
+def scored_rows(spark, sf_dir) -> DataFrame:
+    """Labelled documents as scored tickets: source is the intent, language the urgency."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    intent, lang = intent_of_source(F.col("source")), F.col("lang")
+    rows = rows.select(
+        "doc_id", intent.alias("intent"),
+        F.when(lang == "en", F.lit("low")).when(lang == "fr", F.lit("high"))
+        .when(lang == "de", F.lit("critical")).otherwise(F.lit("medium")).alias("urgency"),
+        F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000), 4).alias("score"),
+        F.round(F.least(F.lit(1.0), F.col("n_chars") / 2500), 4).alias("confidence"),
+        (F.col("quality") == 1).alias("answerable"),
+        ((F.col("toxic") == 1) | intent.isin(*lx.NEVER_AUTOMATE)).alias("must_not"),
+        (F.col("toxic") == 0).alias("correct"),
+        F.when(lang == "en", F.lit("dev")).otherwise(F.lit("val")).alias("split"),
+    )
+    policy = (
+        F.col("intent").isin(*lx.NEVER_AUTOMATE)
+        | (F.col("intent").isin(*lx.HIGH_RISK_INTENTS) & F.col("urgency").isin(*lx.HIGH_RISK_URGENCY))
+        | ~F.col("answerable")
+    )
+    prior = prior_for(F.col("intent"))
+    return rows.select(
+        "*",
+        F.when(policy, F.lit("escalate")).otherwise(F.lit("auto_respond")).alias("expected_route"),
+        prior.alias("prior"),
+        answerability(prior, F.col("score")).alias("p"),
+    )
+
+
+_PRIORS_SQL = "CASE intent " + " ".join(
+    f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in lx.INTENT_PRIORS.items()
+) + f" ELSE {lx.BASE_RATE}::DOUBLE END"
+_NEVER_SQL = "(" + ", ".join(f"'{n}'" for n in lx.NEVER_AUTOMATE) + ")"
+_RISKY_SQL = "(" + ", ".join(f"'{n}'" for n in lx.HIGH_RISK_INTENTS) + ")"
+RESERVED_SQL = f"(intent IN {_NEVER_SQL} OR (intent IN {_RISKY_SQL} AND urgency IN ('high', 'critical')))"
+
+
+def probability_sql(prior: str, score: str) -> str:
+    logit = f"ln(least(greatest({prior}, 1e-4), 1 - 1e-4) / (1 - least(greatest({prior}, 1e-4), 1 - 1e-4)))"
+    z = f"({lx.BIAS}::DOUBLE + {lx.WEIGHT_PRIOR}::DOUBLE * {logit} + {lx.WEIGHT_SCORE}::DOUBLE * {score})"
+    return f"round(1 / (1 + exp(-{z})), 4)"
+
+
+SCORED_SQL = f"""base AS (
+  SELECT doc_id, {INTENT_SQL} AS intent,
+    CASE lang WHEN 'en' THEN 'low' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'critical' ELSE 'medium' END AS urgency,
+    round(least(1.0, n_chars / 5000), 4)::DOUBLE AS score, round(least(1.0, n_chars / 2500), 4)::DOUBLE AS confidence,
+    quality = 1 AS answerable, toxic = 1 AS toxic, toxic = 0 AS correct,
+    CASE WHEN lang = 'en' THEN 'dev' ELSE 'val' END AS split
+  FROM documents JOIN labels USING (doc_id)
+),
+priced AS (SELECT *, {_PRIORS_SQL} AS prior, toxic OR intent IN {_NEVER_SQL} AS must_not,
+  CASE WHEN {RESERVED_SQL} OR NOT answerable THEN 'escalate' ELSE 'auto_respond' END AS expected_route FROM base),
+rows AS (SELECT *, {probability_sql("prior", "score")} AS p FROM priced)"""
+
+
+# --- raw tickets from conversations and customers ---------------------------------------
+
+
+def ticket_records(spark, sf_dir) -> DataFrame:
+    """User turns as raw JSON records under alternative field names, in one file order."""
+    turns = spread(table(spark, sf_dir, "conversations")).filter("role = 'user'")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    customers = (
+        table(spark, sf_dir, "customer")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    )
+    rows = turns.join(customers, F.col("conv_id") == F.col("c_custkey"), "left")
+    segment = F.col("c_mktsegment")
+    channel = (
+        F.when(segment == "BUILDING", F.lit("Live Chat"))
+        .when(segment == "MACHINERY", F.lit("chat-widget"))
+        .when(segment == "AUTOMOBILE", F.lit("API_DOCUMENTATION"))
+        .when(segment == "FURNITURE", F.lit("carrier-pigeon"))
+    )
+    number = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    record = F.struct(
+        F.when(F.col("turn") < 4, number).alias("Ticket Number"),
+        channel.alias("source"),
+        F.when(F.col("turn") == 0, F.concat(F.lit("  About   \t"), F.col("c_name"))).alias("headline"),
+        F.col("text").alias("message"),
+        segment.alias("Tier"), F.col("r_name").alias("geo"),
+        F.struct(F.col("n_name").alias("Category"), F.lit(True).alias("answerable")).alias("gold"),
+        F.when(F.col("c_acctbal") < 0, F.lit("overdue")).alias("account_state"),
+    )
+    return rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("position"),
+        F.to_json(record).alias("record_text"),
+        "conv_id", "turn",
+    )
+
+
+RECORDS_SQL = """turns AS (
+  SELECT c.conv_id, c.turn, c.text, u.*, n_name, r_name, conv_id * 1000 + turn AS position,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'Live Chat' WHEN 'MACHINERY' THEN 'chat-widget'
+      WHEN 'AUTOMOBILE' THEN 'API_DOCUMENTATION' WHEN 'FURNITURE' THEN 'carrier-pigeon' END AS raw
+  FROM conversations c LEFT JOIN customer u ON conv_id = c_custkey
+    LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+  WHERE role = 'user'
+)"""
+
+
+def drafted_tickets(spark, sf_dir) -> DataFrame:
+    """Normalised tickets with the two model replies they would have received.
+
+    The drafted reply is the next assistant turn with source markers after its lines (one
+    in ten sources does not exist); the classifier's reply is JSON built from the customer.
+    """
+    tickets = normalise_tickets(ticket_records(spark, sf_dir))
+    turns = table(spark, sf_dir, "conversations")
+    replies = turns.filter("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("position"),
+        F.array_join(
+            F.transform(
+                F.split("text", "\n"),
+                lambda line, i: F.concat(line, F.lit(" [S"), (i + 1).cast("string"), F.lit("]")),
+            ),
+            "\n",
+        ).alias("reply"),
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey"),
+        F.when(
+            F.col("c_acctbal") > 0,
+            F.concat(
+                F.lit("Sure! ```json\n"),
+                F.to_json(
+                    F.struct(
+                        F.initcap(F.replace(taxonomy_at(F.col("c_nationkey")), F.lit("_"), F.lit(" "))).alias("intent"),
+                        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("urgent")).otherwise(F.lit("P2")).alias("urgency"),
+                        F.round(F.col("c_acctbal") / 100, 2).alias("confidence"),
+                        F.array(F.struct(F.lit("onboarding").alias("intent"),
+                                         F.round(F.col("c_acctbal") / 20000, 4).alias("confidence"))).alias("alternatives"),
+                        F.lit("stated").alias("rationale"),
+                    )
+                ),
+                F.lit("\n``` done"),
+            ),
+        ).alias("classifier_reply"),
+    )
+    return (
+        tickets.join(replies, "position", "left")
+        .withColumn("c_custkey", F.floor(F.col("position") / 1000))
+        .join(customers, "c_custkey", "left")
+        .drop("c_custkey")
+    )

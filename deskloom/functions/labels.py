@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from deskloom import lexicon as lx
-from deskloom.functions.text import strip
+from deskloom.functions.text import bind, let, sql_array, sql_list, strip
 
 
 def canonical_key(key: Column) -> Column:
@@ -18,14 +18,13 @@ def _canon(name: str) -> str:
 
 def pick(record: Column, aliases, *, empty=("", "[]", "{}")) -> Column:
     """First entry in record order whose key is an accepted alias and whose value is not empty."""
-    wanted = sorted({_canon(a) for a in aliases})
-    hits = F.filter(
-        F.map_entries(record),
-        lambda e: canonical_key(e["key"]).isin(*wanted)
-        & e["value"].isNotNull()
-        & ~e["value"].isin(*empty),
+    wanted = sql_list(sorted({_canon(a) for a in aliases}))
+    test = F.expr(
+        f"e -> regexp_replace(lower(e.key), '[^a-z0-9]', '') IN ({wanted}) "
+        f"AND e.value NOT IN ({sql_list(empty)})"
     )
-    return F.try_element_at(hits, F.lit(1))["value"]
+    hits = F.call_function("filter", F.map_entries(record), test)
+    return F.get(hits, F.lit(0))["value"]
 
 
 def label(labels: Column, extra: Column, name: str) -> Column:
@@ -33,45 +32,35 @@ def label(labels: Column, extra: Column, name: str) -> Column:
 
     Only underscores are ignored in keys, and an empty value that comes first wins.
     """
-    wanted = sorted({a.lower().replace("_", "") for a in lx.LABEL_ALIASES[name]})
-
-    def first(block: Column) -> Column:
-        return F.try_element_at(
-            F.filter(
-                F.map_entries(block),
-                lambda e: F.replace(F.lower(e["key"]), F.lit("_"), F.lit("")).isin(*wanted),
-            ),
-            F.lit(1),
-        )
-
-    hit, fallback = first(labels), first(extra)
-    return F.when(hit.isNotNull(), hit["value"]).otherwise(fallback["value"])
+    wanted = sql_list(sorted({a.lower().replace("_", "") for a in lx.LABEL_ALIASES[name]}))
+    test = f"e -> replace(lower(e.key), '_', '') IN ({wanted})"
+    return bind(
+        f"nvl(get(filter(map_entries(x.labels), {test}), 0), get(filter(map_entries(x.extra), {test}), 0)).value",
+        labels=labels, extra=extra,
+    )
 
 
 def channel(value: Column) -> Column:
     """struct(channel, warning) for a raw channel name."""
-    key = canonical_key(value)
     by_channel: dict[str, set[str]] = {}
     for name, target in lx.CHANNEL_NAMES:
         by_channel.setdefault(target, set()).add(_canon(name))
-    exact = F.coalesce(
-        *[F.when(key.isin(*sorted(names)), F.lit(target)) for target, names in by_channel.items()]
-    )
-    lowered = F.lower(value)
-    loose = F.coalesce(
-        *[F.when(lowered.contains(name), F.lit(target)) for name, target in lx.CHANNEL_NAMES]
-    )
-    warning = (
-        F.when(value.isNull(), F.lit(lx.WARN_NO_CHANNEL))
-        .when(exact.isNotNull(), F.lit(None).cast("string"))
-        .when(
-            loose.isNotNull(),
-            F.concat(F.lit("channel '"), value, F.lit("' matched loosely to "), loose),
-        )
-        .otherwise(F.concat(F.lit("channel '"), value, F.lit("' not recognised; treated as unknown")))
-    )
+    key = "regexp_replace(lower(x.v), '[^a-z0-9]', '')"
+    exact = "CASE " + " ".join(
+        f"WHEN {key} IN ({sql_list(sorted(names))}) THEN '{t}'" for t, names in by_channel.items()
+    ) + " END"
+    loose = "CASE " + " ".join(
+        f"WHEN contains(lower(x.v), '{name}') THEN '{t}'" for name, t in lx.CHANNEL_NAMES
+    ) + " END"
+    found = let(bind(f"struct({exact} AS exact, {loose} AS loose, x.v AS v)", v=value), lambda c: c)
     return F.struct(
-        F.coalesce(exact, loose, F.lit("unknown")).alias("channel"), warning.alias("warning")
+        F.coalesce(found["exact"], found["loose"], F.lit("unknown")).alias("channel"),
+        bind(
+            f"CASE WHEN x.v IS NULL THEN '{lx.WARN_NO_CHANNEL}' WHEN x.exact IS NOT NULL THEN NULL "
+            "WHEN x.loose IS NOT NULL THEN concat('channel \\'', x.v, '\\' matched loosely to ', x.loose) "
+            "ELSE concat('channel \\'', x.v, '\\' not recognised; treated as unknown') END",
+            v=found["v"], exact=found["exact"], loose=found["loose"],
+        ).alias("warning"),
     )
 
 
@@ -83,18 +72,22 @@ def latency_budget(channel_name: Column) -> Column:
 
 
 def as_bool(value: Column) -> Column:
-    word = F.lower(strip(value))
-    return F.when(word.isin(*lx.TRUE_WORDS), F.lit(True)).when(
-        word.isin(*lx.FALSE_WORDS), F.lit(False)
-    )
+    def read(word: Column) -> Column:
+        return F.when(word.isin(*lx.TRUE_WORDS), F.lit(True)).when(
+            word.isin(*lx.FALSE_WORDS), F.lit(False)
+        )
+
+    return let(F.lower(strip(value)), read)
 
 
 def expected_escalation(value: Column) -> Column:
     """Whether a route label means that a person sees the ticket."""
-    word = F.lower(strip(value))
-    return F.when(word.rlike("|".join(lx.ESCALATE_WORDS)), F.lit(True)).when(
-        word.rlike("|".join(lx.AUTOMATE_WORDS)), F.lit(False)
-    )
+    def read(word: Column) -> Column:
+        return F.when(word.rlike("|".join(lx.ESCALATE_WORDS)), F.lit(True)).when(
+            word.rlike("|".join(lx.AUTOMATE_WORDS)), F.lit(False)
+        )
+
+    return let(F.lower(strip(value)), read)
 
 
 def default_intent(taxonomy=lx.TAXONOMY) -> str:
@@ -103,34 +96,22 @@ def default_intent(taxonomy=lx.TAXONOMY) -> str:
 
 def canonical_intent(value: Column, taxonomy=lx.TAXONOMY) -> Column:
     """Exact, then ignoring underscores, then prefix (shortest), then containment (longest)."""
-    raw = F.replace(F.replace(F.lower(strip(value)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
-    squashed = F.replace(raw, F.lit("_"), F.lit(""))
-    exact = F.when(raw.isin(*taxonomy), raw)
-    loose = F.coalesce(
-        *[F.when(squashed == name.replace("_", ""), F.lit(name)) for name in taxonomy]
-    )
     # Candidates in preference order, so that the first hit is the winner.
-    shortest = sorted(taxonomy, key=len)
-    longest = sorted(taxonomy, key=lambda n: -len(n))
-    prefix = F.coalesce(
-        *[
-            F.when(F.lit(name).startswith(raw) | raw.startswith(F.lit(name)), F.lit(name))
-            for name in shortest
-        ]
-    )
-    inside = F.coalesce(
-        *[
-            F.when(F.lit(name).contains(raw) | raw.contains(F.lit(name)), F.lit(name))
-            for name in longest
-        ]
+    names = sql_array(taxonomy)
+    shortest = sql_array(sorted(taxonomy, key=len))
+    longest = sql_array(sorted(taxonomy, key=lambda n: -len(n)))
+    return bind(
+        f"""coalesce(
+          get(filter({names}, n -> n = x.raw), 0),
+          get(filter({names}, n -> replace(n, '_', '') = replace(x.raw, '_', '')), 0),
+          get(filter({shortest}, n -> startswith(n, x.raw) OR startswith(x.raw, n)), 0),
+          get(filter({longest}, n -> contains(n, x.raw) OR contains(x.raw, n)), 0),
+          '{default_intent(taxonomy)}')""",
+        raw=F.translate(F.lower(strip(value)), " -", "__"),
     )
-    return F.coalesce(exact, loose, prefix, inside, F.lit(default_intent(taxonomy)))
 
 
 def canonical_urgency(value: Column) -> Column:
-    word = F.lower(strip(value))
-    mapped = F.when(word.isin(*lx.URGENCIES), word)
-    for level in lx.URGENCIES:
-        names = [k for k, v in lx.URGENCY_SYNONYMS.items() if v == level]
-        mapped = mapped.when(word.isin(*names), F.lit(level))
-    return F.coalesce(mapped, F.lit("medium"))
+    known = {level: level for level in lx.URGENCIES} | lx.URGENCY_SYNONYMS
+    table = sql_list(x for pair in known.items() for x in pair)
+    return bind(f"coalesce(map({table})[x.word], 'medium')", word=F.lower(strip(value)))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from deskloom import lexicon as lx
+from deskloom.functions.text import sql_list
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -53,8 +54,8 @@ def literal_array(values: Sequence[float]) -> Column:
 
 def prior_for(intent: Column, priors: Mapping[str, float] = lx.INTENT_PRIORS,
               base_rate: float = lx.BASE_RATE) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in priors.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, intent), F.lit(base_rate))
+    table = ", ".join(f"{sql_list([k])}, {float(v)!r}D" for k, v in priors.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({table})"), intent), F.lit(base_rate))
 
 
 def answerability(prior: Column, score: Column, w_prior: float = lx.WEIGHT_PRIOR,

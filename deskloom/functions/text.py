@@ -27,6 +27,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(body: str, **args: Column) -> Column:
+    """SQL ``body`` over ``x.<name>`` for each argument, evaluated once per row.
+
+    Long expressions are one parsed string instead of a call into the JVM per literal.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in args.items()]))
+    return F.get(F.call_function("transform", row, F.expr(f"x -> {body}")), F.lit(0))
+
+
+def sql_array(values) -> str:
+    return f"array({sql_list(values)})"
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -61,7 +74,7 @@ def tokenise(text: Column) -> Column:
     found = F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))), F.lit(lx.TOKEN_PATTERN), F.lit(0)
     )
-    return F.filter(found, lambda t: ~t.isin(*lx.STOPWORDS))
+    return F.call_function("filter", found, F.expr(f"t -> t NOT IN ({sql_list(lx.STOPWORDS)})"))
 
 
 def distinct_tokens(text: Column) -> Column:

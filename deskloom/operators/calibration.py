@@ -98,7 +98,7 @@ def fit_summary(rows: DataFrame, bins: int = 10) -> DataFrame:
     return rows.agg(
         F.count("*").alias("n_samples"),
         F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"),
-        F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
     ).select(
         "*",
         before.scalar().alias("ece_before"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import lexicon as lx
 from deskloom.functions import labels as lb
-from deskloom.functions.text import clean_text, nfkc, strip, text_for_model
+from deskloom.functions.text import clean_text, nfkc, sql_list, strip, text_for_model
 
 RECORD = "map<string,string>"
 KNOWN_KEYS = tuple(
@@ -99,8 +99,9 @@ def normalise_tickets(records: DataFrame) -> DataFrame:
             ),
         ),
     ).otherwise(F.array(F.lit(lx.WARN_NOT_OBJECT)))
-    extra = F.map_filter(
-        F.col("record"), lambda k, v: ~lb.canonical_key(k).isin(*KNOWN_KEYS)
+    known = sql_list(KNOWN_KEYS)
+    extra = F.expr(
+        f"map_filter(record, (k, v) -> regexp_replace(lower(k), '[^a-z0-9]', '') NOT IN ({known}))"
     )
     empty_map = F.create_map().cast(RECORD)
     return rows.select(

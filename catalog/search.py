@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
+from catalog.text import sentences_sql
+from deskloom.functions.text import sentences
+from deskloom.operators import dense as dn
 from deskloom.operators import lexical as lex
+from deskloom.operators import metrics as m
 from deskloom.operators import search as se
-from deskloom.session import cut_lineage
+from deskloom.operators import sweeps as sw
+from deskloom.session import cut_lineage, spread
 from deskloom.settings import SearchSettings
 
 STRICT_FLOOR = 0.6
@@ -48,6 +53,100 @@ def _search(floor):
     return run
 
 
+def _query_vectors(spark, sf_dir):
+    return b.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vec")
+    )
+
+
+def nearest_vectors(spark, sf_dir):
+    """Five best vectors for every vector of the table, itself included."""
+    corpus = b.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_ord"), F.lit(0).alias("chunk_no"), F.col("embedding").alias("vec")
+    )
+    found = dn.nearest(_query_vectors(spark, sf_dir), corpus, 5)
+    return found.select("query_id", F.col("doc_ord").alias("vec_id"), F.round("dense", 4).alias("dense"))
+
+
+def search_hybrid(spark, sf_dir):
+    """Text and vectors together; chunks carry the vector of their document, if it has one."""
+    chunks = b.chunks(spark, sf_dir)
+    vectors = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_ord"), F.col("embedding").alias("vec"))
+    chunk_vectors = chunks.select("doc_ord", "chunk_no").join(vectors, "doc_ord")
+    ranked = se.search_hybrid(
+        b.search_queries(spark, sf_dir), chunks, _query_vectors(spark, sf_dir), chunk_vectors
+    )
+    return ranked.select(
+        "query_id", "rank", "doc_ord", "chunk_no", F.round("score", 4).alias("score"),
+        F.round("dense", 4).alias("dense"), F.round("lexical", 4).alias("lexical"),
+    )
+
+
+def search_without_floor(spark, sf_dir):
+    """Floor 0: every non-blank query returns passages, zero scores in corpus order.
+
+    One query in a foreign alphabet has no token at all.
+    """
+    queries = b.search_queries(spark, sf_dir)
+    empty = queries.select(
+        F.concat(F.lit("x"), "query_id").alias("query_id"),
+        F.regexp_replace("text", r"[A-Za-z0-9_./-]", "é").alias("text"),
+    )
+    ranked = se.search_lexical(queries.unionByName(empty), b.chunks(spark, sf_dir), floor=0.0)
+    return ranked.select("query_id", "rank", "doc_ord", "chunk_no", F.round("score", 4).alias("score"))
+
+
+def expected_documents(spark, sf_dir):
+    """Documents that share a whole sentence with a benchmark item: the retrieval gold."""
+    docs = spread(b.table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.explode(sentences(F.col("text"))).alias("sentence")
+    )
+    items = b.search_queries(spark, sf_dir).select(
+        "query_id", F.explode(sentences(F.col("text"))).alias("sentence")
+    )
+    return docs.join(items.distinct(), "sentence").select("query_id", "doc_id").distinct()
+
+
+def retrieval_outcomes(spark, sf_dir):
+    """Search results as outcomes with gold documents; one citation of each item dangles."""
+    queries = b.search_queries(spark, sf_dir)
+    ranked = se.search_lexical(queries, b.chunks(spark, sf_dir), floor=STRICT_FLOOR)
+    hits = ranked.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "doc_ord", "chunk_no", "score"))).alias("h")
+    )
+    gold = expected_documents(spark, sf_dir).groupBy("query_id").agg(F.collect_set("doc_id").alias("gold_docs"))
+    doc = lambda e: e["doc_ord"].cast("string")
+    chunk = lambda e: F.concat_ws("#", e["doc_ord"], e["chunk_no"])
+    rows = queries.join(hits, "query_id", "left").join(gold, "query_id", "left")
+    h = F.coalesce(F.col("h"), F.array().cast("array<struct<rank:int,doc_ord:bigint,chunk_no:int,score:double>>"))
+    return rows.select(
+        "query_id", F.transform(h, doc).alias("retrieved_docs"), F.transform(h, chunk).alias("retrieved_chunks"),
+        F.when(F.size(h) > 0, F.array(chunk(F.get(h, F.lit(0))), F.lit("missing#0")))
+        .otherwise(F.array().cast("array<string>")).alias("citations"),
+        F.coalesce(F.round(F.get(h, F.lit(0))["score"], 4), F.lit(0.0)).alias("score"),
+        F.when(F.size(h) > 1, F.lit("answer")).otherwise(F.lit("escalate")).alias("action"),
+        "gold_docs", F.col("gold_docs").isNotNull().alias("gold_answerable"),
+        F.col("gold_docs").isNotNull().alias("answerable"),
+    )
+
+
+def retrieval_quality(spark, sf_dir):
+    return m.retrieval(retrieval_outcomes(spark, sf_dir))
+
+
+def citation_accuracy(spark, sf_dir):
+    return m.citations(retrieval_outcomes(spark, sf_dir))
+
+
+def document_accuracy(spark, sf_dir):
+    return m.document_accuracy(retrieval_outcomes(spark, sf_dir))
+
+
+def retrieval_floor_sweep(spark, sf_dir):
+    s = sw.floor_sweep(retrieval_outcomes(spark, sf_dir))
+    return s.select("floor", "kept", "false_hits", "nothing")
+
+
 QUERIES = {
     "corpus_chunks": corpus_chunks,
     "corpus_summary": corpus_summary,
@@ -55,6 +154,14 @@ QUERIES = {
     "bm25_scores": bm25_scores,
     "search_lexical": _search(None),
     "search_strict_floor": _search(STRICT_FLOOR),
+    "search_without_floor": search_without_floor,
+    "nearest_vectors": nearest_vectors,
+    "search_hybrid": search_hybrid,
+    "expected_documents": expected_documents,
+    "retrieval_quality": retrieval_quality,
+    "citation_accuracy": citation_accuracy,
+    "document_accuracy": document_accuracy,
+    "retrieval_floor_sweep": retrieval_floor_sweep,
 }
 
 _SEARCH_SQL = f"""WITH RECURSIVE {b.CHUNKS_SQL}, {b.QUERIES_SQL}, {b.bm25_sql("queries")},"""
@@ -90,4 +197,62 @@ FROM post, stat GROUP BY term, n""",
 SELECT query_id, doc_ord, chunk_no, round(bm25, 6) AS bm25 FROM raw""",
     "search_lexical": _search_sql(SearchSettings().min_score),
     "search_strict_floor": _search_sql(STRICT_FLOOR),
+    "search_without_floor": f"""WITH RECURSIVE {b.CHUNKS_SQL}, items AS (SELECT item_id::VARCHAR AS query_id, text FROM benchmark),
+queries AS (SELECT * FROM items UNION ALL SELECT 'x' || query_id, regexp_replace(text, '[A-Za-z0-9_./-]', 'é', 'g') FROM items),
+{b.bm25_sql("queries")},
+head AS (SELECT doc_ord, chunk_no FROM corpus ORDER BY doc_ord, chunk_no LIMIT 20),
+padded AS (
+  SELECT query_id, doc_ord, chunk_no, lexical FROM scores
+  UNION ALL SELECT q.query_id, h.doc_ord, h.chunk_no, 0.0 FROM queries q, head h
+  WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = q.query_id AND s.doc_ord = h.doc_ord AND s.chunk_no = h.chunk_no)
+), {b.ranked_sql("padded", "lexical", 0.0)}
+SELECT query_id, rank::INT AS rank, doc_ord, chunk_no, round(score, 4) AS score FROM ranked""",
+    "nearest_vectors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+sims AS (SELECT q.vec_id::VARCHAR AS query_id, c.vec_id, greatest(0, list_dot_product(q.v, c.v)) AS s FROM e q, e c)
+SELECT query_id, vec_id, round(s, 4) AS dense FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i FROM sims) WHERE i <= 5""",
+    "search_hybrid": _SEARCH_SQL + f"""
+sims AS (
+  SELECT q.query_id, c.doc_ord, c.chunk_no,
+    coalesce(greatest(0, list_dot_product(qe.embedding::DOUBLE[], ce.embedding::DOUBLE[])), 0) AS dense, coalesce(s.lexical, 0) AS lexical
+  FROM queries q CROSS JOIN corpus c LEFT JOIN embeddings qe ON qe.vec_id::VARCHAR = q.query_id
+    LEFT JOIN embeddings ce ON ce.vec_id = c.doc_ord
+    LEFT JOIN scores s ON s.query_id = q.query_id AND s.doc_ord = c.doc_ord AND s.chunk_no = c.chunk_no
+),
+mixed AS (SELECT *, 0.65::DOUBLE * dense + 0.35::DOUBLE * lexical AS both_scores FROM sims),
+{b.ranked_sql("mixed", "both_scores", SearchSettings().min_score)}
+SELECT query_id, rank::INT AS rank, doc_ord, chunk_no, round(score, 4) AS score, round(dense, 4) AS dense,
+  round(lexical, 4) AS lexical FROM ranked""",
+}
+
+_GOLD = f"""ds AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, unnest({sentences_sql("text")}) AS sentence FROM documents),
+qs AS (SELECT DISTINCT item_id::VARCHAR AS query_id, unnest({sentences_sql("text")}) AS sentence FROM benchmark),
+gold AS (SELECT DISTINCT query_id, doc_id FROM ds JOIN qs USING (sentence))"""
+_OUTCOMES = _SEARCH_SQL + b.ranked_sql("scores", "lexical", STRICT_FLOOR) + f""", {_GOLD},
+o AS (
+  SELECT q.query_id, count(r.rank) AS n, list(r.doc_ord::VARCHAR ORDER BY r.rank) FILTER (r.rank IS NOT NULL) AS docs,
+    coalesce(round(max(r.score), 4), 0)::DOUBLE AS score,
+    (SELECT list(doc_id) FROM gold g WHERE g.query_id = q.query_id) AS g
+  FROM queries q LEFT JOIN ranked r USING (query_id) GROUP BY q.query_id
+)"""
+
+SQL |= {
+    "expected_documents": f"WITH {_GOLD} SELECT * FROM gold",
+    "retrieval_quality": _OUTCOMES + """
+SELECT count(g) AS labelled_answerable, round(avg((n > 0)::INT) FILTER (g IS NOT NULL), 4) AS hit_rate_on_answerable,
+  count(*) FILTER (g IS NULL) AS labelled_not_answerable,
+  round(avg((n > 0)::INT) FILTER (g IS NULL), 4) AS false_retrieval_rate_on_unanswerable,
+  count(*) FILTER (n = 0) AS returned_nothing, round(avg(n), 3) AS mean_passages_returned FROM o""",
+    "citation_accuracy": _OUTCOMES + """
+SELECT coalesce(sum(2), 0)::BIGINT AS total, count(*) AS resolvable, CASE WHEN count(*) > 0 THEN 0.5::DOUBLE END AS citation_accuracy,
+  0::BIGINT AS answered_without_any_citation FROM o WHERE n > 1""",
+    "document_accuracy": _OUTCOMES + """
+SELECT count(*) AS n_with_expected_documents, round(avg(coalesce(list_contains(g, docs[1]), false)::INT), 4) AS expected_document_ranked_first,
+  round(avg(coalesce(list_has_any(g, docs), false)::INT), 4) AS expected_document_in_top_k,
+  round(avg(list_contains(g, docs[1])::INT) FILTER (n > 1), 4) AS cited_the_expected_document,
+  count(*) FILTER (n > 1) AS cited_the_expected_document_n FROM o WHERE g IS NOT NULL""",
+    "retrieval_floor_sweep": _OUTCOMES + """,
+grid AS (SELECT range / 100.0::DOUBLE AS t FROM range(0, 61))
+SELECT t AS floor, count(*) FILTER (score >= t AND g IS NOT NULL) AS kept, count(*) FILTER (score >= t AND g IS NULL) AS false_hits,
+  count(*) FILTER (score < t) AS nothing FROM grid, o GROUP BY t""",
 }

@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture per column expression slows down building long plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

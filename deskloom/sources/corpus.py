@@ -8,7 +8,7 @@ from deskloom import lexicon as lx
 from deskloom.functions.labels import pick
 from deskloom.operators.chunking import chunk_documents
 from deskloom.settings import SearchSettings
-from deskloom.sources.tickets import keyed_records, wrapped_list
+from deskloom.sources.tickets import is_object, tagged, wrapped_list
 
 EMPTY = ("", "[]")
 
@@ -17,13 +17,13 @@ def _records(text: Column) -> Column:
     trimmed = F.trim(text)
     as_list = F.when(trimmed.startswith("["), F.from_json(text, "array<string>"))
     entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    # A plain value under an id is an article with only content.
-    by_id = F.transform(
+    # The key replaces an id of the article's own; a plain value is an article with only content.
+    keyed = F.transform(
         entries,
-        lambda e: F.when(F.trim(e["value"]).startswith("{"), e["value"]).otherwise(F.to_json(F.struct(e["key"].alias("doc_id"), e["value"].alias("content")))
+        lambda e: F.when(is_object(e["value"]), tagged(e, "doc_id")).otherwise(
+            F.to_json(F.struct(e["key"].alias("doc_id"), e["value"].alias("content")))
         ),
     )
-    keyed = F.coalesce(keyed_records(text, "doc_id", override=True), by_id)
     return F.coalesce(as_list, wrapped_list(text, lx.CORPUS_WRAPPERS), keyed)
 
 
@@ -68,7 +68,12 @@ def articles_from_records(records: DataFrame) -> DataFrame:
     )
 
 
-def load_corpus(spark: SparkSession, path: str, settings: SearchSettings | None = None) -> DataFrame:
+def load_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of a JSON documentation file, or of a folder of such files."""
     whole = spark.read.text(path, wholetext=True)
     records = whole.select(F.posexplode(_records(F.col("value"))).alias("position", "record_text"))
-    return chunk_documents(articles_from_records(records), settings)
+    return articles_from_records(records)
+
+
+def load_corpus(spark: SparkSession, path: str, settings: SearchSettings | None = None) -> DataFrame:
+    return chunk_documents(load_articles(spark, path), settings)

@@ -25,29 +25,31 @@ def wrapped_list(payload: Column, wrappers) -> Column:
     )
 
 
-def keyed_records(payload: Column, id_field: str, override: bool = False) -> Column:
-    """An object whose values are all objects: the values, each carrying its key as an id.
+def tagged(entry: Column, id_field: str) -> Column:
+    """An object's text with its key appended as an id, after the record's own fields."""
+    value = F.trim(entry["value"])
+    inner = F.trim(F.substring(value, F.lit(2), F.length(value) - 2))
+    own_id = F.to_json(F.struct(entry["key"].alias(id_field)))
+    return F.when(inner == "", own_id).otherwise(
+        F.concat(F.lit("{"), inner, F.lit(","), F.substring(own_id, F.lit(2), F.length(own_id)))
+    )
 
-    The id is appended after the record's own fields. An existing one is kept unless
-    ``override``, where the later duplicate replaces the earlier value.
-    """
+
+def is_object(text: Column) -> Column:
+    return F.coalesce(F.trim(text).startswith("{"), F.lit(False))
+
+
+def keyed_records(payload: Column, id_field: str) -> Column:
+    """An object whose values are all objects: the values, each given its key as id if it has none."""
     entries = F.map_entries(F.from_json(payload, "map<string,string>"))
 
     def record(entry: Column) -> Column:
-        value = F.trim(entry["value"])
-        inner = F.trim(F.substring(value, F.lit(2), F.length(value) - 2))
-        own_id = F.to_json(F.struct(entry["key"].alias(id_field)))
-        tagged = F.when(inner == "", own_id).otherwise(
-            F.concat(F.lit("{"), inner, F.lit(","), F.substring(own_id, F.lit(2), F.length(own_id)))
+        fields = F.from_json(entry["value"], "map<string,string>")
+        return F.when(F.map_contains_key(fields, id_field), entry["value"]).otherwise(
+            tagged(entry, id_field)
         )
-        if override:
-            return tagged
-        fields = F.from_json(value, "map<string,string>")
-        return F.when(F.map_contains_key(fields, id_field), value).otherwise(tagged)
 
-    all_objects = (F.size(entries) > 0) & F.forall(
-        entries, lambda e: F.coalesce(F.trim(e["value"]).startswith("{"), F.lit(False))
-    )
+    all_objects = (F.size(entries) > 0) & F.forall(entries, lambda e: is_object(e["value"]))
     return F.when(all_objects, F.transform(entries, record))
 
 
@@ -63,7 +65,13 @@ def line_records(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.call_function("try_parse_json", text).isNotNull()
+    """Whether the whole text is one JSON value.
+
+    Wrapped in a list it must parse to exactly one element; a parser reading the bare text
+    would stop after the first value and take JSON Lines for a document.
+    """
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), RECORDS)
+    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
 def records_of(text: Column) -> Column:

@@ -19,6 +19,8 @@ PIVOTS = 64
 SLICE_ROWS = 4096
 QUERY_BLOCK = 1024
 ANGLE_SLACK = 1e-6
+# Rounding of a product of unit vectors, which may exceed 1.
+SIM_SLACK = 1e-9
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -58,7 +60,7 @@ def _block_top(depth: int):
         if not len(corpus) or not len(queries):
             return pd.DataFrame(columns=columns)
         corpus = corpus.sort_values(KEY, kind="stable")
-        sims = np.maximum(unit_rows(queries["vec"]) @ unit_rows(corpus["vec"]).T, 0.0)
+        sims = np.clip(unit_rows(queries["vec"]) @ unit_rows(corpus["vec"]).T, 0.0, 1.0)
         # Stable sort on a corpus in key order: ties go to the earlier chunk.
         order = np.argsort(-sims, axis=1, kind="stable")[:, :depth]
         width = order.shape[1]
@@ -148,7 +150,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, depth: int, pivots: int = PIV
             gap = _angles(unit_rows(pdf["vec"]), centres) - radii - ANGLE_SLACK
             reach = np.cos(np.clip(gap, 0.0, np.pi))
             picks = [
-                ids[np.maximum(row, 0.0) >= bound].tolist()
+                ids[np.maximum(row, 0.0) + SIM_SLACK >= bound].tolist()
                 for row, bound in zip(reach, pdf["bound"])
             ]
             yield pdf[["query_id", "vec"]].assign(cell=picks).explode("cell").astype({"cell": "int32"})
@@ -174,7 +176,7 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Data
             known = (pdf["qvec"].notna() & pdf["cvec"].notna()).to_numpy()
             if known.any():
                 a, b = unit_rows(pdf["qvec"][known]), unit_rows(pdf["cvec"][known])
-                dense[known] = np.maximum((a * b).sum(axis=1), 0.0)
+                dense[known] = np.clip((a * b).sum(axis=1), 0.0, 1.0)
             yield pdf.drop(columns=["qvec", "cvec"]).assign(dense=dense)
 
     joined = (

@@ -162,6 +162,18 @@ def test_dense_matches_brute_force_with_a_hot_cell(spark, monkeypatch):
         assert sorted(got[f"q{i}"].values(), reverse=True) == pytest.approx(best, abs=1e-5)
 
 
+def test_queries_that_are_copies_of_corpus_vectors(spark):
+    v = _vectors(8, 60, 64)
+    rows = [(i, 0, [float(x) for x in v[i]]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_ord long, chunk_no int, vec array<float>")
+    queries = spark.createDataFrame([(str(i), r) for i, _, r in rows], "query_id string, vec array<float>")
+    got = dn.nearest(queries, corpus, 5, pivots=12).collect()
+    assert len(got) == 60 * 5
+    assert max(r.dense for r in got) <= 1.0
+    # The first 20 vectors are one copy: ties go to the earliest.
+    assert sorted(r.doc_ord for r in got if r.query_id == "3") == [0, 1, 2, 3, 4]
+
+
 def test_hybrid_matches_brute_force(spark, data):
     rows, queries, chunks, asked = data
     s = SearchSettings()

@@ -10,10 +10,14 @@ a cell holding a third of the corpus is many tasks, and each task emits only its
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from deskloom.session import cut_lineage
+
 KEY = ["doc_ord", "chunk_no"]
 PIVOTS = 64
 SLICE_ROWS = 4096
@@ -77,11 +81,45 @@ def _block_top(depth: int):
     return top
 
 
-def _probe(celled: DataFrame, slices: dict[int, int], visits: DataFrame, blocks: int, depth: int):
+@dataclass(frozen=True)
+class CellIndex:
+    """Corpus vectors with their cell as a written table, and one entry per cell."""
+
+    celled: DataFrame
+    centres: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+    @property
+    def slices(self) -> dict[int, int]:
+        return {int(c): int(-(-n // SLICE_ROWS)) for c, n in zip(self.ids, self.sizes)}
+
+
+def build_cells(corpus: DataFrame, pivots: int = PIVOTS) -> CellIndex | None:
+    """Assign every vector of (doc_ord, chunk_no, vec) once; None for an empty corpus."""
+    points = choose_pivots(corpus, pivots)
+    if not len(points):
+        return None
+    celled = cut_lineage(assign_cells(corpus, points))
+    # One row per pivot: at most ``pivots`` rows reach the driver.
+    cells = (
+        celled.groupBy("cell")
+        .agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+        .orderBy("cell")
+        .collect()
+    )
+    ids = np.array([r["cell"] for r in cells], dtype="int32")
+    return CellIndex(
+        celled, points[ids], ids, np.array([r["n"] for r in cells]), np.array([r["radius"] for r in cells])
+    )
+
+
+def _probe(index: CellIndex, visits: DataFrame, blocks: int, depth: int):
     """Score each visit (query_id, vec, cell) against its cell and keep the best ``depth``."""
-    per_cell = F.create_map(*[F.lit(x) for pair in slices.items() for x in pair])
+    per_cell = F.create_map(*[F.lit(x) for pair in index.slices.items() for x in pair])
     n_slices = F.element_at(per_cell, F.col("cell"))
-    left = celled.withColumn(
+    left = index.celled.withColumn(
         "slice", F.pmod(F.xxhash64(*KEY), n_slices).cast("int")
     ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = visits.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn(
@@ -107,29 +145,17 @@ def keep_best(scored: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, depth: int, pivots: int = PIVOTS) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame | CellIndex | None, depth: int, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, chunk key, dense): the ``depth`` best chunks by clamped cosine, exactly.
 
-    ``queries`` is (query_id string, vec); ``corpus`` is (doc_ord, chunk_no, vec).
+    ``queries`` is (query_id string, vec); ``corpus`` is (doc_ord, chunk_no, vec) or its index.
     """
-    spark = corpus.sparkSession
-    schema = "query_id string, doc_ord long, chunk_no int, dense double"
-    points = choose_pivots(corpus, pivots)
-    if not len(points):
-        return spark.createDataFrame([], schema)
-    celled = assign_cells(corpus, points)
-    # One row per pivot: at most ``pivots`` rows reach the driver.
-    cells = {
-        r["cell"]: (r["n"], r["radius"])
-        for r in celled.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-        .collect()
-    }
-    ids = np.array(sorted(cells), dtype="int32")
-    sizes = np.array([cells[c][0] for c in ids])
-    radii = np.array([cells[c][1] for c in ids])
-    centres = points[ids]
-    slices = {int(c): int(-(-cells[c][0] // SLICE_ROWS)) for c in ids}
+    index = build_cells(corpus, pivots) if isinstance(corpus, DataFrame) else corpus
+    if index is None:
+        return queries.sparkSession.createDataFrame(
+            [], "query_id string, doc_ord long, chunk_no int, dense double"
+        )
+    ids, sizes, radii, centres = index.ids, index.sizes, index.radii, index.centres
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def home_cells(batches):
@@ -157,14 +183,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, depth: int, pivots: int = PIV
 
     visit = "query_id string, vec array<float>, cell int"
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vec")
-    first = _probe(celled, slices, queries.mapInPandas(home_cells, visit), blocks, depth)
+    first = _probe(index, queries.mapInPandas(home_cells, visit), blocks, depth)
     bounds = first.groupBy("query_id").agg(
         F.when(F.count("*") >= depth, F.min("dense")).otherwise(F.lit(0.0)).alias("bound")
     )
     bounded = queries.join(bounds, "query_id", "left").select(
         "query_id", "vec", F.coalesce("bound", F.lit(0.0)).alias("bound")
     )
-    return _probe(celled, slices, bounded.mapInPandas(open_cells, visit), blocks, depth)
+    return _probe(index, bounded.mapInPandas(open_cells, visit), blocks, depth)
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -58,7 +58,14 @@ def private_data_matches(text: Column, brand: str, name: str, use_allow_list: bo
             keep = keep & octets_valid(value)
         return keep
 
-    return F.filter(pattern_matches(text, _pattern(pattern, ignore_case)), confirmed)
+    found = F.filter(pattern_matches(text, _pattern(pattern, ignore_case)), confirmed)
+    needed = lx.PRIVATE_DATA_REQUIRED.get(name)
+    if not needed:
+        return found
+    possible = F.lit(False)
+    for literal in needed:
+        possible = possible | F.contains(text, F.lit(literal))
+    return F.when(possible, found).otherwise(F.array().cast(NO_STRINGS))
 
 
 def named(name: str):

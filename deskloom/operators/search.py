@@ -103,8 +103,10 @@ def search_hybrid(
     w, depth = s.dense_weight, s.candidates
     asked = queries.filter(~is_blank(F.col("text")))
     query_vectors = query_vectors.join(asked.select("query_id"), "query_id", "left_semi")
+    cells = dn.build_cells(chunk_vectors)
+    # At most ``candidates`` rows per query, read three times.
+    by_vector = cut_lineage(dn.nearest(query_vectors, cells, depth))
     by_text = lexical_candidates(queries, chunks, s, index, None)
-    by_vector = dn.nearest(query_vectors, chunk_vectors, depth)
 
     last_dense = by_vector.groupBy("query_id").agg(
         F.when(F.count("*") >= depth, F.min("dense")).otherwise(F.lit(0.0)).alias("last_dense")
@@ -116,21 +118,18 @@ def search_hybrid(
         .groupBy("query_id")
         .agg(F.max(F.when(F.col("r") == depth, F.col("lexical"))).alias("last_lexical"))
     )
-    bound = F.greatest(
-        w * F.coalesce("last_dense", F.lit(0.0)), (1 - w) * F.coalesce("last_lexical", F.lit(0.0))
-    )
-    best = w * F.coalesce("last_dense", F.lit(0.0)) + (1 - w) * F.col("lexical")
-    hopeful = (
-        by_text.join(last_dense, "query_id", "left")
+    rest = F.coalesce("last_dense", F.lit(0.0))
+    bound = F.greatest(w * rest, (1 - w) * F.coalesce("last_lexical", F.lit(0.0)))
+    lexical = F.coalesce("lexical", F.lit(0.0))
+    pairs = (
+        by_text.join(by_vector.withColumn("hit", F.lit(True)).drop("dense"), ["query_id", *KEY], "full")
+        .join(last_dense, "query_id", "left")
         .join(last_lexical, "query_id", "left")
-        .filter(best + lex.BOUND_SLACK >= bound)
-        .select("query_id", *KEY, "lexical")
-    )
-    # A dense hit may also match by text below the bound, so its lexical part is looked up whole.
-    dense_hits = by_vector.select("query_id", *KEY).join(by_text, ["query_id", *KEY], "left").select(
-        "query_id", *KEY, F.coalesce("lexical", F.lit(0.0)).alias("lexical")
+        .filter(F.col("hit") | (w * rest + (1 - w) * lexical + lex.BOUND_SLACK >= bound))
+        .select("query_id", *KEY, lexical.alias("lexical"))
     )
-    pairs = hopeful.unionByName(dense_hits).dropDuplicates(["query_id", *KEY])
+    if cells is not None:
+        chunk_vectors = cells.celled
     scored = dn.score_pairs(pairs, query_vectors, chunk_vectors)
     if floor <= 0:
         scored = _pad_with_zero_scores(scored, queries, chunks, depth)

@@ -11,7 +11,9 @@ from deskloom.operators import drafting as dr
 from deskloom.operators import guardrails as gr
 from deskloom.operators import routing as rt
 from deskloom.operators import search as se
+from deskloom.operators.chunking import chunk_documents
 from deskloom.operators.lexical import LexicalIndex
+from deskloom.session import cut_lineage
 from deskloom.settings import Settings
 
 PASSAGES = (
@@ -26,25 +28,25 @@ def retrieve(
 ) -> DataFrame:
     """Add ``retrieved``: at most top-k passages per ticket, an empty array when none qualify.
 
-    The query is the customer's text alone. Identical texts are searched once: the search
-    key is a digest of the text, so a message sent a million times costs one query.
+    The query is the customer's text alone. Identical texts are searched once, so a message
+    sent a million times costs one query. Queries carry a fixed-width id, which keeps the
+    (query, chunk) sums narrow; ids are not deterministic, so the query table is written.
     """
-    from deskloom.operators.chunking import chunk_documents
-
     chunks = chunks if chunks is not None else chunk_documents(articles, settings.search)
-    keyed = tickets.withColumn("query_id", F.sha2("model_text", 256))
-    queries = (
+    keyed = tickets.withColumn("_digest", F.sha2("model_text", 256))
+    queries = cut_lineage(
         keyed.filter(~is_blank(F.col("model_text")))
-        .groupBy("query_id")
+        .groupBy("_digest")
         .agg(F.any_value("model_text").alias("text"))
+        .withColumn("query_id", F.monotonically_increasing_id())
     )
-    ranked = se.search_lexical(queries, chunks, settings.search, index=index)
+    ranked = se.search_lexical(queries.select("query_id", "text"), chunks, settings.search, index=index)
     nested = se.nest_passages(se.with_passages_from(ranked, articles, settings.search))
-    none = F.array().cast(PASSAGES)
+    by_text = nested.join(queries.select("query_id", "_digest"), "query_id").drop("query_id")
     return (
-        keyed.join(nested, "query_id", "left")
-        .withColumn("retrieved", F.coalesce("retrieved", none))
-        .drop("query_id")
+        keyed.join(by_text, "_digest", "left")
+        .withColumn("retrieved", F.coalesce("retrieved", F.array().cast(PASSAGES)))
+        .drop("_digest")
     )
 
 

@@ -18,17 +18,19 @@ KEY = lex.KEY
 def take_ranked(scored: DataFrame, s: SearchSettings, floor: float | None = None) -> DataFrame:
     """Look at the best candidates only, apply the floor, cap per document, keep ``top_k``.
 
-    Three windows over one exchange: the narrower partitioning by document is satisfied
-    by rows already hashed on the query, and the first limit is applied before the shuffle.
+    The floor goes first: what it removes ranks behind everything it keeps, so the best
+    candidates above the floor stay the same and far fewer rows are sorted. Three windows
+    share one exchange: the narrower partitioning by document is satisfied by rows already
+    hashed on the query, and the first limit is applied before the shuffle.
     """
     floor = s.min_score if floor is None else floor
     order = [lex.settled(F.col("score")).desc(), *KEY]
     per_query = Window.partitionBy("query_id").orderBy(*order)
     per_document = Window.partitionBy("query_id", "doc_ord").orderBy(*order)
     return (
-        scored.withColumn("seen", F.row_number().over(per_query))
+        scored.filter(F.col("score") >= floor)
+        .withColumn("seen", F.row_number().over(per_query))
         .filter(F.col("seen") <= s.candidates)
-        .filter(F.col("score") >= floor)
         .withColumn("of_document", F.row_number().over(per_document))
         .filter(F.col("of_document") <= s.per_document)
         .withColumn("rank", F.row_number().over(per_query))

@@ -17,7 +17,7 @@ from deskloom.operators import decision_log as dl
 from deskloom.operators.metrics import flatten
 from deskloom.plans.report import build_report, write_report
 from deskloom.plans.triage import triage
-from deskloom.session import build_session
+from deskloom.session import build_session, ship_package
 from deskloom.settings import Settings
 from deskloom.sinks import artefacts as sk
 from deskloom.sources.corpus import load_articles
@@ -36,6 +36,7 @@ def run(
     resume: bool = False, run_id: str | None = None, settings: Settings | None = None,
 ) -> dict:
     """One attempt. Outcomes are appended as one committed job, so an attempt counts whole or not."""
+    ship_package(spark)
     now = datetime.now(timezone.utc)
     run_id = run_id or f"run-{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:6]}"
     outcome_path, log_path, runs_path = (f"{output}/{n}" for n in ("outcomes", "decisions", "runs"))

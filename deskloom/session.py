@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def build_session(app: str = "deskloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the pandas helpers.
+
+    Not needed where it is installed on the workers; harmless there.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='deskloom-')}/{package.name}", "zip", package.parent, package.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; set one of our own only where none is named (tests)."""
     sc = spark.sparkContext

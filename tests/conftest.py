@@ -5,9 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-from deskloom.session import build_session  # noqa: E402
+from deskloom.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,6 +20,7 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
 

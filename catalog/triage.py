@@ -40,7 +40,6 @@ def rule_classification(spark, sf_dir):
         F.concat_ws("-", F.lit("d"), "doc_id").alias("text_id"), "text"
     )
     judged = turns.unionByName(docs).select("text_id", cl.by_rules(F.col("text"), S).alias("c"))
-    names = F.transform("c.alternatives", lambda a: F.concat_ws(":", a["intent"], a["confidence"].cast("string")))
     return judged.select(
         "text_id", "c.intent", "c.urgency", "c.confidence",
         F.array_join(F.transform("c.alternatives", lambda a: a["intent"]), ",").alias("alternatives"),

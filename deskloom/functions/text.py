@@ -48,10 +48,6 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def py_round(value: Column, digits: int) -> Column:
-    return F.round(value, digits)
-
-
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation: Spark has no built-in for it."""

@@ -49,9 +49,6 @@ def _flat_text(value: Column) -> Column:
     return F.coalesce(F.array_join(lines, "\n", "None"), value)
 
 
-def _no_blanks(*warnings: Column) -> Column:
-    return F.array_compact(F.array(*warnings))
-
 
 def _scalar_text(text: Column) -> Column:
     """Text of a record that is not an object: JSON strings lose their quotes."""
@@ -91,13 +88,13 @@ def normalise_tickets(records: DataFrame) -> DataFrame:
     no_id = F.col("_ticket_id").isNull()
     warnings = F.when(
         is_object,
-        _no_blanks(
+        F.array_compact(F.array(
             F.when(no_id, F.lit(lx.WARN_NO_ID)),
             F.col("_channel_of.warning"),
             F.when((subject == "") & (body == ""), F.lit(lx.WARN_EMPTY)).when(
                 body == "", F.lit(lx.WARN_NO_BODY)
             ),
-        ),
+        )),
     ).otherwise(F.array(F.lit(lx.WARN_NOT_OBJECT)))
     known = sql_list(KNOWN_KEYS)
     extra = F.expr(

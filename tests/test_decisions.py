@@ -168,3 +168,24 @@ def test_every_intent_name_survives_its_own_spellings(spark):
     frame = spark.createDataFrame([(s, s.lower().replace(" ", "").replace("_", "")) for s in spelled], "s string, k string")
     for r in frame.select("k", lb.canonical_intent(F.col("s")).alias("i")).collect():
         assert r.i.replace("_", "") == r.k
+
+
+def test_vector_grounding_takes_the_best_passage(spark):
+    sentences = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [0.0, 1.0])], "draft_id string, sentence_no int, vec array<float>")
+    passages = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [0.8, 0.3])], "draft_id string, passage_no int, vec array<float>")
+    got = gr.grounding_by_vectors(sentences, passages).first()
+    assert (got.sentences, got.ratio) == (2, 0.5)
+
+
+def test_failed_rows_are_escalated_not_dropped(spark):
+    from deskloom.plans.triage import quarantine
+
+    ok = F.struct(F.lit("answer").alias("action"), F.lit(lx.R8).alias("rule_fired"), F.lit("r").alias("reason"))
+    rows = spark.range(2).select(
+        "id", ok.alias("routing"), F.lit("answer").alias("action"), F.lit("text").alias("response_text"),
+        F.lit(False).alias("degraded"),
+    )
+    got = quarantine(rows, F.when(F.col("id") == 1, F.lit("ValueError: x"))).orderBy("id").collect()
+    assert [(r.action, r.routing.rule_fired, r.response_text, r.error) for r in got] == [
+        ("answer", lx.R8, "text", None), ("escalate", lx.R11, None, "ValueError: x"),
+    ]

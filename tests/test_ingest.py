@@ -89,7 +89,7 @@ def test_corpus_shapes(spark, tmp_path):
     ]
 
 
-def _reference_pack(text, target, overlap):
+def _plain_pack(text, target, overlap):
     """Straightforward restatement of the packing rule, for comparison."""
     import re
 
@@ -130,7 +130,7 @@ def test_packing_matches_the_sequential_rule(spark):
         texts.append("\n\n".join(paragraphs))
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in frame.select("i", pack(F.col("t"), 120, 30).alias("p")).collect():
-        assert r.p == _reference_pack(texts[r.i], 120, 30)
+        assert r.p == _plain_pack(texts[r.i], 120, 30)
 
 
 def test_stream_source_uses_the_same_normaliser(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as b
 from catalog import text as t
-from catalog.text import _q, channel_sql, private_data_sql, sentences_sql, substantive_sql, urgency_sql
+from catalog.text import _q, channel_sql, private_data_sql, sentences_sql, substantive_sql
 from deskloom import lexicon as lx
 from deskloom.operators import classify as cl
 from deskloom.operators import drafting as dr
@@ -15,7 +15,7 @@ from deskloom.operators import metrics as m
 from deskloom.operators.decision_log import decision_rows
 from deskloom.operators.normalise import normalise_tickets
 from deskloom.plans import triage as tr
-from deskloom.session import cut_lineage, spread
+from deskloom.session import spread
 from deskloom.settings import Settings
 
 S = Settings()

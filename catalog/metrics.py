@@ -64,13 +64,13 @@ def urgency_per_class(spark, sf_dir):
 
 
 def thin_priority_classes(spark, sf_dir):
-    """Order priorities against a price-based guess; classes thinner than the limit."""
-    orders = b.table(spark, sf_dir, "orders").filter("o_totalprice > 499000")
-    pairs = orders.select(
-        F.col("o_orderpriority").alias("truth"),
-        F.when(F.col("o_totalprice") > 499500, F.lit("1-URGENT")).otherwise(F.lit("2-HIGH")).alias("predicted"),
+    """Order priority by year as the class; classes with fewer examples than the limit."""
+    year = F.year("o_orderdate").cast("string")
+    pairs = b.table(spark, sf_dir, "orders").select(
+        F.concat_ws("/", "o_orderpriority", year).alias("truth"),
+        F.concat_ws("/", F.lit("1-URGENT"), year).alias("predicted"),
     )
-    return m.thin_classes(m.per_class(m.confusion(pairs)), limit=40)
+    return m.thin_classes(m.per_class(m.confusion(pairs)), limit=430)
 
 
 def order_priority_per_class(spark, sf_dir):
@@ -236,10 +236,9 @@ SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 4) AS accuracy,
   count(*) FILTER (support > 0) AS classes_present FROM classes""",
     "metrics_urgency_per_class": f"""{_J}, conf AS (SELECT gold_urgency AS truth, urgency AS predicted, count(*) AS n
   FROM j WHERE gold_urgency IS NOT NULL GROUP BY ALL), {per_class_sql()} {_CLASSES}""",
-    "metrics_thin_priority_classes": f"""WITH conf AS (SELECT o_orderpriority AS truth,
-  CASE WHEN o_totalprice > 499500 THEN '1-URGENT' ELSE '2-HIGH' END AS predicted, count(*) AS n
-  FROM orders WHERE o_totalprice > 499000 GROUP BY ALL), {per_class_sql()}
-SELECT class, support FROM classes WHERE support > 0 AND support < 40""",
+    "metrics_thin_priority_classes": f"""WITH conf AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS truth,
+  '1-URGENT/' || year(o_orderdate) AS predicted, count(*) AS n FROM orders GROUP BY ALL), {per_class_sql()}
+SELECT class, support FROM classes WHERE support > 0 AND support < 430""",
     "metrics_order_priority_per_class": f"""WITH conf AS (SELECT o_orderpriority AS truth,
   CASE WHEN o_totalprice > 400000 THEN '1-URGENT' WHEN o_totalprice > 300000 THEN '2-HIGH' WHEN o_totalprice > 200000
     THEN '3-MEDIUM' WHEN o_totalprice > 100000 THEN '6-NEW' ELSE '5-LOW' END AS predicted, count(*) AS n

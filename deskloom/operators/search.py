@@ -64,11 +64,13 @@ def _pad_with_zero_scores(scored: DataFrame, queries: DataFrame, chunks: DataFra
 
 def lexical_candidates(
     queries: DataFrame, chunks: DataFrame, s: SearchSettings, index: lex.LexicalIndex | None,
-    depth: int | None,
+    depth: int | None, floor: float = 0.0,
 ) -> DataFrame:
+    # The BM25 score at which the saturated score meets the floor.
+    at_least = s.saturation * floor / (1.0 - floor) if 0.0 < floor < 1.0 else 0.0
     terms = cut_lineage(lex.query_terms(queries))
     index = index or lex.build_index(chunks, terms)
-    scores = lex.bm25_scores(terms, index, s, depth)
+    scores = lex.bm25_scores(terms, index, s, depth, at_least=at_least)
     return scores.select("query_id", *KEY, saturate(F.col("bm25"), s.saturation).alias("lexical"))
 
 
@@ -82,7 +84,7 @@ def search_lexical(
     """
     s = settings or SearchSettings()
     floor = s.min_score if floor is None else floor
-    scored = lexical_candidates(queries, chunks, s, index, s.candidates if prune else None)
+    scored = lexical_candidates(queries, chunks, s, index, s.candidates if prune else None, floor)
     if floor <= 0:
         scored = _pad_with_zero_scores(scored, queries, chunks, s.candidates)
     return take_ranked(scored.withColumn("score", F.col("lexical")), s, floor)

@@ -91,8 +91,9 @@ def _got(ranked):
     return out
 
 
-@pytest.mark.parametrize("floor", [0.18, 0.35, 0.0])
-def test_lexical_ranking_matches_brute_force(data, floor):
+@pytest.mark.parametrize("floor,broadcast", [(0.18, 10**6), (0.35, 10**6), (0.0, 10**6), (0.3, 0), (0.0, 0)])
+def test_lexical_ranking_matches_brute_force(data, floor, broadcast, monkeypatch):
+    monkeypatch.setattr(lex, "BROADCAST_TERMS", broadcast)
     rows, queries, chunks, asked = data
     got = _got(se.search_lexical(asked, chunks, floor=floor))
     for q, text in queries:

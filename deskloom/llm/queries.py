@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deskloom.llm import quality
 from deskloom.llm.common import documents
 from deskloom.llm.pieces import encoding_digests
+from deskloom.llm.secrets import secret_spans
 from deskloom.llm.token_ids import token_id_files
 
 
@@ -20,10 +22,22 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns and literals assigned to telling names."""
+    return secret_spans(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures of every document and the verdict of line-first cleaning."""
+    return quality.quality_figures(documents(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces and back."""
     return encoding_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_id_files, op10_sentencepiece)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (op4_token_id_files, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+}
+SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

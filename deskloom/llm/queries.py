@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deskloom.llm import quality
 from deskloom.llm.common import documents
+from deskloom.llm.licenses import license_notices
 from deskloom.llm.pieces import encoding_digests
 from deskloom.llm.secrets import secret_spans
 from deskloom.llm.token_ids import token_id_files
@@ -17,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return license_notices(documents(spark, sf_dir))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, written as patched blocks and read back."""
     return token_id_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
@@ -38,6 +44,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op4_token_id_files, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op4_token_id_files, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

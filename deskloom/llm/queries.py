@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from deskloom.llm import quality
 from deskloom.llm.common import documents
 from deskloom.llm.jaccard import jaccard_components
+from deskloom.llm.language import identify
 from deskloom.llm.licenses import license_notices
 from deskloom.llm.pieces import encoding_digests
 from deskloom.llm.secrets import secret_spans
@@ -29,6 +30,11 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte network."""
+    return identify(documents(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under the 4-word Jaccard join at 0.85."""
     return jaccard_components(documents(spark, sf_dir))
@@ -50,6 +56,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_license_scan, op4_token_id_files, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

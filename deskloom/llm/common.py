@@ -53,3 +53,31 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = wide.buffers()
     offsets = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def kept(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again: lineage is cut, columns stay small."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2 ** bits bits with one set for each ``key`` (long), whatever the number of keys.
+
+    A second pass over the texts uses it to leave out what cannot match; what it lets through by
+    chance is for an exact join to drop.
+    """
+    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    found = keys.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy(
+        "word"
+    ).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def admits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (64 bits, unsigned) may be one of the filter's."""
+    at = keys & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskloom.llm.common import pick, text_buffers, text_slices
+from deskloom.llm.common import admits, key_filter, pick, text_buffers, text_slices
 from deskloom.llm.graph import components
 from deskloom.llm.hashing import bands, min_hashes, mix, set_digest, shingle_sets, words
 from deskloom.session import cut_lineage
@@ -114,7 +114,6 @@ def _first_tokens(k: int, percent: int, levels, bits=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
-        admitted = None if bits is None else np.unpackbits(bits.value, bitorder="little").view(bool)
         for batch in batches:
             rep, comp = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
             for a, b, values, bounds in sets_in(batch, k):
@@ -126,11 +125,11 @@ def _first_tokens(k: int, percent: int, levels, bits=None):
                 first = size - _needed(size, percent) + 1
                 owner = np.repeat(np.arange(b - a), size)
                 keep = np.arange(len(key)) - np.repeat(bounds[:-1], size) < first[owner]
-                if admitted is not None:
-                    keep &= admitted[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+                if bits is not None:
+                    keep &= admits(bits.value, key)
                 at = owner[keep]
                 rows = {"key": pa.array(key[keep].view(np.int64)), "component": pa.array(comp[a:b][at])}
-                if admitted is not None:
+                if bits is not None:
                     rows |= {
                         "rep": pa.array(rep[a:b][at]), "n": pa.array(size[at]),
                         "last": pa.array(key[(bounds[:-1] + first - 1)[at]].view(np.int64)),
@@ -140,18 +139,6 @@ def _first_tokens(k: int, percent: int, levels, bits=None):
     return run
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bitmap of 2 ** FILTER_BITS bits, whatever the number of keys, for the tasks to skip others."""
-    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.shiftright(at, 0).bitwiseAND(F.lit(63)).cast("int")
-    words_ = keys.select(F.shiftright(at, 6).alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(
-        F.expr("bit_or(shiftleft(one, bit))").alias("bits")
-    ).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words_["word"].to_numpy()] = words_["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +235,7 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
     shared = cut_lineage(
         keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     )
-    bits = spark.sparkContext.broadcast(_filter_of(shared))
+    bits = spark.sparkContext.broadcast(key_filter(shared, FILTER_BITS))
     rows_of = placed.mapInArrow(
         _first_tokens(k, percent, levels, bits), "key long, component long, rep long, n long, last long"
     )

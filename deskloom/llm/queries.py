@@ -9,6 +9,7 @@ from deskloom.llm.common import documents
 from deskloom.llm.jaccard import jaccard_components
 from deskloom.llm.language import identify
 from deskloom.llm.licenses import license_notices
+from deskloom.llm.passages import repeated_passages
 from deskloom.llm.pieces import encoding_digests
 from deskloom.llm.secrets import secret_spans
 from deskloom.llm.token_ids import token_id_files
@@ -25,6 +26,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that other documents have too, and what of them is to go."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, written as patched blocks and read back."""
     return token_id_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
@@ -56,6 +62,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_license_scan, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

@@ -8,6 +8,7 @@ from deskloom.llm import quality
 from deskloom.llm.common import documents
 from deskloom.llm.jaccard import jaccard_components
 from deskloom.llm.language import identify
+from deskloom.llm.leaks import benchmark_leaks
 from deskloom.llm.licenses import license_notices
 from deskloom.llm.passages import repeated_passages
 from deskloom.llm.pieces import encoding_digests
@@ -31,6 +32,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, exact or with a few edits."""
+    return benchmark_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, written as patched blocks and read back."""
     return token_id_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
@@ -62,6 +68,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_benchmark_leaks, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

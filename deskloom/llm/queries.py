@@ -12,6 +12,7 @@ from deskloom.llm.leaks import benchmark_leaks
 from deskloom.llm.licenses import license_notices
 from deskloom.llm.passages import repeated_passages
 from deskloom.llm.pieces import encoding_digests
+from deskloom.llm.pii import private_spans
 from deskloom.llm.secrets import secret_spans
 from deskloom.llm.token_ids import token_id_files
 
@@ -57,6 +58,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
 
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document and the terms near it that disclose it."""
+    return private_spans(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures of every document and the verdict of line-first cleaning."""
     return quality.quality_figures(documents(spark, sf_dir))
@@ -68,6 +74,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_benchmark_leaks, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_benchmark_leaks, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_private_data, op9_quality_rules, op10_sentencepiece)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

@@ -179,32 +179,36 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return train([t for _, _, t in found], [lang for _, lang, _ in found])
 
 
+def scores(net: Network | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    n = len(texts)
+    names, best = np.full(n, UNKNOWN, object), np.zeros(n)
+    letters = pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(False)
+    data, offsets = text_buffers(texts)
+    whole = pa.RecordBatch.from_arrays([texts], ["text"])
+    for a, b in text_slices(whole, "text", 1 << 19) if net is not None else ():
+        if offsets[b] == offsets[a]:
+            continue
+        windows, owner = windows_of(fold(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
+        weight = _LETTER[windows].sum(axis=1).astype(np.float64)
+        total = np.zeros((b - a, len(net.languages)))
+        np.add.at(total, owner, net.probabilities(windows) * weight[:, None])
+        known = np.flatnonzero(letters[a:b])
+        names[a + known] = np.array(net.languages, object)[total[known].argmax(axis=1)]
+        best[a + known] = np.clip(total[known].max(axis=1) / np.maximum(total[known].sum(axis=1), 1e-12), 0, 1)
+    return names, best
+
+
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            letters = pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(False)
-            data, offsets = text_buffers(texts)
-            for a, b in text_slices(batch, "text", 1 << 19):
-                n = b - a
-                names, scores = np.full(n, UNKNOWN, object), np.zeros(n)
-                if net is not None and offsets[b] > offsets[a]:
-                    piece = fold(data[offsets[a] : offsets[b]])
-                    windows, owner = windows_of(piece, offsets[a : b + 1] - offsets[a])
-                    weight = _LETTER[windows].sum(axis=1).astype(np.float64)
-                    chance = net.probabilities(windows) * weight[:, None]
-                    total = np.zeros((n, len(net.languages)))
-                    np.add.at(total, owner, chance)
-                    all_ = np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
-                    known = letters[a:b]
-                    names[known] = np.array(net.languages, object)[total.argmax(axis=1)[known]]
-                    scores[known] = np.clip((total / all_).max(axis=1)[known], 0, 1)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id")[a:b], "held_out": batch.column("held_out")[a:b],
-                        "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(scores),
-                    }
-                )
+            names, best = scores(net, batch.column("text"))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                    "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(best),
+                }
+            )
 
     return run
 
@@ -218,3 +222,14 @@ def predict(docs: DataFrame, net: Network | None, *, doc_id: str = "doc_id", tex
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the labelled rows and predict all."""
     return predict(docs, fit(docs))
+
+
+def keep_known(docs: DataFrame, net: Network | None, *, min_score: float, text: str = "text") -> DataFrame:
+    """The rows, all columns, whose language is found with at least ``min_score``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, best = scores(net, batch.column(batch.schema.get_field_index(text)))
+            yield batch.filter(pa.array((names != UNKNOWN) & (best >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)

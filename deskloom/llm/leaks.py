@@ -11,7 +11,7 @@ is ``RATE`` of its length; items too short for the lemma have no budget and must
 The benchmark is the stated query set: it goes to the tasks in blocks of a fixed size, as many as
 it needs, and each block meets all documents.
 
-Null or empty texts and items match nothing. Rows with a null id stay, with a null id. Repeated ids
+Null or empty texts and items match nothing. Null ids stay null. Repeated ids
 give one row each. Documents without a leak are not in the result. Empty tables: no rows.
 Further columns are ignored.
 """
@@ -177,32 +177,36 @@ class Index:
         return best
 
 
+def matches(own: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, edits, start, end) of the best match of each item in each text of a column."""
+    overlap = max(map(len, own.items), default=0) * 2 + 4 * own.width
+    data, offsets = text_buffers(texts)
+    rows: list[tuple] = []
+    for a, b in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        block = data[offsets[a] : offsets[b]]
+        if b - a == 1 and len(block) > PIECE:
+            best: dict[int, tuple] = {}
+            for x in range(0, len(block), PIECE):
+                for item, match in _placed(own, block[x : x + PIECE + overlap], x):
+                    best[item] = min(best.get(item, match), match)
+            rows += [(a, item, *_points(block, match)) for item, match in best.items()]
+            continue
+        # All texts of the slice at once; regions are looked at text by text.
+        bounds = offsets[a : b + 1] - offsets[a]
+        for row in _texts_with_hits(own, block, bounds):
+            text = block[bounds[row] : bounds[row + 1]]
+            rows += [(a + row, item, *_points(text, match)) for item, match in _placed(own, text, 0)]
+    return rows
+
+
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        overlap = max(map(len, own.items), default=0) * 2 + 4 * own.width
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            rows: list[tuple] = []
-            for a, b in text_slices(batch, "text"):
-                if b - a == 1 and offsets[b] - offsets[a] > PIECE:
-                    best: dict[int, tuple] = {}
-                    for x in range(int(offsets[a]), int(offsets[b]), PIECE):
-                        piece = data[x : min(x + PIECE + overlap, int(offsets[b]))]
-                        for item, match in _placed(own, piece, x - int(offsets[a])):
-                            best[item] = min(best.get(item, match), match)
-                    text = data[offsets[a] : offsets[b]]
-                    rows += [(a, item, *_points(text, match)) for item, match in best.items()]
-                    continue
-                # All texts of the slice at once; regions are looked at text by text.
-                block = data[offsets[a] : offsets[b]]
-                for row in _texts_with_hits(own, block, offsets[a : b + 1] - offsets[a]):
-                    text = block[offsets[a + row] - offsets[a] : offsets[a + row + 1] - offsets[a]]
-                    rows += [(a + row, item, *_points(text, match)) for item, match in _placed(own, text, 0)]
-            ids = batch.column("doc_id")
+            rows = matches(own, batch.column("text"))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": ids.take(pa.array([r[0] for r in rows], pa.int64())),
+                    "doc_id": batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
                     "item_id": pa.array([own.ids[r[1]] for r in rows], pa.int64()),
                     "distance": pa.array([r[2] for r in rows], pa.int32()),
                     "start": pa.array([r[3] for r in rows], pa.int64()),
@@ -213,6 +217,16 @@ def _search(index):
     return run
 
 
+def _drop(index, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in matches(index.value, batch.column(batch.schema.get_field_index(text)))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _placed(index: Index, raw: np.ndarray, shift: int) -> list[tuple[int, tuple[int, int, int]]]:
     """Items and their matches, as bytes of the text as it stands."""
     data, at = normal(raw)
@@ -242,19 +256,34 @@ def _texts_with_hits(index: Index, block: np.ndarray, offsets: np.ndarray) -> li
     return np.flatnonzero(count >= index.least.min(initial=1)).tolist()
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                    item_id: str = "item_id", item_text: str = "text", rate: float = RATE,
-                    block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance, start, end (code points): the best match of each item in each document."""
-    spark = docs.sparkSession
-    own = pick(docs, doc_id=doc_id, text=text)
+def blocks(benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", rate: float = RATE,
+           block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+    """The benchmark in indexes of about ``block_chars`` characters each."""
     items = pick(benchmark, item_id=item_id, text=item_text).filter(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    found = []
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Index.of(sorted((r["item_id"], r["text"]) for r in mine.dropDuplicates().collect() if r["item_id"] is not None), rate)
+    n = -(-total // block_chars)
+    for block in range(n):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).dropDuplicates()
+        rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        index = Index.of(rows, rate)
         if index.items:
-            found.append(own.mapInArrow(_search(spark.sparkContext.broadcast(index)), SCHEMA))
+            yield index
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
+                    **of_benchmark) -> DataFrame:
+    """doc_id, item_id, distance, start, end (code points): the best match of each item in each row."""
+    spark = docs.sparkSession
+    own = pick(docs, doc_id=doc_id, text=text)
+    found = [
+        own.mapInArrow(_search(spark.sparkContext.broadcast(index)), SCHEMA)
+        for index in blocks(benchmark, **of_benchmark)
+    ]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **of_benchmark) -> DataFrame:
+    """The rows, all columns, that hold no item."""
+    for index in blocks(benchmark, **of_benchmark):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(index), text), docs.schema)
+    return docs

@@ -32,8 +32,12 @@ HEADING_WORDS = 8
 LONG_LINE = rf"([^\x20\x09-\x0D]+{SPACE}){{{HEADING_WORDS}}}[^\x20\x09-\x0D]"
 NAVIGATION = (
     r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?in|sign ?up|next|previous|back to top|skip to (main )?content"
-    r"|read more|share this|print this page|search)[\x20\x09-\x0D]*[>»|]?[\x20\x09-\x0D]*$|([^|>»]{1,40}[|>»]){4}"
+    r"|read more|share this|print this page|search)[\x20\x09-\x0D]*[>»|]?[\x20\x09-\x0D]*$"
 )
+#: A bread crumb or menu: so many of these marks, with not more than so many characters to each.
+SEPARATORS, MIN_SEPARATORS, PER_SEPARATOR = "|>»", 4, 40
+#: Boilerplate phrases count in lines of up to so many characters; a longer line only mentions them.
+BOILERPLATE_CHARS = 300
 BOILERPLATE = (
     r"(?i)(enable javascript|javascript is (disabled|required)|uses? cookies|cookie (policy|settings)|all rights reserved"
     r"|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter|click here to)"
@@ -58,11 +62,13 @@ def line_passes(line: Column) -> Column:
     """Whether a line that has a word stays."""
     length = F.length(line)
     capitals, small = _letters(line, "A", "Z"), _letters(line, "a", "z")
+    marks = length - F.length(_without(line, SEPARATORS))
     closed = line.rlike(CLOSED) | ~line.rlike(LONG_LINE)
     return (
         closed
         & ~line.rlike(NAVIGATION)
-        & ~line.rlike(BOILERPLATE)
+        & ((marks < MIN_SEPARATORS) | (marks * PER_SEPARATOR < length))
+        & ((length > BOILERPLATE_CHARS) | ~line.rlike(BOILERPLATE))
         & (F.lit(100) * (length - F.length(_without(line, SYMBOLS))) <= F.lit(MAX_SYMBOLS) * length)
         & ((capitals < 20) | (F.lit(100) * capitals <= F.lit(MAX_CAPITALS) * (capitals + small)))
     )
@@ -189,7 +195,10 @@ passing AS (
   SELECT doc_id, count(*) AS n, sum(length(l)) AS c FROM once
   WHERE (regexp_matches(l, {_quoted(CLOSED)})
          OR NOT regexp_matches(l, '{LONG_LINE}'))
-    AND NOT regexp_matches(l, {_quoted(NAVIGATION)}) AND NOT regexp_matches(l, {_quoted(BOILERPLATE)})
+    AND NOT regexp_matches(l, {_quoted(NAVIGATION)})
+    AND (length(l) - length(translate(l, '{SEPARATORS}', '')) < {MIN_SEPARATORS}
+         OR {PER_SEPARATOR} * (length(l) - length(translate(l, '{SEPARATORS}', ''))) < length(l))
+    AND (length(l) > {BOILERPLATE_CHARS} OR NOT regexp_matches(l, {_quoted(BOILERPLATE)}))
     AND 100 * (length(l) - length(translate(l, '{SYMBOLS}', ''))) <= {MAX_SYMBOLS} * length(l)
     AND ({_sql_letters("A", "Z")} < 20
          OR 100 * {_sql_letters("A", "Z")} <= {MAX_CAPITALS} * ({_sql_letters("A", "Z")} + {_sql_letters("a", "z")}))

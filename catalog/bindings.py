@@ -110,16 +110,12 @@ scores AS (SELECT query_id, doc_ord, chunk_no, bm25 / (bm25 + 16.0) AS lexical F
 
 
 def ranked_sql(scored: str, score: str, floor: float, name: str = "ranked") -> str:
-    """CTEs that apply look-ahead, floor, per-document cap and top k to ``scored``."""
+    """CTEs that apply floor, per-document cap and top k to ``scored``."""
     return f"""
-{name}_seen AS (
-  SELECT *, {score} AS score,
-    row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, doc_ord, chunk_no) AS seen
-  FROM {scored}
-),
+{name}_seen AS (SELECT *, {score} AS score FROM {scored}),
 {name}_doc AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, doc_ord ORDER BY round(score, 9) DESC, chunk_no) AS nth
-  FROM {name}_seen WHERE seen <= 20 AND score >= {floor}
+  FROM {name}_seen WHERE score >= {floor}
 ),
 {name}_all AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_ord, chunk_no) AS rank

@@ -31,11 +31,11 @@ def decisions(spark, sf_dir):
 
 
 def newest_rows(spark, sf_dir):
-    return dl.rows_of_run(decisions(spark, sf_dir), limit=1000).select("id", "run_id", "ticket_id", "action")
+    return dl.rows_of_run(decisions(spark, sf_dir)).select("id", "run_id", "ticket_id", "action")
 
 
 def rows_of_run(spark, sf_dir):
-    return dl.rows_of_run(decisions(spark, sf_dir), RUN, 5).select("id", "run_id", "ticket_id", "action")
+    return dl.rows_of_run(decisions(spark, sf_dir), RUN).select("id", "run_id", "ticket_id", "action")
 
 
 def count_of_run(spark, sf_dir):
@@ -101,13 +101,13 @@ def reply_cache(spark, sf_dir):
 
 
 def request_rate(spark, sf_dir):
-    """Requests of each kind in the trailing minute."""
+    """Requests of each kind in the trailing ten minutes."""
     events = b.table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     return sq.trailing_counts(events, ["event_type"], "ts", 600).select("event_id", "in_window")
 
 
 def paced_requests(spark, sf_dir):
-    """Waiting time under a limit of one request per minute and kind."""
+    """Waiting time under a limit of two requests per minute and kind."""
     events = b.table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     paced = sq.paced_admissions(events, ["event_type"], "ts", "event_id", per_minute=2)
     return paced.select("event_id", F.round("wait_seconds", 6).alias("wait_seconds"))
@@ -137,20 +137,20 @@ log AS (
     o.ticket_id, o.channel, o.action, o.intent AS predicted_intent, o.latency_seconds, o.degraded, o.error, o.rule_fired
   FROM events e JOIN outcomes o ON o.ticket_ord = e.event_id
 )"""
-_OPS = f"""{_L}, newest AS (SELECT * FROM log ORDER BY id DESC LIMIT 20000),
+_OPS = f"""{_L},
 ops AS (
   SELECT count(*) AS total, count(*) FILTER (action = 'answer') AS answered, count(*) FILTER (action = 'escalate') AS escalated,
     count(*) FILTER (action = 'blocked') AS blocked, count(*) FILTER (degraded) AS degraded, count(error) AS errors,
     list_sort(list(latency_seconds))[(count(*) * 0.95)::DOUBLE::INT - CASE WHEN (count(*) * 0.95)::DOUBLE::INT > count(*) * 0.95 THEN 1 ELSE 0 END + 1] AS p95_seconds
-  FROM newest
+  FROM log
 )"""
 
 SQL = {
-    "log_newest_rows": f"{_L} SELECT id, run_id, ticket_id, action FROM log ORDER BY id DESC LIMIT 1000",
-    "log_rows_of_run": f"{_L} SELECT id, run_id, ticket_id, action FROM log WHERE run_id = '{RUN}' ORDER BY id LIMIT 5",
+    "log_newest_rows": f"{_L} SELECT id, run_id, ticket_id, action FROM log",
+    "log_rows_of_run": f"{_L} SELECT id, run_id, ticket_id, action FROM log WHERE run_id = '{RUN}'",
     "log_count_of_run": f"{_L} SELECT count(*) AS n FROM log WHERE run_id = '{RUN}'",
-    "log_decisions_for_ticket": f"""{_L}, newest AS (SELECT * FROM log ORDER BY id DESC LIMIT 5000)
-SELECT id, ticket_id, action, rule_fired FROM newest WHERE ticket_id = '{TICKET}'""",
+    "log_decisions_for_ticket": f"""{_L}
+SELECT id, ticket_id, action, rule_fired FROM log WHERE ticket_id = '{TICKET}'""",
     "log_reconciliation": f"""{_L} SELECT run_id, count(DISTINCT ticket_id) AS tickets_processed, count(*) AS decisions_logged,
   count(DISTINCT ticket_id) AS distinct_tickets_logged, count(*) = count(DISTINCT ticket_id) AS reconciles FROM log GROUP BY run_id""",
     "log_actions_by_run": f"{_L} SELECT run_id, action, count(*) AS n FROM log GROUP BY ALL",

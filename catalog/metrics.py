@@ -133,7 +133,11 @@ def gap_examples(spark, sf_dir):
 
 
 def common_intents(spark, sf_dir):
-    return m.most_common(b.flat_outcomes(spark, sf_dir), "intent", "ticket_ord", 5)
+    return m.most_common(b.flat_outcomes(spark, sf_dir), "intent", "ticket_ord")
+
+
+def safety_violations(spark, sf_dir):
+    return m.safety_violations(_rows(spark, sf_dir))
 
 
 QUERIES = {
@@ -144,7 +148,7 @@ QUERIES = {
         thin_priority_classes, order_priority_per_class, grounding_summary, routing_confusion,
         routing_summary, safety, guardrail_activity, private_data_released, calibration_check,
         fairness_groups, fairness_gaps, documentation_gaps, gap_priorities, gap_examples,
-        common_intents,
+        common_intents, safety_violations,
     )
 }
 
@@ -250,11 +254,9 @@ SELECT class, support FROM classes WHERE support > 0 AND support < 430""",
 SELECT sum(n)::BIGINT AS n_with_labels, round(sum(n) FILTER (truth = predicted) / sum(n), 4) AS accuracy,
   coalesce(sum(n) FILTER (truth = 'auto_respond' AND predicted = 'escalate'), 0)::BIGINT AS over_escalated,
   coalesce(sum(n) FILTER (truth = 'escalate' AND predicted = 'auto_respond'), 0)::BIGINT AS under_escalated FROM conf""",
-    "metrics_safety": f"""{_J}, v AS (SELECT ticket_id, ticket_ord FROM j WHERE gold_must_not AND action = 'answer'
-  ORDER BY ticket_ord LIMIT 20)
-SELECT count(*) FILTER (gold_must_not) AS flagged, count(*) FILTER (gold_must_not AND action = 'answer') AS violations,
-  CASE WHEN count(*) FILTER (gold_must_not) > 0 THEN count(*) FILTER (gold_must_not AND action = 'answer') = 0 END AS condition_met,
-  (SELECT coalesce(string_agg(ticket_id, ',' ORDER BY ticket_ord), '') FROM v) AS violating_ticket_ids FROM j""",
+    "metrics_safety": f"""{_J} SELECT count(*) FILTER (gold_must_not) AS flagged, count(*) FILTER (gold_must_not AND action = 'answer') AS violations,
+  CASE WHEN count(*) FILTER (gold_must_not) > 0 THEN count(*) FILTER (gold_must_not AND action = 'answer') = 0 END AS condition_met FROM j""",
+    "metrics_safety_violations": f"""{_J} SELECT ticket_ord, ticket_id FROM j WHERE gold_must_not AND action = 'answer'""",
     "metrics_guardrail_activity": f"""{_O} SELECT 'private_data' AS name, count(*) FILTER (f_private) AS triggered, count(*) FILTER (f_private) AS blocked FROM outcomes
 UNION ALL SELECT 'unsupported_claims', count(*) FILTER (f_unsupported), 0 FROM outcomes
 UNION ALL SELECT 'prohibited_commitment', 0, 0
@@ -274,9 +276,9 @@ GROUP BY attribute""",
     "metrics_documentation_gaps": f"""{_O} SELECT count(*) FILTER ({_GAP}) AS tickets_with_no_documentation_answer,
   round(avg(({_GAP})::INT), 4) AS share_of_all_tickets FROM outcomes""",
     "metrics_gap_priorities": f"""{_O} SELECT intent, count(*) AS tickets FROM outcomes WHERE {_GAP}
-GROUP BY intent ORDER BY count(*) DESC, min(ticket_ord) LIMIT 10""",
-    "metrics_gap_examples": f"""{_J} SELECT ticket_id, channel, intent, coalesce(left(body, 200), '') AS question,
-  top_score AS best_score_found FROM j WHERE {_GAP} ORDER BY ticket_ord, ticket_id LIMIT 25""",
+GROUP BY intent""",
+    "metrics_gap_examples": f"""{_J} SELECT ticket_id, channel, intent, coalesce(body, '') AS question,
+  top_score AS best_score_found FROM j WHERE {_GAP}""",
     "metrics_common_intents": f"""{_O} SELECT intent, count(*) AS n, min(ticket_ord) AS first_seen FROM outcomes
-GROUP BY intent ORDER BY n DESC, first_seen LIMIT 5""",
+GROUP BY intent""",
 }

@@ -200,10 +200,9 @@ SELECT query_id, doc_ord, chunk_no, round(bm25, 6) AS bm25 FROM raw""",
     "search_without_floor": f"""WITH RECURSIVE {b.CHUNKS_SQL}, items AS (SELECT item_id::VARCHAR AS query_id, text FROM benchmark),
 queries AS (SELECT * FROM items UNION ALL SELECT 'x' || query_id, regexp_replace(text, '[A-Za-z0-9_./-]', 'é', 'g') FROM items),
 {b.bm25_sql("queries")},
-head AS (SELECT doc_ord, chunk_no FROM corpus ORDER BY doc_ord, chunk_no LIMIT 20),
 padded AS (
   SELECT query_id, doc_ord, chunk_no, lexical FROM scores
-  UNION ALL SELECT q.query_id, h.doc_ord, h.chunk_no, 0.0 FROM queries q, head h
+  UNION ALL SELECT q.query_id, h.doc_ord, h.chunk_no, 0.0 FROM queries q, corpus h
   WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = q.query_id AND s.doc_ord = h.doc_ord AND s.chunk_no = h.chunk_no)
 ), {b.ranked_sql("padded", "lexical", 0.0)}
 SELECT query_id, rank::INT AS rank, doc_ord, chunk_no, round(score, 4) AS score FROM ranked""",

@@ -199,7 +199,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(score,
 tops AS (
   SELECT {key}, max(intent) FILTER (i = 1) AS intent, max(score) FILTER (i = 1) AS s1,
     coalesce(max(score) FILTER (i = 2), 0) AS s2,
-    coalesce(string_agg(intent, ',' ORDER BY i) FILTER (i BETWEEN 2 AND 4), '') AS alternatives
+    coalesce(string_agg(intent, ',' ORDER BY i) FILTER (i >= 2), '') AS alternatives
   FROM placed GROUP BY {key}
 ),
 {name} AS (

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-INPUT_TEXT_LIMIT = 8000
-LOOKUP_WINDOW = 5000
-METRICS_WINDOW = 20000
+from deskloom.operators import quantiles
 
 
 def decision_rows(outcomes: DataFrame) -> DataFrame:
@@ -15,7 +13,7 @@ def decision_rows(outcomes: DataFrame) -> DataFrame:
     no_findings = F.array().cast("array<struct<name:string>>")
     return outcomes.select(
         "run_id", "ticket_id", "processed_at", "channel", "customer_tier", "region",
-        F.left("model_text", F.lit(INPUT_TEXT_LIMIT)).alias("input_text"),
+        F.col("model_text").alias("input_text"),
         F.col("classification.intent").alias("predicted_intent"),
         F.col("classification.urgency").alias("predicted_urgency"),
         F.col("classification.confidence").alias("confidence"),
@@ -36,11 +34,10 @@ def decision_rows(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def rows_of_run(log: DataFrame, run_id: str | None = None, limit: int = 1000) -> DataFrame:
-    """Oldest first within a run; newest first over the whole log."""
-    if run_id is not None:
-        return log.filter(F.col("run_id") == run_id).orderBy("id").limit(limit)
-    return log.orderBy(F.desc("id")).limit(limit)
+def rows_of_run(log: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Oldest first within a run; newest first over the whole log. All rows unless a limit is asked for."""
+    rows = log.orderBy(F.desc("id")) if run_id is None else log.filter(F.col("run_id") == run_id).orderBy("id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def count(log: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -48,9 +45,9 @@ def count(log: DataFrame, run_id: str | None = None) -> DataFrame:
     return chosen.agg(F.count("*").alias("n"))
 
 
-def decisions_for(log: DataFrame, ticket_id: str, window: int = LOOKUP_WINDOW) -> DataFrame:
-    """Decisions about one ticket among the newest ``window`` rows: the limit comes first."""
-    return rows_of_run(log, limit=window).filter(F.col("ticket_id") == ticket_id)
+def decisions_for(log: DataFrame, ticket_id: str) -> DataFrame:
+    """All decisions about one ticket; the filter reaches the scan of the log."""
+    return log.filter(F.col("ticket_id") == ticket_id)
 
 
 def reconcile(log: DataFrame, processed: DataFrame) -> DataFrame:
@@ -80,35 +77,17 @@ def per_run(log: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(log: DataFrame, value: str, fraction: float) -> Column:
-    """The element at floor(n * fraction) of the sorted values, as a scalar.
-
-    Values are merged to (value, count) before they meet the running count.
-    """
-    merged = log.groupBy(F.coalesce(value, F.lit(0.0)).alias("v")).agg(F.count("*").alias("c"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    total = log.agg(F.count("*").alias("n")).scalar()
-    return (
-        merged.withColumn("upto", F.sum("c").over(up))
-        .filter(F.col("upto") > F.floor(total * fraction))
-        .agg(F.min("v"))
-        .scalar()
-    )
-
-
-def operations(log: DataFrame, window: int = METRICS_WINDOW) -> DataFrame:
-    """Counters and nearest-rank p95 over the newest ``window`` decisions, in one row."""
-    newest = rows_of_run(log, limit=window)
-    return newest.agg(
+def operations(log: DataFrame) -> DataFrame:
+    """Counters and nearest-rank p95 over the whole log, in one row. For a time span filter the log."""
+    p95 = quantiles.nearest_rank(log, F.coalesce("latency_seconds", F.lit(0.0)), {"p95": 0.95})
+    return log.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("action") == "answer").alias("answered"),
         F.count_if(F.col("action") == "escalate").alias("escalated"),
         F.count_if(F.col("action") == "blocked").alias("blocked"),
         F.count_if(F.col("degraded")).alias("degraded"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
-    ).withColumn(
-        "p95_seconds", F.coalesce(nearest_rank(newest, "latency_seconds", 0.95), F.lit(0.0))
-    )
+    ).withColumn("p95_seconds", F.coalesce(p95.scalar(), F.lit(0.0)))
 
 
 def blast_radius(log: DataFrame, intent: str, since: str) -> DataFrame:

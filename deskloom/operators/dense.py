@@ -1,6 +1,6 @@
 """Exact cosine top-k over unit vectors, pruned by cells and computed in bounded blocks.
 
-Vectors are assigned to the nearest of a fixed number of pivots. By the triangle
+Vectors are assigned to the nearest of some pivots. By the triangle
 inequality on angles, a cell can be skipped for a query when even its best possible
 vector is worse than the query's ``depth``-th best from the nearest cells. What remains
 is an equi-join on (cell, slice, query block): both sides of every group are bounded, so
@@ -10,6 +10,7 @@ a cell holding a third of the corpus is many tasks, and each task emits only its
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from deskloom.session import cut_lineage
 
 KEY = ["doc_ord", "chunk_no"]
 PIVOTS = 64
+MOST_PIVOTS = 4096
 SLICE_ROWS = 4096
 QUERY_BLOCK = 1024
 ANGLE_SLACK = 1e-6
@@ -58,7 +60,7 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def _block_top(depth: int):
+def _block_top(depth: int, per_document: int | None = None):
     def top(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", *KEY, "dense"]
         if not len(corpus) or not len(queries):
@@ -66,10 +68,12 @@ def _block_top(depth: int):
         corpus = corpus.sort_values(KEY, kind="stable")
         sims = np.clip(unit_rows(queries["vec"]) @ unit_rows(corpus["vec"]).T, 0.0, 1.0)
         # Stable sort on a corpus in key order: ties go to the earlier chunk.
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :depth]
+        order = np.argsort(-sims, axis=1, kind="stable")
+        if per_document is None:
+            order = order[:, :depth]
         width = order.shape[1]
         flat = order.ravel()
-        return pd.DataFrame(
+        found = pd.DataFrame(
             {
                 "query_id": np.repeat(queries["query_id"].to_numpy(), width),
                 "doc_ord": corpus["doc_ord"].to_numpy()[flat],
@@ -77,6 +81,10 @@ def _block_top(depth: int):
                 "dense": np.take_along_axis(sims, order, axis=1).ravel(),
             }
         )
+        if per_document is not None:
+            found = found[found.groupby(["query_id", "doc_ord"]).cumcount() < per_document]
+            found = found[found.groupby("query_id").cumcount() < depth]
+        return found
 
     return top
 
@@ -96,8 +104,13 @@ class CellIndex:
         return {int(c): int(-(-n // SLICE_ROWS)) for c, n in zip(self.ids, self.sizes)}
 
 
-def build_cells(corpus: DataFrame, pivots: int = PIVOTS) -> CellIndex | None:
-    """Assign every vector of (doc_ord, chunk_no, vec) once; None for an empty corpus."""
+def build_cells(corpus: DataFrame, pivots: int | None = None) -> CellIndex | None:
+    """Assign every vector of (doc_ord, chunk_no, vec) once; None for an empty corpus.
+
+    The number of cells grows as the square root of the corpus, up to a table that fits each task.
+    """
+    if pivots is None:
+        pivots = min(max(PIVOTS, math.isqrt(corpus.count())), MOST_PIVOTS)
     points = choose_pivots(corpus, pivots)
     if not len(points):
         return None
@@ -115,29 +128,32 @@ def build_cells(corpus: DataFrame, pivots: int = PIVOTS) -> CellIndex | None:
     )
 
 
-def _probe(index: CellIndex, visits: DataFrame, blocks: int, depth: int):
+def _probe(index: CellIndex, visits: DataFrame, blocks: int, depth: int, per_document: int | None):
     """Score each visit (query_id, vec, cell) against its cell and keep the best ``depth``."""
     per_cell = F.create_map(*[F.lit(x) for pair in index.slices.items() for x in pair])
     n_slices = F.element_at(per_cell, F.col("cell"))
-    left = index.celled.withColumn(
-        "slice", F.pmod(F.xxhash64(*KEY), n_slices).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = visits.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn(
-        "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    )
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    right = visits.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn("block", block)
+    # A cell's vectors go to the blocks of queries that visit it, and to no others.
+    visited = visits.select("cell", block.alias("block")).distinct()
+    left = index.celled.withColumn("slice", F.pmod(F.xxhash64(*KEY), n_slices).cast("int")).join(visited, "cell")
     groups = ["cell", "slice", "block"]
     local = (
         left.groupBy(*groups)
         .cogroup(right.groupBy(*groups))
         .applyInPandas(
-            _block_top(depth), "query_id string, doc_ord long, chunk_no int, dense double"
+            _block_top(depth, per_document), "query_id string, doc_ord long, chunk_no int, dense double"
         )
     )
-    return keep_best(local, depth)
+    return keep_best(local, depth, per_document)
 
 
-def keep_best(scored: DataFrame, depth: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("dense"), *KEY)
+def keep_best(scored: DataFrame, depth: int, per_document: int | None = None) -> DataFrame:
+    order = [F.desc("dense"), *KEY]
+    if per_document is not None:
+        of_document = Window.partitionBy("query_id", "doc_ord").orderBy(*order)
+        scored = scored.withColumn("n", F.row_number().over(of_document)).filter(F.col("n") <= per_document).drop("n")
+    best = Window.partitionBy("query_id").orderBy(*order)
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= depth)
@@ -145,8 +161,10 @@ def keep_best(scored: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def nearest(queries: DataFrame, corpus: DataFrame | CellIndex | None, depth: int, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, chunk key, dense): the ``depth`` best chunks by clamped cosine, exactly.
+def nearest(queries: DataFrame, corpus: DataFrame | CellIndex | None, depth: int, pivots: int | None = None,
+            per_document: int | None = None) -> DataFrame:
+    """(query_id, chunk key, dense): the ``depth`` best chunks by clamped cosine, exactly, and of a
+    document at most ``per_document``.
 
     ``queries`` is (query_id string, vec); ``corpus`` is (doc_ord, chunk_no, vec) or its index.
     """
@@ -183,14 +201,14 @@ def nearest(queries: DataFrame, corpus: DataFrame | CellIndex | None, depth: int
 
     visit = "query_id string, vec array<float>, cell int"
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vec")
-    first = _probe(index, queries.mapInPandas(home_cells, visit), blocks, depth)
+    first = _probe(index, queries.mapInPandas(home_cells, visit), blocks, depth, per_document)
     bounds = first.groupBy("query_id").agg(
         F.when(F.count("*") >= depth, F.min("dense")).otherwise(F.lit(0.0)).alias("bound")
     )
     bounded = queries.join(bounds, "query_id", "left").select(
         "query_id", "vec", F.coalesce("bound", F.lit(0.0)).alias("bound")
     )
-    return _probe(index, bounded.mapInPandas(open_cells, visit), blocks, depth)
+    return _probe(index, bounded.mapInPandas(open_cells, visit), blocks, depth, per_document)
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

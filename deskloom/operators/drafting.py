@@ -83,10 +83,10 @@ def handover_note(subject: Column, body: Column, passages: Column, reason: Colum
     """Four labelled lines that need no model."""
     subject, body = F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))
     words = strip(F.when(subject != "", subject).otherwise(body))
-    first_line = F.left(F.get(F.split(words, r"\r\n|[\n\r]", 2), F.lit(0)), F.lit(200))
+    first_line = F.get(F.split(words, r"\r\n|[\n\r]", 2), F.lit(0))
     known = F.array_join(
         F.transform(
-            F.slice(passages, 1, 3),
+            passages,
             lambda p: F.concat(
                 p["title"],
                 F.when(F.coalesce(p["section"], F.lit("")) != "",
@@ -97,13 +97,13 @@ def handover_note(subject: Column, body: Column, passages: Column, reason: Colum
     )
     return F.concat(
         F.lit("WHAT THEY WANT: "),
-        F.when(words == "", F.lit("(no readable content)")).otherwise(first_line),
+        F.when(words == "", F.lit("the message holds no text")).otherwise(first_line),
         F.lit("\nWHAT WE KNOW: "),
         F.when(F.coalesce(F.size(passages), F.lit(0)) > 0, known)
-        .otherwise(F.lit("nothing relevant found in the documentation")),
+        .otherwise(F.lit("no article of the documentation matches")),
         F.lit("\nWHY THIS CAME TO YOU: "), reason,
-        F.lit("\nSUGGESTED FIRST STEP: Check the sources above against the message, which was "
-              "classified as "), intent, F.lit(" at "), urgency, F.lit(" urgency."),
+        F.lit("\nSUGGESTED FIRST STEP: Read the message beside what is listed here. Its category was taken to be "),
+        intent, F.lit(", its urgency "), urgency, F.lit("."),
     )
 
 

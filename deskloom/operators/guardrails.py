@@ -5,6 +5,9 @@ All four are column expressions over the draft's own row; nothing here shuffles.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import lexicon as lx
@@ -30,8 +33,17 @@ def luhn_valid(value: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Decimal digits of all scripts in the basic planes, and the ASCII digit of each."""
+    found = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
 def octets_valid(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255)
+    """Each part at most 255, in whatever script the digits are; a part too long for a number is not."""
+    plain = F.translate(value, *_digits())
+    return F.forall(F.split(plain, r"\."), lambda o: F.coalesce(o.try_cast("int") <= 255, F.lit(False)))
 
 
 def redact(value: Column) -> Column:
@@ -112,7 +124,7 @@ def check_private_data(text: Column, settings: Settings) -> Column:
             F.concat(F.size(found).cast("string"), F.lit(" possible private-data occurrence(s) in the outgoing text")),
         ).otherwise(F.lit("no private data found in the outgoing text"))
         evidence = F.transform(
-            F.slice(found, 1, 10), lambda e: F.concat(e["name"], F.lit(": "), redact(e["value"]))
+            found, lambda e: F.concat(e["name"], F.lit(": "), redact(e["value"]))
         )
         return finding(
             "private_data", hit, hit & F.lit(settings.guardrails.block_on_pii), detail, evidence
@@ -128,8 +140,7 @@ def check_commitments(text: Column, settings: Settings) -> Column:
             F.lit("no commercial commitments found")
         )
         evidence = F.transform(
-            F.slice(found, 1, 5),
-            lambda e: F.concat(e["name"], F.lit(": "), F.left(e["value"], F.lit(80))),
+            found, lambda e: F.concat(e["name"], F.lit(": "), e["value"])
         )
         return finding(
             "prohibited_commitment", hit, hit & F.lit(settings.guardrails.block_on_commitment),
@@ -145,7 +156,7 @@ def check_injection(text: Column) -> Column:
         detail = F.when(hit, F.lit("the draft shows signs of having been redirected by the ticket")).otherwise(
             F.lit("no sign of leaked or redirected instructions")
         )
-        return finding("injection_leak", hit, hit, detail, F.slice(found, 1, 5))
+        return finding("injection_leak", hit, hit, detail, found)
 
     return let(injection_evidence(text), verdict)
 
@@ -227,7 +238,7 @@ def check_unsupported(score: Column, settings: GuardrailSettings) -> Column:
         f"{settings.min_supported_ratio:.0%}".replace("%", "%%") + ", method %s)",
         score["ratio"] * 100, score["method"],
     )
-    evidence = F.transform(F.slice(score["unsupported"], 1, 5), lambda s: F.left(s, F.lit(180)))
+    evidence = score["unsupported"]
     return finding(
         "unsupported_claims", hit, hit & F.lit(settings.block_on_unsupported), detail, evidence
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import lexicon as lx
 from deskloom.functions import labels as lb
+from deskloom.operators import quantiles
 from deskloom.operators.calibration import expected_calibration_error
 
 
@@ -100,11 +101,12 @@ def volume_by(outcomes: DataFrame, column: str) -> DataFrame:
 
 def business(outcomes: DataFrame) -> DataFrame:
     human = F.col("action").isin("escalate", "blocked")
+    middle = quantiles.interpolated(outcomes, "latency_seconds", {"median": 0.5})
     return outcomes.agg(
         F.coalesce(_rate(F.col("action") == "answer"), F.lit(0.0)).alias("first_contact_resolution"),
         F.coalesce(_rate(human), F.lit(0.0)).alias("escalation_rate"),
         F.coalesce(F.round(F.avg("latency_seconds"), 4), F.lit(0.0)).alias("mean_response_seconds"),
-        F.coalesce(F.round(F.median("latency_seconds"), 4), F.lit(0.0)).alias("median_response_seconds"),
+        F.coalesce(F.round(middle.scalar(), 4), F.lit(0.0)).alias("median_response_seconds"),
         _count(F.coalesce(F.col("escalation_note"), F.lit("")) != "").alias(
             "escalations_with_context_package"
         ),
@@ -156,20 +158,17 @@ def human_baseline(tickets: DataFrame) -> DataFrame:
 
 
 def latency(outcomes: DataFrame) -> DataFrame:
-    """Mean, interpolated percentiles and maximum.
-
-    ``percentile`` merges equal values before the shuffle, so the state grows with the
-    number of distinct latencies, which are rounded to 4 digits.
-    """
+    """Mean, interpolated percentiles and maximum, exact whatever the number of distinct latencies."""
     x = F.col("latency_seconds")
 
-    def at(p: float) -> Column:
-        return F.coalesce(F.round(F.percentile(x, F.lit(p)), 4), F.lit(0.0))
+    def rounded(value: Column) -> Column:
+        return F.coalesce(F.round(value, 4), F.lit(0.0))
 
-    return outcomes.agg(
-        F.coalesce(F.round(F.avg(x), 4), F.lit(0.0)).alias("mean"),
-        at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-        F.coalesce(F.round(F.max(x), 4), F.lit(0.0)).alias("max"),
+    points = quantiles.interpolated(outcomes, x, {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    ends = outcomes.agg(rounded(F.avg(x)).alias("mean"), rounded(F.max(x)).alias("max"))
+    # Two frames of one row each.
+    return ends.join(F.broadcast(points)).select(
+        "mean", *[rounded(F.col(p)).alias(p) for p in ("median", "p95", "p99")], "max"
     )
 
 
@@ -321,21 +320,21 @@ def document_accuracy(rows: DataFrame) -> DataFrame:
     )
 
 
-def safety(rows: DataFrame, listed: int = 20) -> DataFrame:
-    """Automated replies to tickets that must never get one; the first ids in input order."""
+def safety(rows: DataFrame) -> DataFrame:
+    """Automated replies to tickets that must never get one, counted; see ``safety_violations``."""
     flagged = F.coalesce(F.col("gold_must_not"), F.lit(False))
     violating = flagged & (F.col("action") == "answer")
     total, bad = _count(flagged), _count(violating)
-    counts = rows.agg(
+    return rows.agg(
         total.alias("flagged"), bad.alias("violations"),
         F.when(total > 0, bad == 0).alias("condition_met"),
     )
-    first = (
-        rows.filter(violating).orderBy("ticket_ord", "ticket_id").limit(listed)
-        .agg(F.sort_array(F.collect_list(F.struct("ticket_ord", "ticket_id"))).alias("x"))
-        .select(F.array_join(F.transform("x", lambda e: e["ticket_id"]), ",").alias("ids"))
-    )
-    return counts.withColumn("violating_ticket_ids", first.scalar())
+
+
+def safety_violations(rows: DataFrame) -> DataFrame:
+    """Every ticket that got an automated reply although it must never get one."""
+    flagged = F.coalesce(F.col("gold_must_not"), F.lit(False))
+    return rows.filter(flagged & (F.col("action") == "answer")).select("ticket_ord", "ticket_id")
 
 
 def guardrail_activity(outcomes: DataFrame) -> DataFrame:
@@ -427,28 +426,28 @@ def gap_summary(outcomes: DataFrame, rules=(lx.R5,)) -> DataFrame:
     )
 
 
-def gap_priorities(outcomes: DataFrame, rules=(lx.R5,), k: int = 10) -> DataFrame:
+def gap_priorities(outcomes: DataFrame, rules=(lx.R5,), k: int | None = None) -> DataFrame:
     """Intents most often without an answer; ties by first occurrence."""
-    return (
+    ranked = (
         outcomes.filter(F.col("rule_fired").isin(*rules))
         .groupBy("intent")
         .agg(F.count("*").alias("tickets"), F.min("ticket_ord").alias("first_seen"))
         .orderBy(F.desc("tickets"), "first_seen")
-        .limit(k)
         .select("intent", "tickets")
     )
+    return ranked if k is None else ranked.limit(k)
 
 
-def gap_examples(rows: DataFrame, rules=(lx.R5,), k: int = 25) -> DataFrame:
-    """The first unanswered questions, for whoever writes the documentation."""
+def gap_examples(rows: DataFrame, rules=(lx.R5,), k: int | None = None) -> DataFrame:
+    """Unanswered questions in input order, for whoever writes the documentation."""
     question = F.coalesce(F.nullif("subject", F.lit("")), F.col("body"), F.lit(""))
-    return (
+    found = (
         rows.filter(F.col("rule_fired").isin(*rules))
         .orderBy("ticket_ord", "ticket_id")
-        .limit(k)
-        .select("ticket_id", "channel", "intent", F.left(question, F.lit(200)).alias("question"),
+        .select("ticket_id", "channel", "intent", question.alias("question"),
                 F.col("top_score").alias("best_score_found"))
     )
+    return found if k is None else found.limit(k)
 
 
 def run_summary(outcomes: DataFrame, tickets: DataFrame) -> DataFrame:

@@ -16,39 +16,36 @@ KEY = lex.KEY
 
 
 def take_ranked(scored: DataFrame, s: SearchSettings, floor: float | None = None) -> DataFrame:
-    """Look at the best candidates only, apply the floor, cap per document, keep ``top_k``.
+    """Apply the floor, keep the best ``per_document`` chunks of each document, then the best ``top_k``.
 
-    The floor goes first: what it removes ranks behind everything it keeps, so the best
-    candidates above the floor stay the same and far fewer rows are sorted. Three windows
-    share one exchange: the narrower partitioning by document is satisfied by rows already
-    hashed on the query, and the first limit is applied before the shuffle.
+    Both limits are applied before the shuffles, so few rows for each query travel.
     """
     floor = s.min_score if floor is None else floor
     order = [lex.settled(F.col("score")).desc(), *KEY]
-    per_query = Window.partitionBy("query_id").orderBy(*order)
     per_document = Window.partitionBy("query_id", "doc_ord").orderBy(*order)
+    per_query = Window.partitionBy("query_id").orderBy(*order)
     return (
         scored.filter(F.col("score") >= floor)
-        .withColumn("seen", F.row_number().over(per_query))
-        .filter(F.col("seen") <= s.candidates)
         .withColumn("of_document", F.row_number().over(per_document))
         .filter(F.col("of_document") <= s.per_document)
         .withColumn("rank", F.row_number().over(per_query))
         .filter(F.col("rank") <= s.top_k)
-        .drop("seen", "of_document")
+        .drop("of_document")
     )
 
 
-def _pad_with_zero_scores(scored: DataFrame, queries: DataFrame, chunks: DataFrame, depth: int):
+def _pad_with_zero_scores(scored: DataFrame, queries: DataFrame, chunks: DataFrame, s: SearchSettings):
     """Without a floor, chunks that match nothing rank after the others in corpus order.
 
-    The first ``depth`` chunks of the corpus always contain enough of them, so they are
-    read once as one array of fixed length.
+    Fewer than ``top_k`` documents can be used up by matches where a filler is needed at all, and a
+    document that is not has less than ``per_document`` matches. So the first chunks of the first
+    2 * ``top_k`` documents are enough; they are read once as one array of fixed length.
     """
+    first = chunks.select("doc_ord").distinct().orderBy("doc_ord").limit(2 * s.top_k)
+    place = F.row_number().over(Window.partitionBy("doc_ord").orderBy("chunk_no"))
     head = (
-        chunks.select(*KEY)
-        .orderBy(*KEY)
-        .limit(depth)
+        chunks.select(*KEY).join(first, "doc_ord").withColumn("place", place)
+        .filter(F.col("place") < 2 * s.per_document)
         .agg(F.sort_array(F.collect_list(F.struct(*KEY))).alias("head"))
         .scalar()
     )
@@ -62,16 +59,9 @@ def _pad_with_zero_scores(scored: DataFrame, queries: DataFrame, chunks: DataFra
     return scored.unionByName(filler.select("query_id", *KEY, *zeros))
 
 
-def lexical_candidates(
-    queries: DataFrame, chunks: DataFrame, s: SearchSettings, index: lex.LexicalIndex | None,
-    depth: int | None, floor: float = 0.0,
-) -> DataFrame:
-    # The BM25 score at which the saturated score meets the floor.
-    at_least = s.saturation * floor / (1.0 - floor) if 0.0 < floor < 1.0 else 0.0
-    terms = cut_lineage(lex.query_terms(queries))
-    index = index or lex.build_index(chunks, terms)
-    scores = lex.bm25_scores(terms, index, s, depth, at_least=at_least)
-    return scores.select("query_id", *KEY, saturate(F.col("bm25"), s.saturation).alias("lexical"))
+def _unsaturated(score: Column, saturation: float) -> Column:
+    """The BM25 score that saturates to ``score``; never reached from 1 on."""
+    return F.when(score <= 0, F.lit(0.0)).when(score < 1, saturation * score / (1 - score)).otherwise(F.lit(1e300))
 
 
 def search_lexical(
@@ -84,9 +74,13 @@ def search_lexical(
     """
     s = settings or SearchSettings()
     floor = s.min_score if floor is None else floor
-    scored = lexical_candidates(queries, chunks, s, index, s.candidates if prune else None, floor)
+    terms = cut_lineage(lex.query_terms(queries))
+    index = index or lex.build_index(chunks, terms)
+    least = terms.select("query_id").distinct().withColumn("at_least", _unsaturated(F.lit(float(floor)), s.saturation))
+    scores = lex.bm25_scores(terms, index, s, s.top_k, least) if prune else lex.bm25_scores(terms, index, s)
+    scored = scores.select("query_id", *KEY, saturate(F.col("bm25"), s.saturation).alias("lexical"))
     if floor <= 0:
-        scored = _pad_with_zero_scores(scored, queries, chunks, s.candidates)
+        scored = _pad_with_zero_scores(scored, queries, chunks, s)
     return take_ranked(scored.withColumn("score", F.col("lexical")), s, floor)
 
 
@@ -97,49 +91,61 @@ def search_hybrid(
 ) -> DataFrame:
     """Weighted sum of clamped cosine and saturated BM25, exactly, without scoring all pairs.
 
-    Candidates are the dense top ``candidates`` and the lexical matches. A lexical match
-    outside the dense top cannot have a cosine above the last one in it, so its best
-    possible sum is known; matches that cannot reach the proven bound are dropped before
-    any vector is fetched for them.
+    The dense list holds the best ``dense_depth`` chunks of each query, ``per_document`` of a document
+    at most. All matching chunks of its documents are scored at once; the ``top_k``-th best sum among
+    them is a bound of the last ranked sum. A chunk of another document has no cosine above the
+    last of the list, so its BM25 score must make up the rest of the bound; only such chunks are
+    looked for, and vectors are fetched for what is left.
     """
     s = settings or SearchSettings()
     floor = s.min_score if floor is None else floor
-    w, depth = s.dense_weight, s.candidates
+    w, depth = s.dense_weight, s.dense_depth
     asked = queries.filter(~is_blank(F.col("text")))
     query_vectors = query_vectors.join(asked.select("query_id"), "query_id", "left_semi")
     cells = dn.build_cells(chunk_vectors)
-    # At most ``candidates`` rows per query, read three times.
-    by_vector = cut_lineage(dn.nearest(query_vectors, cells, depth))
-    by_text = lexical_candidates(queries, chunks, s, index, None)
+    # A few rows for each query, read more than once.
+    by_vector = cut_lineage(dn.nearest(query_vectors, cells, depth, per_document=s.per_document))
+    if cells is not None:
+        chunk_vectors = cells.celled
+    terms = cut_lineage(lex.query_terms(queries))
+    index = index or lex.build_index(chunks, terms)
 
-    last_dense = by_vector.groupBy("query_id").agg(
+    def lexical(scores: DataFrame) -> DataFrame:
+        return scores.select("query_id", *KEY, saturate(F.col("bm25"), s.saturation).alias("lexical"))
+
+    near = lexical(lex.bm25_within(terms, index, by_vector.select("query_id", "doc_ord").distinct(), s))
+    pairs = by_vector.select("query_id", *KEY).union(near.select("query_id", *KEY)).distinct().join(
+        near, ["query_id", *KEY], "left"
+    ).fillna(0.0, ["lexical"])
+    total = w * F.col("dense") + (1 - w) * F.col("lexical")
+    close = cut_lineage(dn.score_pairs(pairs, query_vectors, chunk_vectors))
+    order = [F.desc("score"), *KEY]
+    ranked = (
+        close.withColumn("score", total)
+        .withColumn("n", F.row_number().over(Window.partitionBy("query_id", "doc_ord").orderBy(*order)))
+        .filter(F.col("n") <= s.per_document)
+        .withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        .filter(F.col("n") == s.top_k).select("query_id", F.col("score").alias("bound"))
+    )
+    last = by_vector.groupBy("query_id").agg(
         F.when(F.count("*") >= depth, F.min("dense")).otherwise(F.lit(0.0)).alias("last_dense")
     )
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("lexical"), *KEY)
-    last_lexical = (
-        by_text.withColumn("r", F.row_number().over(ranked))
-        .filter(F.col("r") <= depth)
-        .groupBy("query_id")
-        .agg(F.max(F.when(F.col("r") == depth, F.col("lexical"))).alias("last_lexical"))
+    # What BM25 has to bring where the vector brings no more than the end of the list.
+    missing = (F.coalesce("bound", F.lit(0.0)) - w * F.coalesce("last_dense", F.lit(0.0)) - lex.BOUND_SLACK) / (1 - w)
+    least = terms.select("query_id").distinct().join(ranked, "query_id", "left").join(last, "query_id", "left").select(
+        "query_id", _unsaturated(missing, s.saturation).alias("at_least")
     )
-    rest = F.coalesce("last_dense", F.lit(0.0))
-    bound = F.greatest(w * rest, (1 - w) * F.coalesce("last_lexical", F.lit(0.0)))
-    lexical = F.coalesce("lexical", F.lit(0.0))
-    pairs = (
-        by_text.join(by_vector.withColumn("hit", F.lit(True)).drop("dense"), ["query_id", *KEY], "full")
-        .join(last_dense, "query_id", "left")
-        .join(last_lexical, "query_id", "left")
-        .filter(F.col("hit") | (w * rest + (1 - w) * lexical + lex.BOUND_SLACK >= bound))
-        .select("query_id", *KEY, lexical.alias("lexical"))
+    least = cut_lineage(least)
+    matches = lexical(
+        lex.bm25_scores(terms, index, s, None, least).join(least, "query_id").filter(
+            F.col("bm25") * (1 + lex.BOUND_SLACK) + lex.BOUND_SLACK >= F.col("at_least")
+        )
     )
-    if cells is not None:
-        chunk_vectors = cells.celled
-    scored = dn.score_pairs(pairs, query_vectors, chunk_vectors)
+    far = matches.join(close.select("query_id", *KEY), ["query_id", *KEY], "left_anti")
+    scored = close.unionByName(dn.score_pairs(far, query_vectors, chunk_vectors))
     if floor <= 0:
-        scored = _pad_with_zero_scores(scored, queries, chunks, depth)
-    return take_ranked(
-        scored.withColumn("score", w * F.col("dense") + (1 - w) * F.col("lexical")), s, floor
-    )
+        scored = _pad_with_zero_scores(scored, queries, chunks, s)
+    return take_ranked(scored.withColumn("score", total), s, floor)
 
 
 def with_passages(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from deskloom import lexicon as lx
 from deskloom.operators import metrics as m
 
+#: Rows that the report shows of tables that can be long.
+LISTED, TOPICS, EXAMPLES = 20, 10, 25
+
 
 def _one(df: DataFrame) -> dict:
     row = df.first()
@@ -52,7 +55,13 @@ def build_report(
             "latency_seconds": _one(m.latency(outcomes)),
             "routing": {**_one(m.routing_summary(routes)), "confusion": _many(routes, "truth", "predicted")},
         },
-        "safety": _one(m.safety(rows)),
+        "safety": {
+            **_one(m.safety(rows)),
+            # Shown in the report; the full list is safety_violations().
+            "violating_ticket_ids": ",".join(
+                r["ticket_id"] for r in m.safety_violations(rows).orderBy("ticket_ord", "ticket_id").limit(LISTED).collect()
+            ),
+        },
         "governance": {
             "guardrails": _many(m.guardrail_activity(outcomes), "name"),
             **_one(m.private_data(outcomes)),
@@ -64,8 +73,8 @@ def build_report(
         },
         "documentation_gaps": {
             **_one(m.gap_summary(outcomes)),
-            "priority_order": [r.asDict() for r in m.gap_priorities(outcomes).collect()],
-            "examples": [r.asDict() for r in m.gap_examples(rows).collect()],
+            "priority_order": [r.asDict() for r in m.gap_priorities(outcomes, k=TOPICS).collect()],
+            "examples": [r.asDict() for r in m.gap_examples(rows, k=EXAMPLES).collect()],
         },
         "reconciliation": _one(reconciliation) if reconciliation is not None else {},
     }

@@ -39,13 +39,13 @@ class SearchSettings:
     saturation: float = _env("RETRIEVAL_LEXICAL_SATURATION", 16.0)
     k1: float = 1.5
     b: float = 0.75
-    # Only the best ``look_ahead * top_k`` candidates are examined per query.
-    look_ahead: int = 4
     per_document: int = 2
+    # Length of a query's dense list in hybrid search, in ``top_k``; a matter of cost only.
+    dense_lists: int = 4
 
     @property
-    def candidates(self) -> int:
-        return self.top_k * self.look_ahead
+    def dense_depth(self) -> int:
+        return self.top_k * self.dense_lists
 
 
 @dataclass(frozen=True)

@@ -121,11 +121,11 @@ def test_sinks_round_trip(spark, tmp_path):
 
 
 def test_prompt_register_and_overrides(spark, tmp_path):
-    (tmp_path / "p-judge-001.json").write_text('{"version": "9", "template": "T"}')
+    (tmp_path / "p-escalate-001.json").write_text('{"version": "9", "template": "T"}')
     (tmp_path / "p-answer-001.json").write_text("broken")
     register = prompts.load_overrides(tmp_path)
     rows = {r.id: r.version for r in prompts.register_rows(spark, register).collect()}
-    assert len(rows) == 6 and rows["P-JUDGE-001"] == "9" and rows["P-ANSWER-001"] == "1.0.0"
+    assert len(rows) == 5 and rows["P-ESCALATE-001"] == "9" and rows["P-ANSWER-001"] == "1.0.0"
     filled = spark.range(1).select(prompts.fill("a {x} {y} {x}", x=F.lit("1"), y=F.lit("2")).alias("t")).first().t
     assert filled == "a 1 2 1"
 

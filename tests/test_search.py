@@ -65,7 +65,7 @@ def _bm25(rows, text):
 def _rank(scores, floor, k=5):
     order = sorted(scores, key=lambda c: (-round(scores[c], 9), c))
     picked, per_doc = [], {}
-    for c in order[: k * 4]:
+    for c in order:
         if scores[c] < floor or per_doc.get(c[0], 0) >= 2:
             continue
         per_doc[c[0]] = per_doc.get(c[0], 0) + 1
@@ -91,9 +91,8 @@ def _got(ranked):
     return out
 
 
-@pytest.mark.parametrize("floor,broadcast", [(0.18, 10**6), (0.35, 10**6), (0.0, 10**6), (0.3, 0), (0.0, 0)])
-def test_lexical_ranking_matches_brute_force(data, floor, broadcast, monkeypatch):
-    monkeypatch.setattr(lex, "BROADCAST_TERMS", broadcast)
+@pytest.mark.parametrize("floor", [0.18, 0.35, 0.0, 0.3])
+def test_lexical_ranking_matches_brute_force(data, floor):
     rows, queries, chunks, asked = data
     got = _got(se.search_lexical(asked, chunks, floor=floor))
     for q, text in queries:
@@ -105,14 +104,12 @@ def test_lexical_ranking_matches_brute_force(data, floor, broadcast, monkeypatch
 
 
 @pytest.mark.parametrize("depth", [None, 4, 20])
-def test_both_scoring_plans_agree_with_brute_force(spark, data, depth, monkeypatch):
+def test_scores_agree_with_brute_force(spark, data, depth, monkeypatch):
     rows, queries, chunks, asked = data
     monkeypatch.setattr(lex, "POSTINGS_PER_SALT", 7)
     terms = cut_lineage(lex.query_terms(asked))
     index = lex.build_index(chunks, terms)
-    by_chunk = lex.bm25_scores(terms, index, depth=depth)
-    by_term = lex.bm25_scores(terms, index, depth=depth, broadcast_terms=0)
-    for frame in (by_chunk, by_term):
+    for frame in (lex.bm25_scores(terms, index, depth=depth),):
         got = {}
         for r in frame.collect():
             got.setdefault(r.query_id, {})[(r.doc_ord, r.chunk_no)] = r.bm25

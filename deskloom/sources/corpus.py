@@ -8,7 +8,7 @@ from deskloom import lexicon as lx
 from deskloom.functions.labels import pick
 from deskloom.operators.chunking import chunk_documents
 from deskloom.settings import SearchSettings
-from deskloom.sources.tickets import is_object, tagged, wrapped_list
+from deskloom.sources.tickets import FILE_STEP, is_object, numbered_files, tagged, wrapped_list
 
 EMPTY = ("", "[]")
 
@@ -70,9 +70,12 @@ def articles_from_records(records: DataFrame) -> DataFrame:
 
 def load_articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles of a JSON documentation file, or of a folder of such files."""
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.posexplode(_records(F.col("value"))).alias("position", "record_text"))
-    return articles_from_records(records)
+    found = numbered_files(spark, path).select(
+        "file_no", F.posexplode(_records(F.col("value"))).alias("at", "record_text")
+    )
+    return articles_from_records(
+        found.select((F.col("file_no") * FILE_STEP + F.col("at")).alias("position"), "record_text")
+    )
 
 
 def load_corpus(spark: SparkSession, path: str, settings: SearchSettings | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from deskloom import lexicon as lx
 from deskloom.functions.text import LINE_BREAK
@@ -89,10 +89,31 @@ def records_of(text: Column) -> Column:
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, position, record_text). One document per file, so a folder of files is parallel."""
+#: Positions within one file stay below this; those of the next file start here.
+FILE_STEP = 1 << 32
+
+
+def numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_no, value) of whole text files; numbers follow the order of the paths.
+
+    The names alone meet in one task, never the texts.
+    """
     whole = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return whole.select("path", F.posexplode(records_of(F.col("value"))).alias("position", "record_text"))
+    numbers = whole.select("path").distinct().withColumn(
+        "file_no", F.row_number().over(Window.orderBy("path")).cast("long") - 1
+    )
+    return whole.join(numbers, "path")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, position, record_text). One document per file, so a folder of files is parallel.
+
+    Positions are unique over all files; in the first file they count from 0.
+    """
+    found = numbered_files(spark, path).select(
+        "path", "file_no", F.posexplode(records_of(F.col("value"))).alias("at", "record_text")
+    )
+    return found.select("path", (F.col("file_no") * FILE_STEP + F.col("at")).alias("position"), "record_text")
 
 
 def load_ticket_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +132,16 @@ def load_tickets(spark: SparkSession, path: str) -> DataFrame:
 def stream_tickets(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """JSON Lines tickets arriving as files, normalised by the same operator.
 
-    Positions are only used for ids of unlabelled tickets; in a stream the file name and
-    row index are not ordered, so a hash of the record takes their place.
+    Positions are only used for ids of unlabelled tickets. A hash of the file, the block it was read
+    from, the place within the value and the record tells equal texts of different files apart.
     """
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    records = lines.select(
+        "file_path", "file_block_start", "row", F.posexplode(line_records(F.col("value"))).alias("at", "record_text")
     )
-    records = lines.select(F.explode(line_records(F.col("value"))).alias("record_text"))
-    return normalise_tickets(records.withColumn("position", F.xxhash64("record_text")))
+    key = F.xxhash64("file_path", "file_block_start", "row", "at", "record_text")
+    return normalise_tickets(records.select(key.alias("position"), "record_text"))

@@ -64,13 +64,14 @@ def urgency_per_class(spark, sf_dir):
 
 
 def thin_priority_classes(spark, sf_dir):
-    """Order priority by year as the class; classes with fewer examples than the limit."""
+    """Order priority by year as the class; classes with less than 2.8 percent of the examples."""
     year = F.year("o_orderdate").cast("string")
     pairs = b.table(spark, sf_dir, "orders").select(
         F.concat_ws("/", "o_orderpriority", year).alias("truth"),
         F.concat_ws("/", F.lit("1-URGENT"), year).alias("predicted"),
     )
-    return m.thin_classes(m.per_class(m.confusion(pairs)), limit=430)
+    classes = m.per_class(m.confusion(pairs))
+    return m.thin_classes(classes, limit=0.028 * classes.agg(F.sum("support")).scalar())
 
 
 def order_priority_per_class(spark, sf_dir):
@@ -242,7 +243,7 @@ SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 4) AS accuracy,
   FROM j WHERE gold_urgency IS NOT NULL GROUP BY ALL), {per_class_sql()} {_CLASSES}""",
     "metrics_thin_priority_classes": f"""WITH conf AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS truth,
   '1-URGENT/' || year(o_orderdate) AS predicted, count(*) AS n FROM orders GROUP BY ALL), {per_class_sql()}
-SELECT class, support FROM classes WHERE support > 0 AND support < 430""",
+SELECT class, support FROM classes WHERE support > 0 AND support < 0.028::DOUBLE * (SELECT sum(support) FROM classes)""",
     "metrics_order_priority_per_class": f"""WITH conf AS (SELECT o_orderpriority AS truth,
   CASE WHEN o_totalprice > 400000 THEN '1-URGENT' WHEN o_totalprice > 300000 THEN '2-HIGH' WHEN o_totalprice > 200000
     THEN '3-MEDIUM' WHEN o_totalprice > 100000 THEN '6-NEW' ELSE '5-LOW' END AS predicted, count(*) AS n

@@ -223,7 +223,8 @@ def class_summary(classes: DataFrame) -> DataFrame:
     )
 
 
-def thin_classes(classes: DataFrame, limit: int = lx.MIN_GROUP) -> DataFrame:
+def thin_classes(classes: DataFrame, limit: int | Column = lx.MIN_GROUP) -> DataFrame:
+    """Classes with fewer examples than the limit, a number or a share of their total."""
     return classes.filter((F.col("support") > 0) & (F.col("support") < limit)).select("class", "support")
 
 

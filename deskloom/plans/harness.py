@@ -11,6 +11,7 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deskloom.operators import decision_log as dl
@@ -27,8 +28,13 @@ EXIT_OK, EXIT_NO_INPUT, EXIT_INCOMPLETE = 0, 2, 3
 
 
 def _completed(spark: SparkSession, path: str) -> DataFrame | None:
-    """Outcomes of earlier attempts; unreadable means none."""
-    return spark.read.parquet(path) if any(Path(path).glob("**/*.parquet")) else None
+    """Outcomes of earlier attempts, on any storage that Spark reads; none before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def run(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from deskloom import lexicon as lx
 from deskloom.operators import metrics as m
@@ -164,11 +164,22 @@ def markdown(report: dict) -> str:
     return "\n".join(out)
 
 
+def _put(folder: str, name: str, text: str) -> None:
+    """A small text file, through Hadoop's file systems where the folder names one."""
+    if "://" not in folder:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        (Path(folder) / name).write_text(text, encoding="utf-8")
+        return
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+
+
 def write_report(report: dict, folder: str) -> None:
     """metrics.json, documentation_gaps.json and metrics.md; a few kilobytes from the driver."""
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
     dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False, default=str)
-    (target / "metrics.json").write_text(dump(report), encoding="utf-8")
-    (target / "documentation_gaps.json").write_text(dump(report["documentation_gaps"]), encoding="utf-8")
-    (target / "metrics.md").write_text(markdown(report), encoding="utf-8")
+    _put(folder, "metrics.json", dump(report))
+    _put(folder, "documentation_gaps.json", dump(report["documentation_gaps"]))
+    _put(folder, "metrics.md", markdown(report))

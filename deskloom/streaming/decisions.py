@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from deskloom.operators.chunking import chunk_documents
 from deskloom.operators.decision_log import decision_rows
+from deskloom.operators.lexical import build_index
 from deskloom.plans.triage import triage
 from deskloom.settings import ProviderSettings, Settings
 
@@ -21,11 +23,16 @@ def triage_stream(
 
     Ranking needs windows over all passages of a ticket, which is a batch notion; the
     micro-batch is that batch. The batch id names its output folder, so a replayed batch
-    overwrites itself and no decision is logged twice.
+    overwrites itself and no decision is logged twice. The documentation is indexed once, when
+    the stream starts.
     """
+    s = settings or Settings()
+    chunks = chunk_documents(articles, s.search)
+    index = build_index(chunks)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         decided = triage(
-            batch, articles, settings, run_id=run_id,
+            batch, articles, s, run_id=run_id, chunks=chunks, index=index,
             processed_at=F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
         )
         decision_rows(decided).write.mode("overwrite").parquet(

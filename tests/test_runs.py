@@ -51,7 +51,7 @@ def test_batch_run_resumes_and_reconciles(spark, files):
     assert rules["T-2"] == "R1_never_automate_intent" and rules["T-3"] == "R3_empty_ticket"
     outcomes = {r.ticket_id: r for r in spark.read.parquet(str(files / "out" / "outcomes")).collect()}
     assert outcomes["T-0"].retrieved[0].doc_id == "kb-keys" and outcomes["T-5"].retrieved == outcomes["T-0"].retrieved
-    assert outcomes["T-4"].retrieved == [] and outcomes["T-3"].escalation_package.note.startswith("WHAT THEY WANT: (no readable")
+    assert outcomes["T-4"].retrieved == [] and outcomes["T-3"].escalation_package.note.startswith("WHAT THEY WANT: the message holds no text")
     text = (files / "out" / "metrics.md").read_text()
     assert "## Fairness" in text and "Decision log reconciles: True" in text
     assert json.loads((files / "out" / "metrics.json").read_text())["run"]["completed_fully"] is True

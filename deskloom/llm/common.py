@@ -62,14 +62,21 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of 2 ** bits bits with one set for each ``key`` (long), whatever the number of keys.
+#: Bits of a key filter at most.
+MAX_BITS = 1 << 29
+
+
+def key_filter(keys: DataFrame, per_key: int = 16) -> np.ndarray:
+    """Bitmap with one bit set for each ``key`` (long): ``per_key`` bits or more a key, 64 MB at most.
 
     A second pass over the texts uses it to leave out what cannot match; what it lets through by
-    chance is for an exact join to drop.
+    chance is for an exact join to drop. The keys are written down once, as they are read twice.
     """
+    stored = kept(keys.select("key"), "keys")
+    bits = int(min(max(stored.count(), 1) * per_key, MAX_BITS) - 1).bit_length()
+    bits = max(bits, 10)
     at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    found = keys.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy(
+    found = stored.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy(
         "word"
     ).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)

@@ -1,24 +1,26 @@
 """Exact n-gram Jaccard join by a token-group matrix, and the components of its links.
 
-Documents with equal sets form one class, and a representative stands for it. MinHash bands pick for
-each representative the leader it meets most often; verified pairs of the two give the groups, so
-that similar documents share one. Which documents share a group changes the cost only, not the
-result.
+Documents with equal sets form one class, which is the node of all that follows. MinHash bands name
+leaders for each class: in each bucket and size range the class with most documents and the one with
+the smallest set, and the smallest one of the next lower range. Verified pairs of class and leader
+give the groups, so that similar documents share one. Which documents share a group changes the cost
+only, not the result.
 
 Every token has a place in one order: rare before frequent (by counts of all tokens in a table of
 fixed size), then by hash. Two sets whose Jaccard index reaches the threshold share one of their
 first n - ceil(threshold * n) + 1 tokens in that order. The matrix holds, for each group of up to
-``GROUP_ROWS`` documents, the union of its members' first tokens; each document's first tokens are
-looked up in it. The tokens found and those that can still be shared bound the overlap of query and
-group from above; only groups that reach the threshold are opened and their members compared with
-the query set by set. A group's members are linked already, so its first link with a query is
-enough, and a query never opens its own component: a group of copies costs as many look-ups as
-it has rows, not their square.
+``GROUP_ROWS`` classes, the union of its members' first tokens; each class's first tokens are looked
+up in it. The tokens found and those that can still be shared bound the overlap of query and group
+from above; only groups that reach the threshold are opened and their members compared with the
+query set by set. A group's members are linked already, so its first link with a query is enough, and
+a query never opens its own component: a group of copies costs as many look-ups as it has rows, not
+their square. The texts themselves are never shuffled; each step reads them once more and sends
+only the tokens it needs.
 
 A text's words are runs without white space, A-Z lower-cased. Fewer words than a shingle make one
-element of the whole sequence. A null or empty text has an empty set and no links. Repeated ids are
-one document whose rows all get its component; rows with a null id have a null component. Empty
-table: no rows. Tokens are 64-bit hashes. Further columns are ignored.
+element of the whole sequence. A null or empty text has an empty set and no links. Repeated ids
+are told apart by their texts; rows with a null id have a null component. Empty table: no rows.
+Tokens and classes are 64-bit hashes. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskloom.llm.common import admits, key_filter, pick, text_buffers, text_slices
+from deskloom.llm.common import admits, kept, key_filter, pick, text_buffers, text_slices
 from deskloom.llm.graph import components
 from deskloom.llm.hashing import bands, min_hashes, mix, set_digest, shingle_sets, words
 from deskloom.session import cut_lineage
@@ -44,11 +46,9 @@ SKETCH_BITS = 20
 _SLICE = 1 << 12
 #: Documents of a group of the matrix.
 GROUP_ROWS = 16
-#: Bits of the filter that the second pass over the texts uses.
-FILTER_BITS = 23
 _KEY_BITS = np.uint64(58)
 
-SUMMARY = "doc_id long, n long, h1 long, h2 long, bands array<long>, slice int, counts binary"
+SUMMARY = "doc_id long, n long, node long, bands array<long>, slice int, counts binary"
 
 
 def sets_in(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,12 +66,11 @@ def _summaries(k: int):
             ids = batch.column("doc_id")
             for a, b, values, bounds in sets_in(batch, k):
                 counts += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                h1, h2 = set_digest(values, bounds)
                 n = b - a
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids[a:b], "n": pa.array(np.diff(bounds), pa.int64()), "h1": pa.array(h1),
-                        "h2": pa.array(h2),
+                        "doc_id": ids[a:b], "n": pa.array(np.diff(bounds), pa.int64()),
+                        "node": pa.array(set_digest(values, bounds)[0]),
                         "bands": pa.FixedSizeListArray.from_arrays(
                             pa.array(bands(min_hashes(values, bounds, BANDS * ROWS), ROWS).ravel()), BANDS
                         ).cast(pa.list_(pa.int64())),
@@ -82,7 +81,7 @@ def _summaries(k: int):
             rows = counts.astype("<u4").reshape(-1, _SLICE)
             m = len(rows)
             yield pa.RecordBatch.from_pydict(
-                {c: pa.nulls(m, pa.int64()) for c in ("doc_id", "n", "h1", "h2")}
+                {c: pa.nulls(m, pa.int64()) for c in ("doc_id", "n", "node")}
                 | {"bands": pa.nulls(m, pa.list_(pa.int64())), "slice": pa.array(range(m), pa.int32())}
                 | {"counts": pa.array([r.tobytes() for r in rows], pa.binary())}
             )
@@ -115,39 +114,41 @@ def _first_tokens(k: int, percent: int, levels, bits=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for batch in batches:
-            rep, comp = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
             for a, b, values, bounds in sets_in(batch, k):
                 level = table[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 key = (level << _KEY_BITS) | (mix(values) >> np.uint64(6))
                 size = np.diff(bounds)
-                order = np.lexsort((key, np.repeat(np.arange(b - a), size)))
-                key = key[order]
-                first = size - _needed(size, percent) + 1
                 owner = np.repeat(np.arange(b - a), size)
+                key = key[np.lexsort((key, owner))]
+                first = size - _needed(size, percent) + 1
                 keep = np.arange(len(key)) - np.repeat(bounds[:-1], size) < first[owner]
                 if bits is not None:
                     keep &= admits(bits.value, key)
                 at = owner[keep]
-                rows = {"key": pa.array(key[keep].view(np.int64)), "component": pa.array(comp[a:b][at])}
+                rows = {
+                    "key": pa.array(key[keep].view(np.int64)), "node": pa.array(set_digest(values, bounds)[0][at])
+                }
                 if bits is not None:
                     rows |= {
-                        "rep": pa.array(rep[a:b][at]), "n": pa.array(size[at]),
-                        "last": pa.array(key[(bounds[:-1] + first - 1)[at]].view(np.int64)),
+                        "n": pa.array(size[at]), "last": pa.array(key[(bounds[:-1] + first - 1)[at]].view(np.int64))
                     }
                 yield pa.RecordBatch.from_pydict(rows)
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bits):
+    """Token sets of the classes that the filter admits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, values, bounds in sets_in(batch, k):
-                raw, ends = values.tobytes(), (8 * bounds).tolist()
+            for _, _, values, bounds in sets_in(batch, k):
+                node = set_digest(values, bounds)[0]
+                wanted = np.flatnonzero(admits(bits.value, node.view(np.uint64)) & (np.diff(bounds) > 0))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column("doc_id")[a:b],
-                        "tokens": pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary()),
+                        "node": pa.array(node[wanted]),
+                        "tokens": pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in wanted], pa.binary()),
                     }
                 )
 
@@ -181,16 +182,46 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; ``sets``: doc_id, tokens."""
+    """The pairs (a, b) whose sets reach the threshold; ``sets``: node, tokens."""
     left = pairs.join(sets.toDF("a", "x"), "a")
     both = left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
 def _with_sets(own: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Token sets of the documents that the pairs name, one row for each."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return own.join(named, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary")
+    """node, tokens of the classes that the pairs name, one row for each."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = own.sparkSession.sparkContext.broadcast(key_filter(named.select(F.col("node").alias("key"))))
+    found = own.mapInArrow(_sets(k, bits), "node long, tokens binary").join(named, "node", "left_semi")
+    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
+def _leaders(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and the leaders that most of its bands name."""
+    # Linked sets lie in the same size range or in neighbouring ones.
+    size_range = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    spread = classes.select("node", "n", "size", size_range.alias("range"), F.posexplode("bands").alias("band", "low"))
+    bucket = ["band", "low", "range"]
+    chosen = spread.groupBy(*bucket).agg(
+        F.max_by("node", F.struct("size", "node")).alias("most"), F.min_by("node", F.struct("n", "node")).alias("least"),
+    )
+    above = chosen.select("band", "low", (F.col("range") + 1).alias("range"), F.col("least").alias("lower"))
+    met = spread.join(chosen, bucket).join(above, bucket, "left").select(
+        "node", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("leader")) for k, c in enumerate(("most", "least", "lower"))])).alias("x")
+    ).select("node", "x.*").filter("leader <> node").groupBy("node", "kind", "leader").count()
+    best = met.groupBy("node", "kind").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    return best.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _can_reach(shared, n, m, percent: int):
+    """Whether sets of n and m can be linked with no more than so many shared first tokens.
+
+    Of the set whose first tokens end earlier all others may be shared, as many as the threshold asks
+    for, less one. Near copies below the threshold share most tokens, yet each has too few first
+    tokens that another has: this keeps them from meeting each other.
+    """
+    rest = F.ceil(F.lit(percent) * F.greatest(n, m) / 100) - 1
+    return (100 + percent) * (shared + rest) >= percent * (n + m)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id",
@@ -198,93 +229,87 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
     """doc_id, n_shingles, component_id for each row."""
     spark: SparkSession = docs.sparkSession
     own = pick(docs, doc_id=doc_id, text=text)
-    summary = cut_lineage(own.mapInArrow(_summaries(k), SUMMARY))
+    texts = own.select("text")
+    summary = kept(own.mapInArrow(_summaries(k), SUMMARY), "sets")
     rows = summary.filter("slice is null").drop("slice", "counts")
     slices = summary.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(
         _add_counts, "slice int, counts binary"
     )
     levels = spark.sparkContext.broadcast(_levels(slices.collect()))
-
-    # Equal sets: one class, whose smallest id stands for it.
-    known = rows.filter("doc_id is not null and n > 0")
-    classes = cut_lineage(
-        known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = kept(
+        rows.filter("n > 0").groupBy("node").agg(
+            F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("least_id"),
+            F.first("bands").alias("bands"),
+        ),
+        "classes",
     )
-    # One text for each representative, also where an id repeats.
-    texts = own.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    # Groups: each representative and the leader that most of its bands name.
-    spread = classes.select("rep", "n", F.posexplode("bands").alias("band", "low"))
-    leaders = spread.groupBy("band", "low").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    met = spread.join(leaders.drop("c"), ["band", "low"]).filter("rep <> leader").groupBy("rep", "leader").count()
-    best = met.groupBy("rep").agg(F.max(F.struct("count", -F.col("leader"))).alias("best"))
-    first = cut_lineage(best.select(F.col("rep").alias("a"), (-F.col("best.col2")).alias("b")))
+
+    # Groups: components of the links between classes and their leaders.
+    first = kept(_leaders(classes, percent), "leaders")
     links = cut_lineage(verified(first, _with_sets(texts, first, k), percent))
-    near = components(links)
     grouped = cut_lineage(
-        classes.select("rep", "n").join(near.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", "n", F.coalesce("component", "rep").alias("component")
+        classes.select("node", "n").join(components(links), "node", "left").select(
+            "node", "n", F.coalesce("component", "node").alias("component")
         )
     )
 
-    # The matrix of first tokens and groups; tokens of a single component cannot add a link, so a
-    # first pass over the texts finds the others and a second one brings their rows alone.
-    sized = grouped.groupBy("component").agg(F.count("*").alias("members"))
-    placed = texts.join(grouped.select(F.col("rep").alias("doc_id"), "component").distinct(), "doc_id")
-    keys = placed.mapInArrow(_first_tokens(k, percent, levels), "key long, component long")
-    shared = cut_lineage(
-        keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    )
-    bits = spark.sparkContext.broadcast(key_filter(shared, FILTER_BITS))
-    rows_of = placed.mapInArrow(
-        _first_tokens(k, percent, levels, bits), "key long, component long, rep long, n long, last long"
-    )
-    big = sized.filter(F.col("members") > GROUP_ROWS)
-    salt = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP_ROWS)), F.lit(0)).cast("int")
+    # The matrix of first tokens and groups. A first pass over the texts finds the tokens of more than
+    # one class, a second one brings their rows alone; tokens of one component cannot add a link.
+    keys = texts.mapInArrow(_first_tokens(k, percent, levels), "key long, node long")
+    several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
+    bits = spark.sparkContext.broadcast(key_filter(several))
+    found = texts.mapInArrow(_first_tokens(k, percent, levels, bits), "key long, node long, n long, last long")
+    placed = kept(found.distinct().join(grouped.select("node", "component"), "node"), "first-tokens")
+    shared = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    big = grouped.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP_ROWS)
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP_ROWS)), F.lit(0)).cast("int")
     member = cut_lineage(
-        rows_of.join(shared, "key", "left_semi").join(big, "component", "left").withColumn("salt", salt).drop("members")
+        placed.join(shared.select("key"), "key", "left_semi").join(big, "component", "left").withColumn("salt", salt)
+        .drop("members")
     )
+    # How many of its first tokens a class can share with another component at all.
+    member = member.join(member.groupBy("node").agg(F.count("*").alias("c")), "node")
     group = ["component", "salt"]
     of_group = member.groupBy(*group).agg(
         F.min("n").alias("g_low"), F.max("n").alias("g_high"), F.min("last").alias("g_last"),
-        (F.min("rep") == F.max("rep")).alias("g_single"),
+        (F.min("node") == F.max("node")).alias("g_single"), F.max("c").alias("g_c"),
     )
     matrix = member.select("key", *group).distinct().join(of_group, group).withColumnsRenamed(
         {"component": "g_component", "salt": "g_salt"}
     )
     ratio = F.lit(percent)
-    found = member.join(matrix, "key").filter(
+    met = member.join(matrix, "key").filter(
         (F.col("component") != F.col("g_component")) & (100 * F.col("g_high") >= ratio * F.col("n"))
         & (ratio * F.col("g_low") <= 100 * F.col("n"))
+        & (~F.col("g_single") | _can_reach(F.least("c", "g_c"), F.col("n"), F.col("g_high"), percent))
     )
     # All shared tokens up to the smaller of the two last first tokens are found. Beyond it the set
     # that ends there has as many left as the threshold asks for, less one.
     left = F.ceil(ratio * F.col("n") / 100) - 1
     left_of_member = F.ceil(ratio * F.col("g_high") / 100) - 1
     rest = F.when(F.col("last") <= F.col("g_last"), left).when(F.col("g_single"), left_of_member).otherwise(F.col("n"))
-    bound = found.groupBy("rep", "g_component", "g_salt").agg(
+    bound = met.groupBy("node", "g_component", "g_salt").agg(
         F.count("*").alias("hits"), F.max(rest).alias("rest"), F.min("n").alias("n"), F.min("g_low").alias("g_low"),
     )
     # Shared tokens are at least percent / (100 + percent) of both sizes, and percent / 100 of the query.
     least = F.greatest(
         F.ceil(ratio * (F.col("n") + F.col("g_low")) / (100 + percent)), F.ceil(ratio * F.col("n") / 100)
     )
-    opened = bound.filter(F.col("hits") + F.col("rest") >= least).select("rep", "g_component", "g_salt")
+    opened = bound.filter(F.col("hits") + F.col("rest") >= least).select("node", "g_component", "g_salt", "n")
     members = grouped.join(big, "component", "left").select(
-        F.col("component").alias("g_component"), salt.alias("g_salt"), F.col("rep").alias("b"), F.col("n").alias("b_n")
+        F.col("component").alias("g_component"), salt.alias("g_salt"), F.col("node").alias("b"), F.col("n").alias("b_n")
     )
-    pairs = opened.join(members, ["g_component", "g_salt"]).join(grouped.select(F.col("rep"), F.col("n")), "rep").filter(
+    pairs = opened.join(members, ["g_component", "g_salt"]).filter(
         (100 * F.col("b_n") >= ratio * F.col("n")) & (ratio * F.col("b_n") <= 100 * F.col("n"))
     )
-    pairs = cut_lineage(
-        pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    )
+    pairs = kept(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "opened")
     more = verified(pairs, _with_sets(texts, pairs, k), percent)
-    final = components(links.union(more))
 
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h1", "h2", "n", F.coalesce("component", "rep").alias("of_class")
+    ends = classes.select("node", "least_id").join(components(links.union(more)), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
-    named = rows.drop("bands").join(of_class, ["h1", "h2", "n"], "left")
-    own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
+    least_ids = ends.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_class = ends.select("node", "component").join(least_ids, "component").select("node", "component_id")
+    named = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
+    own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))

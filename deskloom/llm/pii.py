@@ -36,7 +36,6 @@ SUPPORT = 3
 REMOVE, GENERALISE = 0.95, 0.8
 #: Bytes of the shortest term.
 LEAST = 4
-FILTER_BITS = 22
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits is tried from its start only: a later start meets the same end.
@@ -178,7 +177,7 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
         F.count("*").alias("n_entity")
     )
     terms = supported.select("term").distinct()
-    bits = context.broadcast(key_filter(terms.select(F.col("term").alias("key")), FILTER_BITS))
+    bits = context.broadcast(key_filter(terms.select(F.col("term").alias("key"))))
     counted = texts.mapInArrow(_term_counts(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = found.agg(F.count("*").alias("n"))
     # p(t, e) / (p(t) p(e)) in documents, and the entity's information -log p(e).

@@ -261,10 +261,13 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
     found = texts.mapInArrow(_first_tokens(k, percent, levels, bits), "key long, node long, n long, last long")
     placed = kept(found.distinct().join(grouped.select("node", "component"), "node"), "first-tokens")
     shared = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    big = grouped.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > GROUP_ROWS)
-    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP_ROWS)), F.lit(0)).cast("int")
+    # Members of a large component are grouped by their size first, which keeps the bounds close.
+    large = grouped.groupBy("component").agg(F.count("*").alias("of")).filter(F.col("of") > GROUP_ROWS).select("component")
+    big = grouped.join(large, "component", "left_semi").groupBy("component", "n").agg(F.count("*").alias("members"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP_ROWS))
+    salt = F.when(F.col("members").isNotNull(), F.xxhash64("n", part)).otherwise(F.lit(0))
     member = cut_lineage(
-        placed.join(shared.select("key"), "key", "left_semi").join(big, "component", "left").withColumn("salt", salt)
+        placed.join(shared.select("key"), "key", "left_semi").join(big, ["component", "n"], "left").withColumn("salt", salt)
         .drop("members")
     )
     # How many of its first tokens a class can share with another component at all.
@@ -281,7 +284,11 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
     met = member.join(matrix, "key").filter(
         (F.col("component") != F.col("g_component")) & (100 * F.col("g_high") >= ratio * F.col("n"))
         & (ratio * F.col("g_low") <= 100 * F.col("n"))
-        & (~F.col("g_single") | _can_reach(F.least("c", "g_c"), F.col("n"), F.col("g_high"), percent))
+        & (
+            # Sizes between the ends reach no further than one of them.
+            _can_reach(F.least("c", "g_c"), F.col("n"), F.col("g_low"), percent)
+            | _can_reach(F.least("c", "g_c"), F.col("n"), F.col("g_high"), percent)
+        )
     )
     # All shared tokens up to the smaller of the two last first tokens are found. Beyond it the set
     # that ends there has as many left as the threshold asks for, less one.
@@ -296,7 +303,7 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
         F.ceil(ratio * (F.col("n") + F.col("g_low")) / (100 + percent)), F.ceil(ratio * F.col("n") / 100)
     )
     opened = bound.filter(F.col("hits") + F.col("rest") >= least).select("node", "g_component", "g_salt", "n")
-    members = grouped.join(big, "component", "left").select(
+    members = grouped.join(big, ["component", "n"], "left").select(
         F.col("component").alias("g_component"), salt.alias("g_salt"), F.col("node").alias("b"), F.col("n").alias("b_n")
     )
     pairs = opened.join(members, ["g_component", "g_salt"]).filter(

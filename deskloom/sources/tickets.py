@@ -132,16 +132,15 @@ def load_tickets(spark: SparkSession, path: str) -> DataFrame:
 def stream_tickets(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """JSON Lines tickets arriving as files, normalised by the same operator.
 
-    Positions are only used for ids of unlabelled tickets. A hash of the file, the block it was read
-    from, the place within the value and the record tells equal texts of different files apart.
+    Positions are only used for ids of unlabelled tickets. A stream has no row numbers; a hash of the
+    file, the block it was read from and the record tells equal texts of different files apart.
     """
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(folder)
         .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .withColumn("row", F.monotonically_increasing_id())
     )
     records = lines.select(
-        "file_path", "file_block_start", "row", F.posexplode(line_records(F.col("value"))).alias("at", "record_text")
+        "file_path", "file_block_start", F.posexplode(line_records(F.col("value"))).alias("at", "record_text")
     )
-    key = F.xxhash64("file_path", "file_block_start", "row", "at", "record_text")
+    key = F.xxhash64("file_path", "file_block_start", "at", "record_text")
     return normalise_tickets(records.select(key.alias("position"), "record_text"))

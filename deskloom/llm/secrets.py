@@ -32,10 +32,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "literal")
-#: What tells that a text can have a span at all, for a linear scan of whole Arrow columns.
+_TELLING = r"(?:pass|pwd|secret|token|key|cred|auth|bearer|signature|salt)"
+#: What tells that a text can have a span at all, for a linear scan of whole Arrow columns. It takes in
+#: every form of the lexer: an option with a telling name, such a name before an operator or the end of
+#: a tag, and a string that holds one before an operator, a subscript's end or a comma.
 HINT = (
-    r"(?i)(?:AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
-    r"|(?:pass|pwd|secret|token|key|cred|auth|bearer|signature|salt)[\w.\-]*['\"\])]*\s*(?:[:=>,]|\s['\"]))"
+    rf"(?i)(?:AKIA[A-Z0-9]{{14}}|[0-9a-f]{{16}}|--[\w$.\-]*{_TELLING}|{_TELLING}[\w$.\-]*[\s\x0b]*[:=>]"
+    rf"|{_TELLING}[^\n]*[\"'`][\s\x0b]*\]?[\s\x0b]*[:=,])"
 )
 
 THRESHOLD = 0.5

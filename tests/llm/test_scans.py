@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -174,6 +175,37 @@ def test_secret_rows(docs):
     assert secrets.secret_spans(docs([])).collect() == []
 
 
+OPTIONS = ["mysql --password Tr0ub4dor9x -h db", "run --api-key Zk9sQ2mVx7Lp", "--db.authToken\t'Zk9sQ2mVx7Lp'", '--secret"Zk9sQ2mVx7Lp"']
+FORMS = [
+    *OPTIONS, 'password$ = "Zk9sQ2mVx7Lp"', "token\x0b= 'Zk9sQ2mVx7Lp'", "<password>Tr0ub4dor9x</password>", "pwd := `Zk9sQ2mVx7Lp`",
+    '"password (prod)": "Tr0ub4dor9x"', 'config["the secret one" ] = "Zk9sQ2mVx7Lp"', 'set("my token!", "Zk9sQ2mVx7Lp")', "'auth/x' => 'Zk9sQ2mVx7Lp'",
+]
+
+
+def test_every_form_of_the_lexer_reaches_the_queries(docs):
+    rows = list(enumerate(FORMS))
+    spans = {r.doc_id: r for r in secrets.secret_spans(docs(rows)).collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask(docs(rows)).collect()}
+    for i, text in rows:
+        every = secrets.all_spans(text)[1]
+        assert every and spans[i].spans == secrets.joined(every)
+        for _, a, b in every:
+            assert masked[i][a:b] == "*" * (b - a)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(
+    st.lists(
+        st.sampled_from(["--", "-", "api", "Key", "_key", "password", "pwd", ".", "$", "]", "[", "(", ")", '"', "'", "`", "=", ":", ":=", "=>", ">", "<", ",", " ", "\t", "\x0b", "\n", "\\", "é", "Zk9sQ2mVx7Lp", "+", "x"]),
+        max_size=12,
+    )
+)
+def test_the_hint_leaves_out_no_span(parts):
+    text = "".join(parts)
+    if secrets.all_spans(text)[1]:
+        assert pc.match_substring_regex(pa.array([text]), secrets.HINT)[0].as_py()
+
+
 # --- personal data ------------------------------------------------------------------
 
 

@@ -13,6 +13,8 @@ from deskloom.llm.common import documents, shared_folder
 from deskloom.llm.queries import tokenizer_file
 from deskloom.session import ship_package
 
+#: Near duplicates share so many percent of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A document stays when its language is found with at least this score.
 MIN_SCORE = 0.3
 
@@ -26,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of the Jaccard join; rows without an id stay."""
     ship_package(spark)
-    found = jaccard.jaccard_components(docs).filter("component_id <> doc_id")
+    found = jaccard.jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).filter("component_id <> doc_id")
     gone = found.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

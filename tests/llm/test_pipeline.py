@@ -49,3 +49,15 @@ def test_stages_keep_the_columns(docs, spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, frame, str(tmp_path))
         assert out.columns == frame.columns
+
+
+def test_near_duplicates_by_five_words(docs, spark, tmp_path):
+    """Two texts with a 5-word index of 0.82 and a 4-word one under 0.85 are near duplicates."""
+    words = [f"word{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[:50] + ["other"] + words[51:] + [f"more{i}" for i in range(10)])]
+    a, b = (shingles_of(t, 5) for t in texts)
+    assert 0.81 <= len(a & b) / len(a | b) < 0.83
+    a, b = (shingles_of(t, 4) for t in texts)
+    assert len(a & b) / len(a | b) < 0.85
+    rows = [(1, texts[0]), (2, texts[1]), (3, " ".join(reversed(words)))]
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs(rows), str(tmp_path)).collect()} == {1, 3}

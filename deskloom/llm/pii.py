@@ -2,14 +2,15 @@
 
 Fixed patterns give the protected entities (base spans). How strongly a term reveals an entity is
 estimated from the whole corpus: the pointwise mutual information of the two over documents, as a
-share of the entity's own information, 1 when the term occurs with nothing else. Terms stand up to
-``NEAR`` words from an entity. A pair counts as evidence in ``SUPPORT`` documents or more. Terms
-above ``REMOVE`` are removed, those above ``GENERALISE`` are generalised, in every document where
-they stand near that entity; both become spans.
+share of the entity's own information, 1 when the term occurs with nothing else. A term counts
+wherever it stands in a document. Small counts are corrected by chance: a pair is left out when
+documents without any tie would share that much with a probability of 1 / documents or more, which
+one common document never falls below. Terms above ``REMOVE`` are removed, those above ``GENERALISE``
+are generalised, wherever they stand in the documents of that entity; both become spans.
 
-Document counts of terms come from all documents: a first pass finds entities and the terms near
-them, a second counts those terms everywhere, with a bitmap of fixed size to leave out other words
-and sums in the task before the shuffle.
+A first pass finds entities and the distinct terms of their documents, a second counts those terms
+in all documents, with a bitmap of fixed size to leave out other words and sums in the task before
+the shuffle, a third brings the places of the terms that reveal.
 
 Spans are code points, end exclusive. Null text: empty, no spans. Ids may be null or repeat; each row
 is one document of the counts. Empty table: no rows. Further columns are ignored.
@@ -31,11 +32,13 @@ from deskloom.llm.hashing import TERMS, words
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("remove", "generalise")
-NEAR = 6
-SUPPORT = 3
+#: Words to either side of an entity that count: the whole document.
+NEAR = 1 << 40
+#: Documents that a pair needs at all; one document alone never passes the correction.
+SUPPORT = 2
 REMOVE, GENERALISE = 0.95, 0.8
 #: Bytes of the shortest term.
-LEAST = 4
+LEAST = 2
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits is tried from its start only: a later start meets the same end.
@@ -47,10 +50,15 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 #: What tells that a text can have a base span, for a linear scan of whole Arrow columns.
 HINT = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){15}|\+[0-9][ ().0-9-]+[0-9]"
 
-FOUND = (
+FOUND = "entities array<bigint>, terms array<bigint>"
+PLACED = (
     "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "near array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>"
+    "places array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>"
 )
+#: A pair as one key, alike here and in SQL.
+PAIR = "entity ^ term ^ shiftleft(term, 19)"
+#: Parts of each key of the joins.
+SALTS = 16
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -96,8 +104,8 @@ def _entity(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{bare}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms around each entity; none that belongs to one."""
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the terms of a text; none that belongs to an entity."""
     raw = np.frombuffer(text.encode(), np.uint8)
     hashes, _, first, last = words(raw, np.array([0, len(raw)]), TERMS)
     points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
@@ -105,42 +113,68 @@ def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int,
     letters = np.add.reduceat(np.append((raw >= 0x41) & ~((raw >= 0x5B) & (raw <= 0x60)), 0).astype(np.int64), first) if len(first) else first
     fit = (last - first >= LEAST) & (letters > 0)
     for _, a, b in spans:
-        fit &= (ends <= a) | (starts >= b)
-    out = set()
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        left, right = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
-        for i in [*range(max(left - NEAR, 0), left), *range(right, min(right + NEAR, len(starts)))]:
-            if fit[i]:
-                out.add((entity, int(hashes[i].astype(np.int64)), int(starts[i]), int(ends[i])))
-    return sorted(out)
+        # Words are in order, so those that meet a span are neighbours.
+        fit[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = False
+    return hashes[fit], starts[fit], ends[fit]
+
+
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({_entity(kind, text[a:b]) for kind, a, b in spans})
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _hinted(texts: pa.Array) -> Iterator[tuple[int, str, list[tuple[str, int, int]]]]:
+    """Row, text and base spans of the texts that have some."""
+    for row in np.flatnonzero(pc.match_substring_regex(texts, HINT).fill_null(False).to_numpy(False)).tolist():
+        text = texts[row].as_py()
+        if spans := base_spans(text):
+            yield row, text, spans
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nothing = hashlib.sha256(b"").hexdigest()
+    """Distinct entities and terms of the documents with entities."""
+    kind = pa.list_(pa.int64())
     for batch in batches:
-        texts, n = batch.column("text"), batch.num_rows
-        counts = {k: np.zeros(n, np.int64) for k in KINDS}
-        digests, base, near = [nothing] * n, [""] * n, [[] for _ in range(n)]
-        for row in np.flatnonzero(pc.match_substring_regex(texts, HINT).fill_null(False).to_numpy(False)).tolist():
-            text = texts[row].as_py()
-            spans = base_spans(text)
-            if spans:
-                for kind, *_ in spans:
-                    counts[kind][row] += 1
+        for _, text, spans in _hinted(batch.column("text")):
+            terms = np.unique(_terms(text, spans)[0]).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {"entities": pa.array([_entities(text, spans)], kind), "terms": pa.array([terms], kind)}
+            )
+
+
+def _place(bits):
+    """Base spans of every row, and the places of terms whose pair with an entity the filter admits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = hashlib.sha256(b"").hexdigest()
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "term", "start", "end")]))
+        for batch in batches:
+            n = batch.num_rows
+            counts = {k: np.zeros(n, np.int64) for k in KINDS}
+            digests, base, places = [nothing] * n, [""] * n, [[] for _ in range(n)]
+            for row, text, spans in _hinted(batch.column("text")):
+                for k, *_ in spans:
+                    counts[k][row] += 1
                 base[row] = joined(spans)
                 digests[row] = hashlib.sha256(base[row].encode()).hexdigest()
-                near[row] = [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in _near(text, spans)]
-        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "term", "start", "end")]))
-        yield pa.RecordBatch.from_pydict(
-            {"row": batch.column("row"), "doc_id": batch.column("doc_id")}
-            | {f"n_{k}": pa.array(counts[k]) for k in KINDS}
-            | {"base_sha256": pa.array(digests), "base": pa.array(base), "near": pa.array(near, kind)}
-        )
+                terms, starts, ends = _terms(text, spans)
+                for entity in _entities(text, spans):
+                    key = np.array([entity], np.int64).view(np.uint64) ^ terms ^ (terms << np.uint64(19))
+                    places[row] += [
+                        {"entity": entity, "term": t, "start": a, "end": b}
+                        for i in [np.flatnonzero(admits(bits.value, key))]
+                        for t, a, b in zip(terms[i].view(np.int64).tolist(), starts[i].tolist(), ends[i].tolist())
+                    ]
+            yield pa.RecordBatch.from_pydict(
+                {"row": batch.column("row"), "doc_id": batch.column("doc_id")}
+                | {f"n_{k}": pa.array(counts[k]) for k in KINDS}
+                | {"base_sha256": pa.array(digests), "base": pa.array(base), "places": pa.array(places, kind)}
+            )
+
+    return run
 
 
 def _term_counts(bits):
@@ -168,25 +202,39 @@ def _term_counts(bits):
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """entity, term, share (0 to 1) of the pairs whose share reaches ``GENERALISE``."""
     context = texts.sparkSession.sparkContext
-    # Within a row a pair counts once, so counts are documents.
-    pairs = found.select(
-        F.explode(F.expr("array_distinct(transform(near, x -> named_struct('entity', x.entity, 'term', x.term)))")).alias("x")
-    ).select("x.*")
-    supported = kept(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT), "pairs")
-    entities = found.select(F.explode(F.expr("array_distinct(near.entity)")).alias("entity")).groupBy("entity").agg(
-        F.count("*").alias("n_entity")
-    )
+    # Within a row a pair counts once, so counts are documents; without a term it is the entity's own.
+    every = found.select(F.explode("entities").alias("entity"), F.concat("terms", F.array(F.lit(None).cast("long"))).alias("terms"))
+    pairs = every.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    pairs = kept(pairs.filter(F.col("term").isNull() | (F.col("both") >= SUPPORT)), "pairs")
+    supported = pairs.filter(F.col("term").isNotNull())
+    entities = pairs.filter(F.col("term").isNull()).select("entity", F.col("both").alias("n_entity"))
     terms = supported.select("term").distinct()
     bits = context.broadcast(key_filter(terms.select(F.col("term").alias("key"))))
     counted = texts.mapInArrow(_term_counts(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = found.agg(F.count("*").alias("n"))
+    total = texts.agg(F.count("*").alias("n"))
+    # A common term or entity is dealt out by the other of the two.
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    by_term = supported.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(
+        counted.withColumn("salt", salts), ["term", "salt"]
+    )
+    by_both = by_term.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(
+        entities.withColumn("salt", salts), ["entity", "salt"]
+    )
     # p(t, e) / (p(t) p(e)) in documents, and the entity's information -log p(e).
     mutual = F.log(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity")))
     own = F.log(F.col("n") / F.col("n_entity"))
+    # So many of the term's documents have the entity by chance: C(n_term, both) ways at most, each with
+    # p(e) ** both; the number of ways is bounded by the entropy of the choice.
+    rest = F.col("n_term") - F.col("both")
+    ways = (
+        F.col("n_term") * F.log("n_term") - F.col("both") * F.log("both")
+        - F.when(rest > 0, rest * F.log(rest)).otherwise(F.lit(0.0))
+    )
     return (
-        supported.join(counted, "term").join(entities, "entity").join(F.broadcast(total))
+        by_both.join(F.broadcast(total))
         .withColumn("share", F.when(own > 0, mutual / own).otherwise(F.lit(0.0)))
-        .filter(F.col("share") >= GENERALISE).select("entity", "term", "share")
+        .filter((F.col("share") >= GENERALISE) & (ways - F.col("both") * own < -F.log("n")))
+        .select("entity", "term", "share")
     )
 
 
@@ -197,9 +245,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def private_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_remove, n_generalise for each row."""
     own = pick(docs, doc_id=doc_id, text=text)
-    found = kept(_rows(docs, doc_id, text).mapInArrow(_find, FOUND), "private")
-    revealing = disclosures(found, own.select("text"))
-    places = found.select("row", F.explode("near").alias("x")).select("row", "x.*").join(revealing, ["entity", "term"])
+    rows = _rows(docs, doc_id, text)
+    revealing = kept(disclosures(rows.mapInArrow(_find, FOUND), own.select("text")), "revealing")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(revealing.select(F.expr(PAIR).alias("key"))))
+    found = kept(rows.mapInArrow(_place(bits), PLACED), "private")
+    places = found.select("row", F.explode("places").alias("x")).select("row", "x.*").join(revealing, ["entity", "term"])
     strongest = places.groupBy("row", "start", "end").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= REMOVE, F.lit(0)).otherwise(F.lit(1))
     added = strongest.groupBy("row").agg(
@@ -213,7 +263,7 @@ def private_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     def n_of(kind: int):
         return F.coalesce(F.size(F.filter("added", lambda s: s["kind"] == kind)), F.lit(0)).cast("long")
 
-    both = found.drop("near").join(added, "row", "left")
+    both = found.drop("places").join(added, "row", "left")
     return both.select(
         "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256",
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), text_of).alias("spans"),

@@ -293,6 +293,19 @@ def test_disclosure_shares_equal_plain_counts(docs, spark):
     assert got == sorted(expected) and expected
 
 
+def test_terms_far_from_the_entity_and_of_few_documents(docs):
+    between = " ".join(["the report of the clinic and of others"] * 5)
+    rows = [(i, f"Dear Li and Quillon, {between}. Mail li@mail.example.com, Quillon.") for i in (1, 2)]
+    rows += [(100 + i, f"{between} mail and dear, only{i} here x{i}@mail.example.com") for i in range(60)]
+    got = {r.doc_id: r for r in pii.private_spans(docs(rows)).collect()}
+    text = dict(rows)[1]
+    for i in (1, 2):
+        spans = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in got[i].spans.split(","))]
+        assert spans == [("email", "li@mail.example.com"), ("remove", "Li"), ("remove", "Quillon"), ("remove", "Quillon")]
+    # A word of one document says nothing about its entity.
+    assert all(got[100 + i].n_remove == got[100 + i].n_generalise == 0 for i in range(60))
+
+
 # --- quality ------------------------------------------------------------------------
 
 

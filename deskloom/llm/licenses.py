@@ -6,9 +6,10 @@ a window lies whole within one. Words are lower-cased runs without marks or whit
 window and template the ``SHINGLE``-word shingles are hashed; a band is the smallest hash under one
 permutation. A template that a window contains holds at least s = (its shingles) / (shingles of the
 window) of their union, so with ``BANDS`` bands of one row each it is missed with probability
-(1 - s) ** BANDS; templates have sizes of their own, so windows come in the ``SIZES`` that keep s
-at 0.3 or more: 0.7 ** 32 is 1 in 90 000. Windows that share no shingle with any template cannot
-collide and are put aside first, which loses nothing.
+(1 - s) ** BANDS. Each template has windows of twice its length or up to an eighth more, whatever that
+length is. So s is 3 of 8 shingles for a whole notice of five words, and never less than 4 of 13, for a
+notice of seven words with one shingle wrong: (9 / 13) ** 32 is 1 in 128 000. Windows that share no
+shingle with any template cannot collide and are put aside first, which loses nothing.
 
 A retrieved template is reported where the window holds at least ``CONTAINED`` of its shingles
 exactly. A notice in two overlapping windows counts once.
@@ -19,6 +20,8 @@ count as one document; repeated ids are one document. Further columns are ignore
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from deskloom.llm.common import pick
@@ -26,10 +29,10 @@ from deskloom.llm.common import pick
 SHINGLE = 3
 BANDS = 32
 CONTAINED = 0.8
-#: Words of a window; a template goes with the smallest that is twice its length.
-SIZES = (16, 32, 128)
 #: What stands between words.
 BETWEEN = r"[\p{Punct}\s“”‘’«»]+"
+#: The same for Python.
+_BETWEEN = r"[!-/:-@\[-`{-~\s“”‘’«»]+"
 
 # The customary notices of common licenses.
 TEMPLATES = {
@@ -64,6 +67,17 @@ TEMPLATES = {
 }
 
 
+def _size(n_words: int) -> int:
+    """Words of a template's windows: twice its own, in steps of 2 up to 32 and of an eighth to a sixteenth above."""
+    twice = max(2 * n_words, 2 * SHINGLE)
+    step = max(2, 1 << (twice - 1).bit_length() - 4)
+    return -(-twice // step) * step
+
+
+#: Words of the windows of the fixed templates.
+SIZES = tuple(sorted({_size(len([w for w in re.split(_BETWEEN, t) if w])) for ts in TEMPLATES.values() for t in ts}))
+
+
 def _hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), BETWEEN), ""), lambda w: F.xxhash64(w))
 
@@ -95,9 +109,10 @@ def templates(spark: SparkSession, notices: dict[str, tuple[str, ...]] | None =
     ]
     table = spark.createDataFrame(rows, "template int, license string, notice string")
     hashed = table.select("template", "license", _hashes(F.col("notice")).alias("words"))
-    size = F.lit(SIZES[-1])
-    for s in reversed(SIZES[:-1]):
-        size = F.when(F.size("words") * 2 <= s, F.lit(s)).otherwise(size)
+    lengths = sorted({r.n for r in hashed.select(F.size("words").alias("n")).collect()})
+    size = F.lit(_size(lengths[-1]) if lengths else SIZES[-1])
+    for n in reversed(lengths[:-1]):
+        size = F.when(F.size("words") <= n, F.lit(_size(n))).otherwise(size)
     return hashed.select("template", "license", size.alias("size"), F.array_distinct(_shingles(F.col("words"))).alias("shingles"))
 
 
@@ -107,12 +122,14 @@ def license_notices(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None
     license that it carries a notice of."""
     known = templates(docs.sparkSession, notices)
     # The templates are a fixed table of this module or of the caller, a few hundred hashes.
-    any_template = F.array(*[F.lit(h) for r in known.collect() for h in r.shingles])
+    fixed = known.collect()
+    any_template = F.array(*[F.lit(h) for r in fixed for h in r.shingles])
+    sizes = sorted({r["size"] for r in fixed})
     own = pick(docs, doc_id=doc_id, text=text).select("doc_id", _hashes(F.col("text")).alias("words"))
     sets = own.select("doc_id", _shingles(F.col("words")).alias("shingles"))
     # A window of s words has s - SHINGLE + 1 shingles. The outer explode keeps the expressions above
     # it from being worked out once more in a filter below.
-    windows_of = F.flatten(F.array(*[_places(F.col("shingles"), size) for size in SIZES]))
+    windows_of = F.flatten(F.array(*[_places(F.col("shingles"), size) for size in sizes]))
     placed = sets.select(
         "doc_id", "shingles",
         F.explode_outer(F.when(F.arrays_overlap("shingles", any_template), windows_of)).alias("place"),

@@ -65,6 +65,21 @@ def test_licenses_equal_plain_search(docs):
     assert {(r.doc_id, r.license) for r in licenses.license_notices(docs(rows)).collect()} == expected
 
 
+def test_windows_fit_their_templates(docs, spark):
+    """Bands miss a notice in one window with less than 1 in 90 000, and long notices have windows too."""
+    long = " ".join(f"clause{i}" for i in range(300))
+    notices = {"Long": (long,)} | {f"N{n}": (" ".join(f"w{n}x{i}" for i in range(n)),) for n in range(5, 140)}
+    for table in (None, notices):
+        for r in licenses.templates(spark, table).collect():
+            n = len(r.shingles)
+            needed = -(-int(n * 100 * licenses.CONTAINED) // 100)
+            union = r["size"] - licenses.SHINGLE + 1 + n - needed
+            assert r["size"] >= 2 * n and (1 - needed / union) ** licenses.BANDS < 1 / 90_000
+    filler = " ".join(f"other{i}" for i in range(90))
+    got = licenses.license_notices(docs([(1, f"{filler} {long} {filler}"), (2, filler)]), {"Long": (long,)}).collect()
+    assert [(r.doc_id, r.license, r.containment) for r in got] == [(1, "Long", 100)]
+
+
 # --- benchmark passages -------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskloom.llm import quality
+from deskloom.llm import prefix_trie, quality, repair, word_bpe
 from deskloom.llm.common import documents
 from deskloom.llm.jaccard import jaccard_components
 from deskloom.llm.language import identify
@@ -73,7 +73,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the cheapest edits that mend its structure."""
+    rows = repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair.repair_figures(rows, gone="gone")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in byte-level BPE ids and back."""
+    return word_bpe.encoding_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefix_trie.trie_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_benchmark_leaks, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_private_data, op9_quality_rules, op10_sentencepiece)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_benchmark_leaks, op4_token_id_files, op5_language_id, op6_jaccard_join, op7_secret_scan, op8_private_data, op9_quality_rules, op10_sentencepiece, op11_conversation_repair, op12_byte_bpe, op13_prefix_trie)
+}
+SQL: dict[str, str] = {
+    "op9_quality_rules": quality.SQL, "op11_conversation_repair": repair.SQL, "op13_prefix_trie": prefix_trie.SQL,
 }
-SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}

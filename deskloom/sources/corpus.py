@@ -8,23 +8,17 @@ from deskloom import lexicon as lx
 from deskloom.functions.labels import pick
 from deskloom.operators.chunking import chunk_documents
 from deskloom.settings import SearchSettings
-from deskloom.sources.tickets import FILE_STEP, is_object, numbered_files, tagged, wrapped_list
+from deskloom.sources.json_split import split_json
+from deskloom.sources.tickets import as_entry, is_object, placed, tagged
 
 EMPTY = ("", "[]")
 
 
-def _records(text: Column) -> Column:
-    trimmed = F.trim(text)
-    as_list = F.when(trimmed.startswith("["), F.from_json(text, "array<string>"))
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    # The key replaces an id of the article's own; a plain value is an article with only content.
-    keyed = F.transform(
-        entries,
-        lambda e: F.when(is_object(e["value"]), tagged(e, "doc_id")).otherwise(
-            F.to_json(F.struct(e["key"].alias("doc_id"), e["value"].alias("content")))
-        ),
+def _keyed(entry: Column) -> Column:
+    """The key replaces an id of the article's own; a plain value is an article with only content."""
+    return F.when(is_object(entry["value"]), tagged(entry, "doc_id")).otherwise(
+        F.to_json(F.struct(entry["key"].alias("doc_id"), entry["value"].alias("content")))
     )
-    return F.coalesce(as_list, wrapped_list(text, lx.CORPUS_WRAPPERS), keyed)
 
 
 def _sections(value: Column) -> Column:
@@ -69,13 +63,10 @@ def articles_from_records(records: DataFrame) -> DataFrame:
 
 
 def load_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of a JSON documentation file, or of a folder of such files."""
-    found = numbered_files(spark, path).select(
-        "file_no", F.posexplode(_records(F.col("value"))).alias("at", "record_text")
-    )
-    return articles_from_records(
-        found.select((F.col("file_no") * FILE_STEP + F.col("at")).alias("position"), "record_text")
-    )
+    """Articles of a JSON documentation file, or of a folder of such files, of any size."""
+    split = split_json(spark, path, lx.CORPUS_WRAPPERS, lambda text: F.array(text))
+    keyed = split.entries.filter("text <> ''").select("path", "at", _keyed(as_entry(F.col("text"))).alias("text"))
+    return articles_from_records(placed(split.elements.unionByName(keyed), split.files))
 
 
 def load_corpus(spark: SparkSession, path: str, settings: SearchSettings | None = None) -> DataFrame:

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from deskloom import lexicon as lx
-from deskloom.functions.text import LINE_BREAK
+from deskloom.functions.text import LINE_BREAK, strip
 from deskloom.operators.normalise import normalise_tickets
+from deskloom.sources.json_split import split_json, whole_objects
 
 RECORDS = "array<string>"
 
 
-def wrapped_list(payload: Column, wrappers) -> Column:
-    """The first wrapper key that holds a JSON list, as an array of record texts."""
-    parsed = F.from_json(payload, "map<string,string>")
-    return F.coalesce(
-        *[
-            F.when(
-                F.try_element_at(parsed, F.lit(name)).startswith("["),
-                F.from_json(F.try_element_at(parsed, F.lit(name)), RECORDS),
-            )
-            for name in wrappers
-        ]
-    )
-
-
 def tagged(entry: Column, id_field: str) -> Column:
     """An object's text with its key appended as an id, after the record's own fields."""
     value = F.trim(entry["value"])
@@ -39,23 +26,15 @@ def is_object(text: Column) -> Column:
     return F.coalesce(F.trim(text).startswith("{"), F.lit(False))
 
 
-def keyed_records(payload: Column, id_field: str) -> Column:
-    """An object whose values are all objects: the values, each given its key as id if it has none."""
-    entries = F.map_entries(F.from_json(payload, "map<string,string>"))
-
-    def record(entry: Column) -> Column:
-        fields = F.from_json(entry["value"], "map<string,string>")
-        return F.when(F.map_contains_key(fields, id_field), entry["value"]).otherwise(
-            tagged(entry, id_field)
-        )
-
-    all_objects = (F.size(entries) > 0) & F.forall(entries, lambda e: is_object(e["value"]))
-    return F.when(all_objects, F.transform(entries, record))
+def keyed_record(entry: Column, id_field: str) -> Column:
+    """The record under a key of the outermost object, given the key as id if it has none."""
+    fields = F.from_json(entry["value"], "map<string,string>")
+    return F.when(F.map_contains_key(fields, id_field), entry["value"]).otherwise(tagged(entry, id_field))
 
 
 def line_records(text: Column) -> Column:
     """Non-blank lines; a line that is not JSON becomes a record with only a body."""
-    lines = F.filter(F.transform(F.split(text, LINE_BREAK, -1), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, LINE_BREAK, -1), lambda s: strip(s)), lambda s: s != "")
     return F.transform(
         lines,
         lambda line: F.when(is_json(line), line).otherwise(
@@ -67,53 +46,44 @@ def line_records(text: Column) -> Column:
 def is_json(text: Column) -> Column:
     """Whether the whole text is one JSON value.
 
-    Wrapped in a list it must parse to exactly one element; a parser reading the bare text
-    would stop after the first value and take JSON Lines for a document.
+    A parser stops after the first value and does not see what follows. Within a list the text must
+    be exactly one element, within an object exactly one value; a closing bracket too many ends the
+    one and breaks the other.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), RECORDS)
-    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
-
-
-def records_of(text: Column) -> Column:
-    """All records of one file's text, in order."""
-    trimmed = F.trim(text)
-    as_list = F.when(trimmed.startswith("["), F.from_json(text, RECORDS))
-    as_object = F.when(
-        trimmed.startswith("{"),
-        F.coalesce(
-            wrapped_list(text, lx.TICKET_WRAPPERS), keyed_records(text, "ticket_id"), F.array(text)
-        ),
-    )
-    return F.when(is_json(text), F.coalesce(as_list, as_object, F.array(text))).otherwise(
-        line_records(text)
-    )
+    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), RECORDS)
+    in_object = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>")
+    return F.coalesce((F.size(in_list) == 1) & (F.size(in_object) == 1), F.lit(False))
 
 
 #: Positions within one file stay below this; those of the next file start here.
 FILE_STEP = 1 << 32
 
 
-def numbered_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_no, value) of whole text files; numbers follow the order of the paths.
+def as_entry(text: Column) -> Column:
+    """``"key": value`` as a struct of key and value."""
+    return F.get(F.map_entries(F.from_json(F.concat(F.lit("{"), text, F.lit("}")), "map<string,string>")), F.lit(0))
 
-    The names alone meet in one task, never the texts.
-    """
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    numbers = whole.select("path").distinct().withColumn(
-        "file_no", F.row_number().over(Window.orderBy("path")).cast("long") - 1
-    )
-    return whole.join(numbers, "path")
+
+def placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, position, record_text): positions are unique over all files; in the first they count from 0."""
+    position = (F.col("file_no") * FILE_STEP + F.col("at")).alias("position")
+    return rows.join(files, "path").select("path", position, F.col("text").alias("record_text"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, position, record_text). One document per file, so a folder of files is parallel.
+    """(path, position, record_text) of a JSON file or a folder of such files, of any size.
 
-    Positions are unique over all files; in the first file they count from 0.
+    A list's elements, those under a wrapper key, the values of an object of objects, else the object
+    itself; what is neither a list nor an object is taken by lines.
     """
-    found = numbered_files(spark, path).select(
-        "path", "file_no", F.posexplode(records_of(F.col("value"))).alias("at", "record_text")
-    )
-    return found.select("path", (F.col("file_no") * FILE_STEP + F.col("at")).alias("position"), "record_text")
+    split = split_json(spark, path, lx.TICKET_WRAPPERS, line_records)
+    entries = split.entries.withColumn("entry", as_entry(F.col("text")))
+    keyed = entries.groupBy("path").agg(F.bool_and(F.coalesce(is_object(F.col("entry.value")), F.lit(False))).alias("keyed"))
+    entries = entries.join(keyed, "path")
+    own = entries.filter("keyed").select("path", "at", keyed_record(F.col("entry"), "ticket_id").alias("text"))
+    whole = whole_objects(entries.filter("not keyed")).select("path", F.lit(0).cast("long").alias("at"), "text")
+    rows = split.elements.unionByName(split.lines).unionByName(own).unionByName(whole)
+    return placed(rows, split.files)
 
 
 def load_ticket_lines(spark: SparkSession, path: str) -> DataFrame:

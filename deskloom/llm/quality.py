@@ -36,8 +36,8 @@ NAVIGATION = (
 )
 #: A bread crumb or menu: so many of these marks, with not more than so many characters to each.
 SEPARATORS, MIN_SEPARATORS, PER_SEPARATOR = "|>»", 4, 40
-#: Boilerplate phrases count in lines of up to so many characters; a longer line only mentions them.
-BOILERPLATE_CHARS = 300
+#: A line is boilerplate with one phrase or more for each so many characters, at any length.
+PER_PHRASE = 300
 BOILERPLATE = (
     r"(?i)(enable javascript|javascript is (disabled|required)|uses? cookies|cookie (policy|settings)|all rights reserved"
     r"|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter|click here to)"
@@ -68,7 +68,7 @@ def line_passes(line: Column) -> Column:
         closed
         & ~line.rlike(NAVIGATION)
         & ((marks < MIN_SEPARATORS) | (marks * PER_SEPARATOR < length))
-        & ((length > BOILERPLATE_CHARS) | ~line.rlike(BOILERPLATE))
+        & (~line.rlike(BOILERPLATE) | (F.regexp_count(line, F.lit(BOILERPLATE)) * PER_PHRASE < length))
         & (F.lit(100) * (length - F.length(_without(line, SYMBOLS))) <= F.lit(MAX_SYMBOLS) * length)
         & ((capitals < 20) | (F.lit(100) * capitals <= F.lit(MAX_CAPITALS) * (capitals + small)))
     )
@@ -198,7 +198,7 @@ passing AS (
     AND NOT regexp_matches(l, {_quoted(NAVIGATION)})
     AND (length(l) - length(translate(l, '{SEPARATORS}', '')) < {MIN_SEPARATORS}
          OR {PER_SEPARATOR} * (length(l) - length(translate(l, '{SEPARATORS}', ''))) < length(l))
-    AND (length(l) > {BOILERPLATE_CHARS} OR NOT regexp_matches(l, {_quoted(BOILERPLATE)}))
+    AND (NOT regexp_matches(l, {_quoted(BOILERPLATE)}) OR len(regexp_extract_all(l, {_quoted(BOILERPLATE)})) * {PER_PHRASE} < length(l))
     AND 100 * (length(l) - length(translate(l, '{SYMBOLS}', ''))) <= {MAX_SYMBOLS} * length(l)
     AND ({_sql_letters("A", "Z")} < 20
          OR 100 * {_sql_letters("A", "Z")} <= {MAX_CAPITALS} * ({_sql_letters("A", "Z")} + {_sql_letters("a", "z")}))

@@ -114,18 +114,18 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
 
     def value_at(at: int, bare: bool) -> tuple[list[tuple[str, int, int]], int]:
         """Literals of the expression that starts at a token, and the token after it."""
-        out: list[tuple[str, int, int]] = []
+        out: dict[tuple[str, int, int], None] = {}  # each literal once, however often it is joined
         first, joined = at, True
         while at < n and joined:
             kind, raw, a, b = tokens[at]
             if kind == "string":
-                out.append(literal(tokens[at]))
+                out[literal(tokens[at])] = None
             elif kind == "name" and raw in constants and not (at + 1 < n and tokens[at + 1][1] in "([" ):
-                out += constants[raw]
+                out.update(dict.fromkeys(constants[raw]))
             elif bare and at == first and kind in ("name", "number", "mark") and (m := _BARE.match(text, a)):
                 word = m.group().rstrip(":.!?")
                 if word and not word.isalpha():
-                    out.append((word, a, a + len(word)))
+                    out[word, a, a + len(word)] = None
                 while at + 1 < n and tokens[at + 1][2] < m.end():
                     at += 1
             else:
@@ -133,7 +133,7 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
             at += 1
             joined = at < n and tokens[at][1] in ("+", ".", "&") and at + 1 < n
             at += joined
-        return out, at
+        return list(out), at
 
     while i < n:
         kind, raw, a, b = tokens[i]

@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
 
 from deskloom.llm import language, leaks, licenses, pii, quality, secrets
 from llm.conftest import ODD
@@ -407,3 +409,19 @@ def test_windows_cover_the_text():
     assert owner.tolist() == [1, 1, 2, 2]
     assert windows[1].tolist() == [96] + [0] * (language.WINDOW - 1)
     assert language.fold(np.frombuffer("ÀZß×é".encode(), np.uint8)).tobytes().decode() == "àzß×é"
+
+
+def test_boilerplate_in_lines_of_any_length(docs):
+    notice = "We use cookies as our cookie policy says and our privacy policy and terms of service explain to everybody who reads on here. "
+    prose = "The committee met in the old town hall and spoke about water, roads and schools until late in the evening of that day. "
+    rows = [(n, notice * n) for n in (1, 2, 6, 40)] + [(100, prose * 20 + "It has a privacy policy. " + prose * 20)]
+    passes = {
+        n: docs([(n, text)]).select(quality.line_passes(F.col("text")).alias("p")).first()["p"] for n, text in rows
+    }
+    assert passes == {1: False, 2: False, 6: False, 40: False, 100: True}
+
+
+def test_constants_joined_with_themselves(docs):
+    lines = ["a0 = 'abcdEFGH12345678'"] + [f"a{k + 1} = a{k} + a{k}" for k in range(200)] + ["password = a200"]
+    found = list(secrets.pairs("\n".join(lines)))
+    assert len(found) == 202 and ("password", "abcdEFGH12345678") in {f[:2] for f in found}

@@ -43,10 +43,10 @@ KNOWN_WORDS, KNOWN_CHARS = 60_000, 40
 PER_BUCKET = 2
 #: Bytes of a word from which a heap pays.
 LONG = 48
-#: Characters of stretches that a worker remembers, with eight for each: some 60 MB.
-REMEMBERED = 4_000_000
-#: Words of a worker's table for what no stretch covers.
-WORDS_KEPT = 50_000
+#: Characters of stretches that a worker remembers, with eight for each: some 100 MB.
+REMEMBERED = 8_000_000
+#: Words of a worker's table for texts that cannot be cut at spaces.
+WORDS_KEPT = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -226,6 +226,17 @@ class _Classes:
         return self.signs[code]
 
 
+class _Chunks(ChunkEncoder):
+    """Known chunks beside a table that stays when the rest is forgotten."""
+
+    def __init__(self, encode_new, encode_whole, folded: dict[str, bytes]):
+        super().__init__(encode_new, encode_whole, limit=REMEMBERED)
+        self.folded, self.later = folded, dict(folded)
+
+    def _thin(self) -> None:
+        self.first, self.later, self.held = {}, dict(self.folded), 0
+
+
 class WordEncoder:
     """Texts to little-endian 32-bit ids in a Python worker."""
 
@@ -235,10 +246,10 @@ class WordEncoder:
 
         self.ranks, self.classes = load_ranks(ranks_file), _Classes()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.words: dict[str, list[int]] = {}
-        self.chunks = ChunkEncoder(self._new, self._whole, limit=REMEMBERED + sum(map(len, folded)) + 8 * len(folded))
-        self.chunks.later = dict(folded)
-        self.chunks.held = sum(map(len, folded)) + 8 * len(folded)
+        self.little_endian = [i.to_bytes(4, "little") for i in range(max(self.ranks.values()) + 1)]
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._new, self._whole, folded)
 
     def _cut(self, text: str) -> Iterator[str]:
         if text.isascii():
@@ -246,26 +257,51 @@ class WordEncoder:
         # Each character stands for its class, so that any table of characters cuts alike.
         return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.classes)))
 
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.little_endian[i] for i in merge(word.encode(), self.ranks)])
+
+    def _tail(self, word: str) -> bytes:
+        """Words that follow the first of a chunk are mostly the same few marks and letters."""
+        ids = self.tails.get(word)
+        if ids is None:
+            if len(self.tails) >= WORDS_KEPT:
+                self.tails.clear()
+            ids = self.tails[word] = self._word(word)
+        return ids
+
     def _whole(self, text: str) -> bytes:
-        out: list[int] = []
+        """A text whose chunks do not stand for themselves, word by word."""
+        words, out = self.words, []
         for word in self._cut(text):
-            ids = self.words.get(word)
+            ids = words.get(word)
             if ids is None:
-                ids = merge(word.encode(), self.ranks)
-                if len(self.words) >= WORDS_KEPT:
-                    self.words.clear()
+                ids = self._word(word)
+                if len(words) >= WORDS_KEPT:
+                    words.clear()
                 if len(word) <= KNOWN_CHARS:
-                    self.words[word] = ids
-            out += ids
-        return np.array(out, "<u4").tobytes()
+                    words[word] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _new(self, chunks: list[str], first: bool, known: dict) -> list[bytes | None]:
-        return [
-            # White space at an end belongs together with what stands next to it.
-            None if (not chunk and not first) or chunk[:1].isspace() or chunk[-1:].isspace()
-            else self._whole(chunk if first else f" {chunk}")
-            for chunk in chunks
-        ]
+        out: list[bytes | None] = []
+        for chunk in chunks:
+            if (not chunk and not first) or chunk[:1].isspace() or chunk[-1:].isspace():
+                out.append(None)  # white space at an end belongs together with what stands next to it
+                continue
+            spaced = chunk if first else f" {chunk}"
+            if chunk.isascii() and chunk.isalpha():  # letters alone are one word
+                out.append(self._word(spaced))
+                continue
+            head, *rest = self._cut(spaced) if spaced else ("",)
+            ids = known.get(head[1:]) if head[:1] == " " and not first else None
+            if ids is None:
+                ids = self._word(head)
+                if rest and not first and head[1:].isalpha():  # other marks may follow it elsewhere
+                    known[head[1:]] = ids
+                    self.chunks.held += len(head) + 8
+            out.append(ids + b"".join(map(self._tail, rest)) if rest else ids)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return self.chunks(texts)

@@ -88,6 +88,20 @@ def calibration_sample(spark, sf_dir):
     return ca.seeded_sample(rows(spark, sf_dir).select("doc_id", "intent"), "doc_id", 200)
 
 
+def calibration_sample_of_intents(spark, sf_dir):
+    """20 labelled rows of each intent, the same ones for the same seed."""
+    return ca.stratified_sample(rows(spark, sf_dir).select("doc_id", "intent"), "doc_id", "intent", 20)
+
+
+def sampled_isotonic_fit(spark, sf_dir):
+    """The fit of a reproducible sample, with its size."""
+    source = rows(spark, sf_dir).withColumns({"method": F.lit("model"), "gold_intent": F.col("intent")})
+    fit = ca.fit_of_sample(source, "doc_id", 150)
+    return fit.select("n_samples", F.explode(F.arrays_zip("breakpoints", "values")).alias("s")).select(
+        "n_samples", F.col("s.breakpoints").alias("breakpoint"), F.round("s.values", 4).alias("value")
+    )
+
+
 def answerability_sweep(spark, sf_dir):
     s = sw.answerability_sweep(rows(spark, sf_dir))
     return s.select("threshold", "tp", "fp", "fn", *[
@@ -179,7 +193,7 @@ QUERIES = {
     for f in (
         answerability_scores, intent_priors, auc_of_scorers, auc_of_amounts, fitted_model,
         reliability_bins, calibration_error, isotonic_fit, calibration_fit_summary, calibrated_rows,
-        calibration_sample, answerability_sweep, best_thresholds, cost_sensitivity, confidence_sweep,
+        calibration_sample, calibration_sample_of_intents, sampled_isotonic_fit, answerability_sweep, best_thresholds, cost_sensitivity, confidence_sweep,
         confidence_sensitivity, floor_sweep, chosen_floor, routing_curve, routing_curve_by_split,
         routing_plateau, route_accuracy, policy_crosstab, policy_never_automated, policy_residual,
         policy_recovered, policy_agreement, taxonomy_counts,
@@ -281,6 +295,12 @@ SELECT bin, n, round(mc, 4) AS mean_confidence, round(acc, 4) AS accuracy FROM b
     "tuning_calibration_error": f"{_R} SELECT count(*) AS n, {ece_sql('rows')} AS ece FROM rows",
     "tuning_isotonic_fit": f"""{_R}, {_pav_sql("answerable AND correct")}
 SELECT bin / 10 AS breakpoint, round(value, 4) AS value FROM fit""",
+    "tuning_calibration_sample": f"{_R} SELECT doc_id, intent FROM rows ORDER BY md5('42:' || doc_id), doc_id LIMIT 200",
+    "tuning_calibration_sample_of_intents": f"""{_R} SELECT doc_id, intent FROM rows
+QUALIFY row_number() OVER (PARTITION BY intent ORDER BY md5('42:' || doc_id), doc_id) <= 20""",
+    "tuning_sampled_isotonic_fit": f"""{_R}, sampled AS (SELECT * FROM rows WHERE intent <> '' ORDER BY md5('42:' || doc_id), doc_id LIMIT 150),
+{_pav_sql("correct").replace("FROM rows", "FROM sampled")}
+SELECT (SELECT count(*) FROM sampled) AS n_samples, bin / 10 AS breakpoint, round(value, 4) AS value FROM fit""",
     "tuning_calibration_fit_summary": f"""{_R}, {_pav_sql("correct")}, {_APPLIED}
 SELECT *, ece_after <= 0.05 AS condition_met FROM (SELECT count(*) AS n_samples, round(avg(correct::INT), 4) AS accuracy,
   round(avg(confidence), 6) AS mean_confidence, {ece_sql("rows")} AS ece_before, {ece_sql("applied")} AS ece_after FROM rows)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deskloom import lexicon as lx
 from deskloom.functions.scoring import step_lookup, threshold_step
@@ -113,6 +113,38 @@ def usable_for_fit(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of a stratum that are ranked by themselves before the stratum is.
+SALTS = 64
+
+
+def sample_order(key: str, seed: int) -> Column:
+    """A digest of seed and key: the same order in every engine, and for any partitioning."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, the same ones for the same seed."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """The ``n`` rows with the smallest digests, without replacement.
+
+    A bottom-k sketch: each task keeps its ``n`` smallest, and the sample of a union is the sample
+    of the parts' samples.
+    """
+    return rows.orderBy(sample_order(key, seed), key).limit(n)
+
+
+def stratified_sample(rows: DataFrame, key: str, by: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows of each value of ``by`` (all, where there are fewer), by the same order.
+
+    Ranked within salted parts of a stratum first, so that no task sorts a whole stratum.
+    """
+    # The order goes by the first digits of the digest, the salt by the last ones.
+    salt = F.conv(F.substring("_order", -2, 2), 16, 10).cast("int") % SALTS
+    marked = rows.withColumn("_order", sample_order(key, seed)).withColumn("_salt", salt)
+    for part in ((by, "_salt"), (by,)):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("_order", key))
+        marked = marked.withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    return marked.drop("_order", "_salt", "_rank")
+
+
+def fit_of_sample(rows: DataFrame, key: str, n: int, bins: int = 10, seed: int = 42) -> DataFrame:
+    """The isotonic fit of a reproducible sample of the rows that say something about the model."""
+    return fit_isotonic(seeded_sample(usable_for_fit(rows), key, n, seed), bins)

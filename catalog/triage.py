@@ -8,6 +8,7 @@ from catalog import bindings as b
 from catalog import text as t
 from catalog.text import _q, channel_sql, private_data_sql, sentences_sql, substantive_sql
 from deskloom import lexicon as lx
+from deskloom.functions.guarded import with_guarded
 from deskloom.operators import classify as cl
 from deskloom.operators import drafting as dr
 from deskloom.operators import guardrails as gr
@@ -134,6 +135,26 @@ def outcomes(spark, sf_dir):
     )
 
 
+def _drafter(reply: str | None, text: str) -> str | None:
+    """A drafting function that fails on some texts."""
+    if len(text) % 10 == 3:
+        raise ValueError(f"no draft for {len(text)} characters")
+    return reply
+
+
+def outcomes_with_failures(spark, sf_dir):
+    """The triage of every user turn where drafting raises for some: all rows come out, those escalated."""
+    tickets = with_guarded(
+        b.drafted_tickets(spark, sf_dir), "reply", _drafter, "string", F.col("reply"), F.col("model_text")
+    )
+    done = tr.triage(tickets, b.articles(spark, sf_dir), S, run_id="run-1", chunks=b.chunks(spark, sf_dir))
+    return done.select(
+        "position", "ticket_id", F.col("classification.intent").alias("intent"), F.col("classification.confidence").alias("confidence"),
+        F.size("retrieved").cast("long").alias("retrieved_count"), "action", F.col("routing.rule_fired").alias("rule_fired"),
+        "degraded", F.array_join("citations", ",").alias("citations"), F.col("escalation_package.why_escalated").alias("why"), "error",
+    ).withColumn("why", F.when(F.col("error").isNotNull(), F.col("why")))
+
+
 def outcome_volume(spark, sf_dir):
     flat = m.flatten(_outcomes(spark, sf_dir))
     return m.volume_by(flat, "rule_fired")
@@ -152,7 +173,7 @@ QUERIES = {
     "triage_" + f.__name__: f
     for f in (
         normalised_tickets, rule_classification, reply_classification, resolved_citations,
-        grounding_scores, outcomes, outcome_volume, log_rows,
+        grounding_scores, outcomes, outcomes_with_failures, outcome_volume, log_rows,
     )
 }
 
@@ -353,6 +374,14 @@ SELECT conv_id, turn, ratio, method, unsupported FROM keyed JOIN grounded USING
 SELECT position, ticket_id, channel, intent, confidence::DOUBLE AS confidence, n AS retrieved_count, top_chunk,
   CASE WHEN n > 0 THEN top_score END AS top_score, probability, ratio AS grounding, CASE WHEN text <> '' THEN names END AS triggered,
   action, rule_fired, degraded, coalesce(array_to_string(cited, ','), '') AS citations FROM final""",
+    "triage_outcomes_with_failures": f"""{_TRIAGE}, failing AS (
+  SELECT *, length(CASE WHEN raw_text = '' THEN '{lx.EMPTY_TICKET}' ELSE raw_text END) AS chars FROM final
+), failed AS (SELECT *, chars % 10 = 3 AS bad FROM failing)
+SELECT position, ticket_id, CASE WHEN bad THEN 'other' ELSE intent END AS intent, CASE WHEN bad THEN 0 ELSE confidence::DOUBLE END AS confidence,
+  CASE WHEN bad THEN 0 ELSE n END AS retrieved_count, CASE WHEN bad THEN 'escalate' ELSE action END AS action,
+  CASE WHEN bad THEN '{lx.R11}' ELSE rule_fired END AS rule_fired, bad OR degraded AS degraded,
+  CASE WHEN bad THEN '' ELSE coalesce(array_to_string(cited, ','), '') END AS citations, CASE WHEN bad THEN 'processing error' END AS why,
+  CASE WHEN bad THEN 'ValueError: no draft for ' || chars || ' characters' END AS error FROM failed""",
     "triage_outcome_volume": f"{_TRIAGE} SELECT rule_fired, count(*) AS n FROM final GROUP BY rule_fired",
     "triage_log_rows": f"""{_TRIAGE}
 SELECT 'run-1' AS run_id, ticket_id, channel, c_mktsegment AS customer_tier, r_name AS region, intent AS predicted_intent,

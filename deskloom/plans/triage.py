@@ -90,12 +90,34 @@ def outcomes(
 
 
 def quarantine(rows: DataFrame, problem: Column) -> DataFrame:
-    """Rows with a non-null ``problem`` become escalations that name it; nothing is dropped."""
+    """Rows with a non-null ``problem`` become escalations that name it; nothing is dropped.
+
+    What the plan worked out for such a row is not trusted: no class, passages, findings or citations.
+    """
     failed = problem.isNotNull()
     routing = F.struct(
         F.lit("escalate").alias("action"), F.lit(lx.R11).alias("rule_fired"),
         F.lit("The ticket could not be processed and was passed to a person.").alias("reason"),
     )
+    unknown = {"intent": "other", "urgency": "unknown", "confidence": 0.0, "raw_confidence": 0.0, "method": "pipeline_error"}
+    judged = F.col("classification")
+    for name, value in unknown.items():
+        judged = judged.withField(name, F.lit(value))
+    package = F.col("escalation_package")
+    replaced = {
+        "classification": judged.withField("alternatives", F.slice("classification.alternatives", 1, 0)),
+        "retrieved": F.slice("retrieved", 1, 0),
+        "citations": F.slice("citations", 1, 0),
+        "findings": F.slice("findings", 1, 0),
+        "draft_text": F.lit(None).cast("string"),
+        "escalation_package": F.struct(
+            "ticket_id", "channel", "customer_tier", F.lit("other").alias("intent"), F.lit("unknown").alias("urgency"),
+            F.lit(0.0).alias("confidence"), F.lit("processing error").alias("why_escalated"),
+            F.slice(package["suggested_sources"], 1, 0).alias("suggested_sources"),
+            F.lit("This ticket could not be processed automatically.").alias("note"), F.lit("deterministic").alias("note_method"),
+            F.lit(None).cast("string").alias("draft_for_review"), F.lit(None).cast("boolean").alias("draft_blocked"),
+        ) if "escalation_package" in rows.columns else package,
+    }
     return rows.withColumns(
         {
             "routing": F.when(failed, routing).otherwise(F.col("routing")),
@@ -103,6 +125,7 @@ def quarantine(rows: DataFrame, problem: Column) -> DataFrame:
             "response_text": F.when(~failed, F.col("response_text")),
             "degraded": failed | F.col("degraded"),
             "error": problem,
+            **{name: F.when(failed, value).otherwise(F.col(name)) for name, value in replaced.items() if name in rows.columns},
         }
     )
 
@@ -113,9 +136,14 @@ def triage(
     chunks: DataFrame | None = None, index: LexicalIndex | None = None,
     processed_at: Column | None = None,
 ) -> DataFrame:
-    """Tickets with ``model_text``, ``ingest_warnings`` and optional ``reply`` to outcomes."""
+    """Tickets with ``model_text``, ``ingest_warnings`` and optional ``reply`` to outcomes.
+
+    A column ``problem`` (as ``with_guarded`` adds it) names what failed in a ticket's own row; such
+    tickets are escalated with it and the others are not affected.
+    """
     s = settings or Settings()
     if "reply" not in tickets.columns:
         tickets = tickets.withColumn("reply", F.lit(None).cast("string"))
     found = retrieve(tickets, articles, s, chunks, index)
-    return outcomes(decide(found, s, model, calibrate), run_id, processed_at)
+    done = outcomes(decide(found, s, model, calibrate), run_id, processed_at)
+    return quarantine(done, F.col("problem")) if "problem" in tickets.columns else done

@@ -189,3 +189,20 @@ def test_failed_rows_are_escalated_not_dropped(spark):
     assert [(r.action, r.routing.rule_fired, r.response_text, r.error) for r in got] == [
         ("answer", lx.R8, "text", None), ("escalate", lx.R11, None, "ValueError: x"),
     ]
+
+
+def test_guarded_function_keeps_the_other_rows(spark):
+    from deskloom.functions.guarded import with_guarded
+
+    def fussy(number, text):
+        if text is None:
+            raise ValueError("no text")
+        return text * (6 // number)
+
+    rows = spark.createDataFrame([(1, "a"), (0, "b"), (2, None), (3, "")], "n long, t string").coalesce(1)
+    got = with_guarded(rows, "x", fussy, "string", F.col("n"), F.col("t"))
+    got = with_guarded(got, "y", lambda x: len(x), "long", F.col("x"))
+    assert {(r.n, r.x, r.y, r.problem) for r in got.collect()} == {
+        (1, "aaaaaa", 6, None), (0, None, None, "ZeroDivisionError: integer division or modulo by zero"),
+        (2, None, None, "ValueError: no text"), (3, "", 0, None),
+    }

@@ -8,7 +8,7 @@ texts are counted, the frequent ones are folded once each, and their ids go to a
 of bounded size. Documents are then put together in Arrow batches from that table. What is not in
 it is merged on the spot by the same ranks, with a heap where it is long, and remembered by the
 worker within bounds; so the size of the table changes the speed and no result. Folding such words
-inside the rows gives the same ids and took some eight times the CPU seconds.
+inside the rows gives the same ids at a higher cost (figures in the README).
 
 Decoding concatenates the binary piece of each id.
 

@@ -147,3 +147,21 @@ def test_order_dependent_figures_match_a_sequential_pass(spark):
             assert paced[i] == pytest.approx(entries[-1] - at, abs=1e-5)
             fails = fails + 1 if failed else 0
             assert runs[i] == fails
+
+
+def test_samples_are_reproducible_and_mergeable(spark):
+    import hashlib
+
+    rows = [(k, "hot" if k % 3 else f"s{k % 12}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "k long, by string")
+    order = sorted((hashlib.md5(f"42:{k}".encode()).hexdigest(), k, by) for k, by in rows)
+    plain = {k for _, k, _ in order[:50]}
+    assert {r.k for r in ca.seeded_sample(frame.repartition(7), "k", 50).collect()} == plain
+    parts = [ca.seeded_sample(frame.filter(F.col("k") % 4 == i), "k", 50) for i in range(4)]
+    merged = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    assert {r.k for r in ca.seeded_sample(merged, "k", 50).collect()} == plain
+    strata = {}
+    for _, k, by in order:
+        strata.setdefault(by, []).append(k)
+    got = {(r.by, r.k) for r in ca.stratified_sample(frame, "k", "by", 20).collect()}
+    assert got == {(by, k) for by, ks in strata.items() for k in ks[:20]}

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as b
 from catalog import text as t
+from catalog import tuning as tu
 from catalog.text import _q, channel_sql, private_data_sql, sentences_sql, substantive_sql
 from deskloom import lexicon as lx
 from deskloom.functions.guarded import with_guarded
+from deskloom.operators import answerability as an
+from deskloom.operators import calibration as ca
 from deskloom.operators import classify as cl
 from deskloom.operators import drafting as dr
 from deskloom.operators import guardrails as gr
@@ -16,8 +19,9 @@ from deskloom.operators import metrics as m
 from deskloom.operators.decision_log import decision_rows
 from deskloom.operators.normalise import normalise_tickets
 from deskloom.plans import triage as tr
-from deskloom.session import spread
+from deskloom.session import shared_folder, spread
 from deskloom.settings import Settings
+from deskloom.sinks import artefacts as sk
 
 S = Settings()
 
@@ -155,6 +159,24 @@ def outcomes_with_failures(spark, sf_dir):
     ).withColumn("why", F.when(F.col("error").isNotNull(), F.col("why")))
 
 
+def fitted_outcomes(spark, sf_dir):
+    """The triage of every user turn by a calibration and a model that were fitted on the labelled
+    documents, published, and loaded again behind a folder that has none."""
+    labelled, folder = b.scored_rows(spark, sf_dir), shared_folder(spark, "models")
+    sk.publish(ca.fit_isotonic(labelled), folder, "calibration")
+    sk.publish(an.fit_descent(labelled.select("intent", "score", "answerable")), folder, "answerability")
+    paths = (f"{folder}/none", folder)
+    done = tr.triage(
+        b.drafted_tickets(spark, sf_dir), b.articles(spark, sf_dir), S, run_id="run-1", chunks=b.chunks(spark, sf_dir),
+        model=sk.load_answerability(spark, *paths), calibration=sk.load_calibration(spark, *paths),
+    )
+    return done.select(
+        "position", "ticket_id", F.col("classification.intent").alias("intent"),
+        F.col("classification.confidence").alias("confidence"),
+        F.col("signals.answerability_probability").alias("probability"), "action", F.col("routing.rule_fired").alias("rule_fired"),
+    )
+
+
 def outcome_volume(spark, sf_dir):
     flat = m.flatten(_outcomes(spark, sf_dir))
     return m.volume_by(flat, "rule_fired")
@@ -173,7 +195,7 @@ QUERIES = {
     "triage_" + f.__name__: f
     for f in (
         normalised_tickets, rule_classification, reply_classification, resolved_citations,
-        grounding_scores, outcomes, outcomes_with_failures, outcome_volume, log_rows,
+        grounding_scores, outcomes, outcomes_with_failures, fitted_outcomes, outcome_volume, log_rows,
     )
 }
 
@@ -350,6 +372,15 @@ final AS (
   FROM ruled_all
 )"""
 
+_SHRUNK = "round(least(0.85::DOUBLE, raw * 0.8::DOUBLE), 4)"
+_CALIBRATED = """round(coalesce((SELECT max_by(v.value, v.bin) FROM fit v WHERE v.bin / 10 <= raw),
+  (SELECT min_by(v.value, v.bin) FROM fit v)), 4)"""
+_FITTED_TRIAGE = (
+    f"WITH RECURSIVE {b.SCORED_SQL}, {tu.DESCENT_SQL}, {tu.pav_sql('correct')}, "
+    + _TRIAGE.removeprefix("WITH RECURSIVE ").replace(_SHRUNK, _CALIBRATED)
+    .replace(b.probability_sql("prior", "top_score"), tu.fitted_probability_sql("scored.intent", "scored.top_score"))
+)
+
 SQL = {
     "triage_normalised_tickets": f"""WITH {_TICKETS}
 SELECT position, ticket_id, channel, subject, body, raw_text, c_mktsegment AS customer_tier, r_name AS region,
@@ -382,6 +413,8 @@ SELECT position, ticket_id, CASE WHEN bad THEN 'other' ELSE intent END AS intent
   CASE WHEN bad THEN '{lx.R11}' ELSE rule_fired END AS rule_fired, bad OR degraded AS degraded,
   CASE WHEN bad THEN '' ELSE coalesce(array_to_string(cited, ','), '') END AS citations, CASE WHEN bad THEN 'processing error' END AS why,
   CASE WHEN bad THEN 'ValueError: no draft for ' || chars || ' characters' END AS error FROM failed""",
+    "triage_fitted_outcomes": f"""{_FITTED_TRIAGE}
+SELECT position, ticket_id, intent, confidence::DOUBLE AS confidence, probability, action, rule_fired FROM final""",
     "triage_outcome_volume": f"{_TRIAGE} SELECT rule_fired, count(*) AS n FROM final GROUP BY rule_fired",
     "triage_log_rows": f"""{_TRIAGE}
 SELECT 'run-1' AS run_id, ticket_id, channel, c_mktsegment AS customer_tier, r_name AS region, intent AS predicted_intent,

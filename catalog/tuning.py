@@ -12,6 +12,7 @@ from deskloom.operators import calibration as ca
 from deskloom.operators import policy as po
 from deskloom.operators import sweeps as sw
 from deskloom.operators.routing import never_automates
+from deskloom.session import cut_lineage
 
 rows = b.scored_rows
 
@@ -45,14 +46,12 @@ def auc_of_amounts(spark, sf_dir):
 
 
 def fitted_model(spark, sf_dir):
-    """Weights from the distributed fit, with the AUC they reach on the same rows."""
+    """Weights after the specified gradient steps, with the AUC they reach on the same rows."""
     source = rows(spark, sf_dir).drop("p", "prior")
-    model = an.fit_logistic(source)
-    scored = an.with_probability(source, model)
-    return an.auc(scored, "p").select(
-        "auc",
-        *[F.lit(model[k]).alias(k) for k in ("w_prior", "w_score", "bias", "base_rate", "n_samples")],
-    )
+    model = cut_lineage(an.fit_descent(source))
+    known = source.withColumn("_model", model.select(F.struct("*").alias("m")).scalar())
+    scored = known.withColumn("p", an.fitted_probability(F.col("_model"), F.col("intent"), F.col("score")))
+    return model.select("w_prior", "w_score", "bias", "base_rate", "n_samples").crossJoin(an.auc(scored, "p").select("auc"))
 
 
 def reliability_bins(spark, sf_dir):
@@ -217,7 +216,7 @@ FROM ranked {f"GROUP BY {by}" if by else ""}"""
 _BINS = "SELECT least(floor(confidence * 10 + 1e-9), 9)::INT AS bin, count(*) AS n, avg(confidence) AS mc, avg(({c})::INT) AS acc FROM rows GROUP BY 1"
 
 
-def _pav_sql(correct: str) -> str:
+def pav_sql(correct: str) -> str:
     return f"""bins AS ({_BINS.format(c=correct)}),
 spans AS (
   SELECT j.bin AS j, k.bin AS k, sum(b.n * b.acc) / sum(b.n) AS m
@@ -274,6 +273,37 @@ curve AS (
 )"""
 
 
+#: Gradient steps on merged rows; ``fitted``: one row of weights, ``fitted_priors``: one of each intent.
+DESCENT_SQL = f"""fitted_priors AS (SELECT intent, (count(*) FILTER (answerable) + 1) / (count(*) + 2) AS q FROM rows GROUP BY intent),
+points AS (
+  SELECT score AS s, ln(least(greatest(q, 1e-4), 1 - 1e-4) / (1 - least(greatest(q, 1e-4), 1 - 1e-4)))::DOUBLE AS f,
+    count(*)::DOUBLE AS m, count(*) FILTER (answerable)::DOUBLE AS hits
+  FROM rows JOIN fitted_priors USING (intent) GROUP BY ALL
+),
+descent(k, a, c, d) AS (
+  SELECT 0, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE
+  UNION ALL
+  SELECT k + 1, any_value(a) - {an.RATE}::DOUBLE * (sum(e * f) / sum(m) + {an.L2}::DOUBLE * any_value(a)),
+    any_value(c) - {an.RATE}::DOUBLE * (sum(e * s) / sum(m) + {an.L2}::DOUBLE * any_value(c)),
+    any_value(d) - {an.RATE}::DOUBLE * (sum(e) / sum(m))
+  FROM (SELECT k, a, c, d, f, s, m, m / (1 + exp(-(d + a * f + c * s))) - hits AS e FROM descent, points WHERE k < {an.EPOCHS})
+  GROUP BY k
+),
+fitted AS (
+  SELECT round(a, 5) AS w_prior, round(c, 5) AS w_score, round(d, 5) AS bias,
+    (SELECT round(avg(answerable::INT), 4) FROM rows) AS base_rate, (SELECT count(*) FROM rows) AS n_samples
+  FROM descent WHERE k = {an.EPOCHS}
+)"""
+
+
+def fitted_probability_sql(intent: str, score: str) -> str:
+    """Probability by the tables of ``DESCENT_SQL``."""
+    q = f"coalesce((SELECT any_value(q) FROM fitted_priors fp WHERE fp.intent = {intent}), (SELECT base_rate FROM fitted))"
+    q = f"least(greatest({q}, 1e-4), 1 - 1e-4)"
+    z = f"(SELECT bias FROM fitted) + (SELECT w_prior FROM fitted) * ln({q} / (1 - {q})) + (SELECT w_score FROM fitted) * {score}"
+    return f"round(1 / (1 + exp(-({z}))), 4)"
+
+
 _RATIOS = "(VALUES (2.0), (4.0), (6.0), (8.0), (12.0), (20.0)) v(r)"
 _NEVER = """never AS (SELECT intent, count(*) AS n FROM {src} GROUP BY intent
   HAVING avg((expected_route = 'escalate')::INT) = 1 AND avg(must_not::INT) = 1)"""
@@ -290,21 +320,25 @@ SQL = {
 {_auc_sql("long", "scorer")}""",
     "tuning_auc_of_amounts": f"""WITH src AS (SELECT l_extendedprice / 200000 AS s, l_returnflag = 'R' AS y FROM lineitem),
 {_auc_sql("src")}""",
+    "tuning_fitted_model": f"""WITH RECURSIVE {b.SCORED_SQL}, {DESCENT_SQL},
+graded AS (SELECT {fitted_probability_sql("r.intent", "r.score")} AS s, answerable AS y FROM rows r),
+graded_auc AS ({_auc_sql("graded").replace("ranked AS", "WITH ranked AS", 1)})
+SELECT w_prior, w_score, bias, base_rate, n_samples, (SELECT auc FROM graded_auc) AS auc FROM fitted""",
     "tuning_reliability_bins": f"""{_R}, bins AS ({_BINS.format(c="correct")})
 SELECT bin, n, round(mc, 4) AS mean_confidence, round(acc, 4) AS accuracy FROM bins""",
     "tuning_calibration_error": f"{_R} SELECT count(*) AS n, {ece_sql('rows')} AS ece FROM rows",
-    "tuning_isotonic_fit": f"""{_R}, {_pav_sql("answerable AND correct")}
+    "tuning_isotonic_fit": f"""{_R}, {pav_sql("answerable AND correct")}
 SELECT bin / 10 AS breakpoint, round(value, 4) AS value FROM fit""",
     "tuning_calibration_sample": f"{_R} SELECT doc_id, intent FROM rows ORDER BY md5('42:' || doc_id), doc_id LIMIT 200",
     "tuning_calibration_sample_of_intents": f"""{_R} SELECT doc_id, intent FROM rows
 QUALIFY row_number() OVER (PARTITION BY intent ORDER BY md5('42:' || doc_id), doc_id) <= 20""",
     "tuning_sampled_isotonic_fit": f"""{_R}, sampled AS (SELECT * FROM rows WHERE intent <> '' ORDER BY md5('42:' || doc_id), doc_id LIMIT 150),
-{_pav_sql("correct").replace("FROM rows", "FROM sampled")}
+{pav_sql("correct").replace("FROM rows", "FROM sampled")}
 SELECT (SELECT count(*) FROM sampled) AS n_samples, bin / 10 AS breakpoint, round(value, 4) AS value FROM fit""",
-    "tuning_calibration_fit_summary": f"""{_R}, {_pav_sql("correct")}, {_APPLIED}
+    "tuning_calibration_fit_summary": f"""{_R}, {pav_sql("correct")}, {_APPLIED}
 SELECT *, ece_after <= 0.05 AS condition_met FROM (SELECT count(*) AS n_samples, round(avg(correct::INT), 4) AS accuracy,
   round(avg(confidence), 6) AS mean_confidence, {ece_sql("rows")} AS ece_before, {ece_sql("applied")} AS ece_after FROM rows)""",
-    "tuning_calibrated_rows": f"{_R}, {_pav_sql('correct')}, {_APPLIED} SELECT doc_id, confidence AS calibrated FROM applied",
+    "tuning_calibrated_rows": f"{_R}, {pav_sql('correct')}, {_APPLIED} SELECT doc_id, confidence AS calibrated FROM applied",
     "tuning_answerability_sweep": f"""{_R}, {_SWEEP} SELECT threshold, tp, fp, fn, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(f1, 6) AS f1, cost FROM full_sweep""",
     "tuning_best_thresholds": f"""{_R}, {_SWEEP} SELECT

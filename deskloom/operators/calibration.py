@@ -85,6 +85,15 @@ def apply_fit(rows: DataFrame, fit: DataFrame, raw: str = "confidence") -> DataF
     ).drop("_s")
 
 
+#: A published isotonic fit.
+FIT = "n_samples long, breakpoints array<double>, values array<double>"
+
+
+def calibrator(fit: Column):
+    """A function from stated to calibrated confidence by a column that holds a struct of ``FIT``."""
+    return lambda raw: step_lookup(raw, fit["breakpoints"], fit["values"])
+
+
 def fit_summary(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Samples, accuracy and calibration error before and after the fit, in one row."""
     fit = fit_isotonic(rows, bins)

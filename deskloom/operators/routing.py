@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deskloom import lexicon as lx
 from deskloom.functions.scoring import answerability, prior_for
+from deskloom.operators.answerability import fitted_probability
 from deskloom.operators.guardrails import any_blocked
 from deskloom.settings import RoutingSettings
 
@@ -118,16 +119,20 @@ def override(decision: Column, declined: Column, findings: Column) -> Column:
     )
 
 
-def route(rows: DataFrame, settings: RoutingSettings | None = None, model: dict | None = None) -> DataFrame:
+def route(rows: DataFrame, settings: RoutingSettings | None = None, model: dict | DataFrame | None = None) -> DataFrame:
     """Add ``signals`` and ``routing`` to rows that carry
 
     classification, retrieved, grounding (struct or null), findings, declined, degraded,
     ingest_warnings and customer_tier. ``model`` overrides the fitted answerability weights
-    (keys: priors, base_rate, w_prior, w_score, bias); an empty dict means none was fitted.
+    (keys: priors, base_rate, w_prior, w_score, bias); an empty dict means none was fitted. A frame
+    of one row, as ``fit_descent`` gives it, is read as a scalar.
     """
     s = settings or RoutingSettings()
     best = top_score(F.col("retrieved"))
-    if model == {}:
+    if isinstance(model, DataFrame):
+        rows = rows.withColumn("_model", model.select(F.struct("*").alias("m")).scalar())
+        probability, method = fitted_probability(F.col("_model"), F.col("classification.intent"), best), "fitted_model"
+    elif model == {}:
         probability, method = best, "retrieval_score_only"
     else:
         m = model or {}
@@ -168,7 +173,7 @@ def route(rows: DataFrame, settings: RoutingSettings | None = None, model: dict
         rows.withColumn("signals", signals)
         .withColumn("_decision", decision)
         .withColumn("routing", final)
-        .drop("_p", "_ratio", "_decision")
+        .drop("_p", "_ratio", "_decision", "_model")
     )
 
 

@@ -40,8 +40,12 @@ def _completed(spark: SparkSession, path: str) -> DataFrame | None:
 def run(
     spark: SparkSession, input_path: str, docs_path: str, output: str, *, limit: int | None = None,
     resume: bool = False, run_id: str | None = None, settings: Settings | None = None,
+    models: tuple[str, ...] = (),
 ) -> dict:
-    """One attempt. Outcomes are appended as one committed job, so an attempt counts whole or not."""
+    """One attempt. Outcomes are appended as one committed job, so an attempt counts whole or not.
+
+    ``models``: folders of published fits, asked in order; what none of them has stays built in.
+    """
     ship_package(spark)
     now = datetime.now(timezone.utc)
     run_id = run_id or f"run-{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:6]}"
@@ -56,7 +60,8 @@ def run(
     earlier = _completed(spark, outcome_path) if resume else None
     todo = tickets if earlier is None else dl.not_yet_done(tickets, earlier)
     decided = triage(
-        todo, load_articles(spark, docs_path), settings, run_id=run_id, processed_at=F.lit(started)
+        todo, load_articles(spark, docs_path), settings, run_id=run_id, processed_at=F.lit(started),
+        model=sk.load_answerability(spark, *models), calibration=sk.load_calibration(spark, *models),
     )
     decided.select(
         "run_id", "ticket_id", "position", "channel", "customer_tier", "region", "model_text",
@@ -94,13 +99,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--limit", type=int)
     parser.add_argument("--resume", action="store_true")
     parser.add_argument("--run-id")
+    parser.add_argument("--models", nargs="*", default=[], help="folders of published fits")
     args = parser.parse_args(argv)
     if "://" not in args.input and not Path(args.input).exists():
         print(f"no such input: {args.input}", file=sys.stderr)
         return EXIT_NO_INPUT
     report = run(
         build_session("deskloom-run"), args.input, args.docs, args.output, limit=args.limit,
-        resume=args.resume, run_id=args.run_id,
+        resume=args.resume, run_id=args.run_id, models=tuple(args.models),
     )
     return EXIT_OK if report["run"]["completed_fully"] else EXIT_INCOMPLETE
 

@@ -11,6 +11,7 @@ from deskloom.operators import drafting as dr
 from deskloom.operators import guardrails as gr
 from deskloom.operators import routing as rt
 from deskloom.operators import search as se
+from deskloom.operators.calibration import calibrator
 from deskloom.operators.chunking import chunk_documents
 from deskloom.operators.lexical import LexicalIndex
 from deskloom.session import cut_lineage
@@ -50,15 +51,20 @@ def retrieve(
     )
 
 
-def decide(rows: DataFrame, settings: Settings | None = None, model: dict | None = None,
-           calibrate=None) -> DataFrame:
+def decide(rows: DataFrame, settings: Settings | None = None, model: dict | DataFrame | None = None,
+           calibrate=None, calibration: DataFrame | None = None) -> DataFrame:
     """Classify, draft, check and route tickets that already carry ``retrieved``.
 
+    ``calibration`` is a fit of one row, read as a scalar; it stands in for ``calibrate``.
+
     ``reply`` is the drafting model's text (null: provider unavailable). All of it happens
     inside the ticket's own row.
     """
     s = settings or Settings()
-    rows = cl.classify(rows, s, calibrate)
+    if calibration is not None:
+        rows = rows.withColumn("_fit", calibration.select(F.struct("*").alias("f")).scalar())
+        calibrate = calibrator(F.col("_fit"))
+    rows = cl.classify(rows, s, calibrate).drop("_fit")
     rows = dr.draft(rows)
     rows = rows.withColumn(
         "degraded",
@@ -132,7 +138,8 @@ def quarantine(rows: DataFrame, problem: Column) -> DataFrame:
 
 def triage(
     tickets: DataFrame, articles: DataFrame, settings: Settings | None = None, *,
-    run_id: str = "adhoc", model: dict | None = None, calibrate=None,
+    run_id: str = "adhoc", model: dict | DataFrame | None = None, calibrate=None,
+    calibration: DataFrame | None = None,
     chunks: DataFrame | None = None, index: LexicalIndex | None = None,
     processed_at: Column | None = None,
 ) -> DataFrame:
@@ -145,5 +152,5 @@ def triage(
     if "reply" not in tickets.columns:
         tickets = tickets.withColumn("reply", F.lit(None).cast("string"))
     found = retrieve(tickets, articles, s, chunks, index)
-    done = outcomes(decide(found, s, model, calibrate), run_id, processed_at)
+    done = outcomes(decide(found, s, model, calibrate, calibration), run_id, processed_at)
     return quarantine(done, F.col("problem")) if "problem" in tickets.columns else done

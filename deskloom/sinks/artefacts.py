@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from deskloom import lexicon as lx
+from deskloom.operators import answerability, calibration
 from deskloom.operators.decision_log import last_runs
 
 
@@ -38,8 +43,6 @@ def write_artefact(one_row: DataFrame, path: str) -> None:
 
 def read_artefact(spark: SparkSession, *paths: str) -> DataFrame | None:
     """The first readable artefact among a fitted path and its fallbacks."""
-    from pyspark.errors import AnalysisException
-
     for path in paths:
         try:
             found = spark.read.json(path)
@@ -50,6 +53,83 @@ def read_artefact(spark: SparkSession, *paths: str) -> DataFrame | None:
     return None
 
 
+def publish(one_row: DataFrame, path: str, name: str) -> str:
+    """Write a version of an artefact, then point to it; returns the version.
+
+    Readers follow the pointers, so they never meet a version that is half written, and a publisher
+    that dies between the two writes changes nothing. A pointer is one appended row; pointing to an
+    earlier version again (:func:`point_to`) takes a newer one back.
+    """
+    version = uuid.uuid4().hex
+    one_row.coalesce(1).write.mode("errorifexists").json(f"{path}/{name}/versions/{version}")
+    point_to(one_row.sparkSession, path, name, version)
+    return version
+
+
+POINTER = "seq long, version string"
+
+
+def point_to(spark: SparkSession, path: str, name: str, version: str) -> None:
+    last = _pointers(spark, path, name)
+    seq = 0 if last is None else last.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    row = spark.range(1, numPartitions=1).select(F.lit(seq + 1).cast("long").alias("seq"), F.lit(version).alias("version"))
+    row.write.mode("append").json(f"{path}/{name}/pointers")
+
+
+def _pointers(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(POINTER).json(f"{path}/{name}/pointers")
+    except AnalysisException:  # nothing published there
+        return None
+
+
+def load_published(
+    spark: SparkSession, name: str, schema: str, *paths: str, back: int = 3, usable: str | None = None
+) -> DataFrame | None:
+    """The newest readable version of an artefact, as a frame of one row, or None.
+
+    The folders are tried in order, in each the last ``back`` published versions, newest first. A
+    version counts when it is one row with every column of ``schema`` filled, for which ``usable``
+    (a condition) holds. Only version names and those conditions reach the driver.
+    """
+    for path in paths:
+        pointers = _pointers(spark, path, name)
+        if pointers is None:
+            continue
+        newest = pointers.groupBy("version").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq"), "version").limit(back)
+        for row in newest.collect():
+            try:
+                found = spark.read.schema(schema).json(f"{path}/{name}/versions/{row.version}")
+            except AnalysisException:  # deleted since
+                continue
+            filled = F.expr(usable) if usable else F.lit(True)
+            for column in found.columns:
+                filled &= F.col(column).isNotNull()
+            if found.agg(F.count("*"), F.count_if(filled)).first() == (1, 1):
+                return found
+    return None
+
+
+TAXONOMY = "intents array<string>"
+
+
+def load_taxonomy(spark: SparkSession, *paths: str) -> tuple[str, ...]:
+    """The published list of intents, or the built-in one."""
+    found = load_published(spark, "taxonomy", TAXONOMY, *paths, usable="size(intents) > 0")
+    return tuple(found.first().intents) if found is not None else tuple(lx.TAXONOMY)
+
+
+def load_calibration(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The published isotonic fit; without one, confidences are shrunk."""
+    usable = "size(breakpoints) > 0 and size(breakpoints) = size(values)"
+    return load_published(spark, "calibration", calibration.FIT, *paths, usable=usable)
+
+
+def load_answerability(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The published model that was fitted on enough rows; without one, the built-in weights hold."""
+    return load_published(spark, "answerability", answerability.MODEL, *paths, usable="enough")
+
+
 def cache_key(model: Column, temperature: Column, max_tokens: Column, json_mode: Column,
               messages: Column) -> Column:
     """Digest of everything that affects a reply, keys in alphabetical order."""

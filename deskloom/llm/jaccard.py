@@ -48,7 +48,7 @@ _SLICE = 1 << 12
 GROUP_ROWS = 16
 _KEY_BITS = np.uint64(58)
 
-SUMMARY = "doc_id long, n long, node long, bands array<long>, slice int, counts binary"
+SUMMARY = "doc_id long, text_key long, n long, node long, bands array<long>, slice int, counts binary"
 
 
 def sets_in(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,13 +63,13 @@ def _summaries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for a, b, values, bounds in sets_in(batch, k):
                 counts += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 n = b - a
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids[a:b], "n": pa.array(np.diff(bounds), pa.int64()),
+                        "doc_id": ids[a:b], "text_key": keys[a:b], "n": pa.array(np.diff(bounds), pa.int64()),
                         "node": pa.array(set_digest(values, bounds)[0]),
                         "bands": pa.FixedSizeListArray.from_arrays(
                             pa.array(bands(min_hashes(values, bounds, BANDS * ROWS), ROWS).ravel()), BANDS
@@ -81,7 +81,7 @@ def _summaries(k: int):
             rows = counts.astype("<u4").reshape(-1, _SLICE)
             m = len(rows)
             yield pa.RecordBatch.from_pydict(
-                {c: pa.nulls(m, pa.int64()) for c in ("doc_id", "n", "node")}
+                {c: pa.nulls(m, pa.int64()) for c in ("doc_id", "text_key", "n", "node")}
                 | {"bands": pa.nulls(m, pa.list_(pa.int64())), "slice": pa.array(range(m), pa.int32())}
                 | {"counts": pa.array([r.tobytes() for r in rows], pa.binary())}
             )
@@ -227,8 +227,14 @@ def _can_reach(shared, n, m, percent: int):
 def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
+    return rows_of_components(docs, k=k, percent=percent, doc_id=doc_id, text=text).drop("text_key")
+
+
+def rows_of_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id",
+                       text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key (a 64-bit hash of the text) for each row."""
     spark: SparkSession = docs.sparkSession
-    own = pick(docs, doc_id=doc_id, text=text)
+    own = pick(docs, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
     texts = own.select("text")
     summary = kept(own.mapInArrow(_summaries(k), SUMMARY), "sets")
     rows = summary.filter("slice is null").drop("slice", "counts")
@@ -317,6 +323,35 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCEN
     )
     least_ids = ends.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = ends.select("node", "component").join(least_ids, "component").select("node", "component_id")
-    named = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
+    named = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_class, "node", "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "text_key")
+
+
+def one_of_each(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the one with the smallest id.
+
+    Rows are told apart by id and text: an id that stands for several texts loses those alone that
+    have a near duplicate, and of equal rows under one id one stays. Of several texts under the
+    smallest id the one with the smallest hash stays. Rows with a null id and rows with an empty
+    set all stay, in whatever number.
+    """
+    rows = rows_of_components(docs, k=k, percent=percent, doc_id=doc_id, text=text).filter(
+        "doc_id is not null and n_shingles > 0"
+    )
+    # Three numbers for each distinct row; merged before the shuffle.
+    distinct = kept(rows.groupBy("doc_id", "text_key").agg(
+        F.first("component_id").alias("component_id"), F.count("*").alias("copies")
+    ), "distinct-rows")
+    stays = distinct.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    judged = distinct.join(stays, "component_id").withColumn("stays", F.struct("doc_id", "text_key") == F.col("least"))
+    own, own_text = docs[f"`{doc_id}`"], docs[f"`{text}`"]
+
+    def matched(named: DataFrame, how: str) -> DataFrame:
+        same = (own == named["doc_id"]) & (F.xxhash64(own_text) == named["text_key"])
+        return docs.join(named.select("doc_id", "text_key"), same, how)
+
+    alone = matched(judged.filter("not stays or copies > 1"), "left_anti")
+    again = matched(judged.filter("stays and copies > 1"), "left_semi").dropDuplicates([doc_id, text])
+    return alone.union(again)

@@ -6,7 +6,7 @@ the last returns the encoded documents. Tables between the stages are Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from deskloom.llm import jaccard, language, leaks, pieces, secrets
 from deskloom.llm.common import documents, shared_folder
@@ -26,11 +26,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of the Jaccard join; rows without an id stay."""
+    """The document with the smallest id of each component of the Jaccard join; rows without an id stay.
+
+    Rows are told apart by id and text, so an id that stands for several texts loses duplicates alone.
+    """
     ship_package(spark)
-    found = jaccard.jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).filter("component_id <> doc_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return jaccard.one_of_each(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

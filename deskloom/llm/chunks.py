@@ -8,14 +8,27 @@ thinned to its short chunks, which are the frequent ones, when it holds ``limit`
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: Characters of known chunks in one Python worker, with eight for each chunk.
 KNOWN_CHARS = 14_000_000
 #: Chunks up to this length stay when the table is full.
 SHORT = 7
 
 
+_encoders: weakref.WeakSet[ChunkEncoder] = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty the tables of this Python worker's encoders: tasks of another stage need the memory."""
+    for encoder in _encoders:
+        encoder.first, encoder.later, encoder.held = {}, {}, 0
+    pa.default_memory_pool().release_unused()
+
+
 class ChunkEncoder:
     """``encode_new(chunks, first, known)`` gives one value for each chunk, or None where the chunk
     does not stand for itself; a text with such a chunk goes to ``encode_whole``. ``first`` tells
@@ -34,6 +47,7 @@ class ChunkEncoder:
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.held = 0
+        _encoders.add(self)
 
     def _learn(self, known: dict, chunks: set[str], first: bool) -> None:
         new = list(chunks - known.keys())

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from deskloom.llm.chunks import forget
 from deskloom.llm.common import pick, text_buffers, text_slices
 
 UNKNOWN = "und"
@@ -201,6 +202,7 @@ def scores(net: Network | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 def _predict(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names, best = scores(net, batch.column("text"))
             yield pa.RecordBatch.from_pydict(
@@ -228,6 +230,7 @@ def keep_known(docs: DataFrame, net: Network | None, *, min_score: float, text:
     """The rows, all columns, whose language is found with at least ``min_score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names, best = scores(net, batch.column(batch.schema.get_field_index(text)))
             yield batch.filter(pa.array((names != UNKNOWN) & (best >= min_score)))

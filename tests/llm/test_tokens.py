@@ -109,3 +109,23 @@ def test_sentencepiece_documents(docs):
     full = {r.doc_id: r for r in pieces.encode_documents(docs(ODD), PIECE).collect()}
     assert full[10].decoded == "a b c" and full[10].ids[-1] == 2
     assert pieces.encoding_digests(docs([]), PIECE).collect() == []
+
+
+def test_words_encoded_together_and_forgotten_tables():
+    """Words of every script, alone, first and after a space, as the library encodes them; also after ``forget``."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from deskloom.llm import chunks, token_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = token_ids.encoder(path, 0), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = ["", "one", "Über naïve ñandú 漢字 слово", "a\nb \n c  d", "endoftext <|endoftext|> Ċ Ġ Ċord", "word, word. word! ÿÿ"]
+    texts += [" ".join(f"w{chr(97 + i % 26)}{'éß漢'[i % 3]}{i}" for i in range(50_000))]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode(texts) == want
+    chunks.forget()
+    assert encode.held == 0 and not encode.later
+    assert encode(texts) == want

@@ -19,7 +19,7 @@ from deskloom.operators import metrics as m
 from deskloom.operators.decision_log import decision_rows
 from deskloom.operators.normalise import normalise_tickets
 from deskloom.plans import triage as tr
-from deskloom.session import shared_folder, spread
+from deskloom.session import cut_lineage, shared_folder, spread
 from deskloom.settings import Settings
 from deskloom.sinks import artefacts as sk
 
@@ -177,6 +177,30 @@ def fitted_outcomes(spark, sf_dir):
     )
 
 
+def _vector_no(name, vectors):
+    """A row of the embeddings by the digest of a name; one in nine names gets none."""
+    n = vectors.agg(F.count("*").alias("n")).scalar()
+    return F.conv(F.left(F.md5(name), F.lit(8)), 16, 10).cast("long") % (n + F.floor(n / 8))
+
+
+def vector_grounded_outcomes(spark, sf_dir):
+    """The triage of every user turn with drafts judged by vectors, by words where one is missing."""
+    vectors = b.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    chunks = cut_lineage(b.chunks(spark, sf_dir))
+
+    def with_vectors(names, column):
+        return names.withColumn("vec_id", _vector_no(F.col(column), vectors)).join(vectors, "vec_id")
+
+    done = tr.triage(
+        b.drafted_tickets(spark, sf_dir), b.articles(spark, sf_dir), S, run_id="run-1", chunks=chunks,
+        embed=lambda sentences: with_vectors(sentences, "text"), chunk_vectors=with_vectors(chunks.select("chunk_id"), "chunk_id"),
+    )
+    return done.select(
+        "position", "ticket_id", F.col("signals.grounding_score").alias("grounding"), F.col("grounding.method").alias("method"),
+        F.size("grounding.unsupported").cast("long").alias("unsupported"), "action", F.col("routing.rule_fired").alias("rule_fired"),
+    )
+
+
 def outcome_volume(spark, sf_dir):
     flat = m.flatten(_outcomes(spark, sf_dir))
     return m.volume_by(flat, "rule_fired")
@@ -195,7 +219,8 @@ QUERIES = {
     "triage_" + f.__name__: f
     for f in (
         normalised_tickets, rule_classification, reply_classification, resolved_citations,
-        grounding_scores, outcomes, outcomes_with_failures, fitted_outcomes, outcome_volume, log_rows,
+        grounding_scores, outcomes, outcomes_with_failures, fitted_outcomes, vector_grounded_outcomes, outcome_volume,
+        log_rows,
     )
 }
 
@@ -381,6 +406,33 @@ _FITTED_TRIAGE = (
     .replace(b.probability_sql("prior", "top_score"), tu.fitted_probability_sql("scored.intent", "scored.top_score"))
 )
 
+_VECTOR_NO = "('0x' || left(md5({t}), 8))::BIGINT % m"
+_VECTOR_TRIAGE = _TRIAGE.replace("with_draft AS (SELECT position, text, src FROM", "with_draft AS (SELECT position, text, src, ids FROM").replace(
+    "FROM with_draft w JOIN grounded USING (position)", "FROM with_draft w JOIN vector_judged USING (position)"
+).replace("\nflags AS (", f"""
+numbered AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+many AS (SELECT count(*) + count(*) // 8 AS m FROM embeddings),
+claim_vectors AS (
+  SELECT position, i, v FROM (SELECT position, unnest(claims) AS c, generate_subscripts(claims, 1) AS i FROM grounded_claims) x
+  CROSS JOIN many LEFT JOIN numbered ON vec_id = {_VECTOR_NO.format(t="c")}
+),
+source_vectors AS (
+  SELECT position, v FROM (SELECT position, unnest(ids) AS chunk_id FROM with_draft) x
+  CROSS JOIN many LEFT JOIN numbered ON vec_id = {_VECTOR_NO.format(t="chunk_id")}
+),
+incomplete AS (SELECT position FROM claim_vectors WHERE v IS NULL UNION SELECT position FROM source_vectors WHERE v IS NULL),
+supports AS (
+  SELECT position, i, max(list_dot_product(c.v, s.v)) AS support FROM claim_vectors c JOIN source_vectors s USING (position)
+  WHERE position NOT IN (SELECT position FROM incomplete) GROUP BY ALL
+),
+vector_ratio AS (SELECT position, count(*) AS n, count(*) FILTER (support < {S.guardrails.support_dense}) AS w FROM supports GROUP BY position),
+vector_judged AS (
+  SELECT g.position, CASE WHEN v.n IS NULL THEN g.ratio ELSE round(1 - v.w / v.n, 4) END AS ratio,
+    CASE WHEN v.n IS NULL THEN g.method ELSE 'embedding' END AS method, coalesce(v.w, g.unsupported) AS unsupported
+  FROM grounded g LEFT JOIN vector_ratio v USING (position)
+),
+flags AS (""")
+
 SQL = {
     "triage_normalised_tickets": f"""WITH {_TICKETS}
 SELECT position, ticket_id, channel, subject, body, raw_text, c_mktsegment AS customer_tier, r_name AS region,
@@ -415,6 +467,9 @@ SELECT position, ticket_id, CASE WHEN bad THEN 'other' ELSE intent END AS intent
   CASE WHEN bad THEN 'ValueError: no draft for ' || chars || ' characters' END AS error FROM failed""",
     "triage_fitted_outcomes": f"""{_FITTED_TRIAGE}
 SELECT position, ticket_id, intent, confidence::DOUBLE AS confidence, probability, action, rule_fired FROM final""",
+    "triage_vector_grounded_outcomes": f"""{_VECTOR_TRIAGE}
+SELECT position, ticket_id, f.ratio AS grounding, method, unsupported, action, rule_fired
+FROM final f LEFT JOIN vector_judged USING (position)""",
     "triage_outcome_volume": f"{_TRIAGE} SELECT rule_fired, count(*) AS n FROM final GROUP BY rule_fired",
     "triage_log_rows": f"""{_TRIAGE}
 SELECT 'run-1' AS run_id, ticket_id, channel, c_mktsegment AS customer_tier, r_name AS region, intent AS predicted_intent,

@@ -265,14 +265,15 @@ def triggered_names(all_findings: Column) -> Column:
 def validate(drafts: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Add ``grounding`` and ``findings`` to rows with ``draft_text`` and ``retrieved``.
 
-    A missing or empty draft has no findings and no grounding.
+    A missing or empty draft has no findings and no grounding. ``vector_grounding``, where a row has
+    one, stands in for the overlap of words and is dropped.
     """
     s = settings or Settings()
     has_draft = F.coalesce(F.col("draft_text") != "", F.lit(False))
-    scored = drafts.withColumn(
-        "grounding",
-        F.when(has_draft, grounding(F.col("draft_text"), F.col("retrieved"), s.guardrails)),
-    )
+    score = grounding(F.col("draft_text"), F.col("retrieved"), s.guardrails)
+    if "vector_grounding" in drafts.columns:
+        score = F.coalesce(F.col("vector_grounding"), score)
+    scored = drafts.withColumn("grounding", F.when(has_draft, score)).drop("vector_grounding")
     return scored.withColumn(
         "findings", F.when(has_draft, findings(F.col("draft_text"), F.col("grounding"), s))
     )

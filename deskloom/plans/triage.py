@@ -14,6 +14,7 @@ from deskloom.operators import search as se
 from deskloom.operators.calibration import calibrator
 from deskloom.operators.chunking import chunk_documents
 from deskloom.operators.lexical import LexicalIndex
+from deskloom.operators.vector_grounding import with_vector_grounding
 from deskloom.session import cut_lineage
 from deskloom.settings import Settings
 
@@ -52,13 +53,15 @@ def retrieve(
 
 
 def decide(rows: DataFrame, settings: Settings | None = None, model: dict | DataFrame | None = None,
-           calibrate=None, calibration: DataFrame | None = None) -> DataFrame:
+           calibrate=None, calibration: DataFrame | None = None, embed=None,
+           chunk_vectors: DataFrame | None = None) -> DataFrame:
     """Classify, draft, check and route tickets that already carry ``retrieved``.
 
     ``calibration`` is a fit of one row, read as a scalar; it stands in for ``calibrate``.
 
     ``reply`` is the drafting model's text (null: provider unavailable). All of it happens
-    inside the ticket's own row.
+    inside the ticket's own row; only with ``embed`` and ``chunk_vectors`` do sentences leave it, to be
+    judged by vectors (``with_vector_grounding``).
     """
     s = settings or Settings()
     if calibration is not None:
@@ -70,6 +73,8 @@ def decide(rows: DataFrame, settings: Settings | None = None, model: dict | Data
         "degraded",
         cl.is_fallback(F.col("classification.method")) | F.coalesce("draft_degraded", F.lit(False)),
     )
+    if embed is not None and chunk_vectors is not None:
+        rows = with_vector_grounding(rows, embed, chunk_vectors, s.guardrails)
     rows = gr.validate(rows, s)
     return rt.route(rows, s.routing, model)
 
@@ -141,7 +146,7 @@ def triage(
     run_id: str = "adhoc", model: dict | DataFrame | None = None, calibrate=None,
     calibration: DataFrame | None = None,
     chunks: DataFrame | None = None, index: LexicalIndex | None = None,
-    processed_at: Column | None = None,
+    processed_at: Column | None = None, embed=None, chunk_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Tickets with ``model_text``, ``ingest_warnings`` and optional ``reply`` to outcomes.
 
@@ -152,5 +157,5 @@ def triage(
     if "reply" not in tickets.columns:
         tickets = tickets.withColumn("reply", F.lit(None).cast("string"))
     found = retrieve(tickets, articles, s, chunks, index)
-    done = outcomes(decide(found, s, model, calibrate, calibration), run_id, processed_at)
+    done = outcomes(decide(found, s, model, calibrate, calibration, embed, chunk_vectors), run_id, processed_at)
     return quarantine(done, F.col("problem")) if "problem" in tickets.columns else done

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from deskloom.operators import decision_log as dl
 from deskloom.operators import sequences as sq
+from deskloom.session import shared_folder
 from deskloom.sinks import artefacts as sk
+from deskloom.sinks import reply_store as rs
 from deskloom.settings import Settings
 
 S = Settings()
@@ -88,10 +90,30 @@ def tickets_not_done(spark, sf_dir):
     )
 
 
+def _request_key(text):
+    message = F.struct(text.alias("content"), F.lit("user").alias("role"))
+    return sk.cache_key(F.lit("m"), F.lit(0.5), F.lit(512), F.lit(False), F.array(message))
+
+
+def reply_store(spark, sf_dir):
+    """Every user turn looked up in a store that was filled with all answered turns, some of them twice,
+    and compacted in between."""
+    turns = b.table(spark, sf_dir, "conversations")
+    replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
+    requests = turns.filter("role = 'user'").select("conv_id", "turn", _request_key(F.col("text")).alias("key"))
+    answered = requests.join(replies, ["conv_id", "turn"]).groupBy("key").agg(F.min("content").alias("content"))
+    path = shared_folder(spark, "reply-store")
+    rs.append_replies(answered.filter("left(key, 1) < '8'"), path)
+    rs.compact(spark, path)
+    rs.append_replies(answered, path)
+    rs.append_replies(answered.withColumn("content", F.lit("changed")), path)  # adds nothing
+    return rs.with_stored_replies(requests, path).select("conv_id", "turn", "key", "content")
+
+
 def reply_cache(spark, sf_dir):
     """Prompts looked up in a cache that holds the replies of answered conversations."""
     turns = b.table(spark, sf_dir, "conversations")
-    key = F.sha2(F.concat(F.lit("m|0.0|"), F.col("text")), 256)
+    key = _request_key(F.col("text"))
     answered = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
     requests = turns.filter("role = 'user'").select("conv_id", "turn", key.alias("key"))
     cache = requests.join(answered, ["conv_id", "turn"], "left_semi").select(
@@ -127,7 +149,7 @@ QUERIES = {
     for f in (
         newest_rows, rows_of_run, count_of_run, decisions_for_ticket, reconciliation, actions_by_run,
         decisions_per_run, operations, exposition, blast_radius, last_state_of_users,
-        tickets_not_done, reply_cache, request_rate, paced_requests, failure_runs,
+        tickets_not_done, reply_cache, reply_store, request_rate, paced_requests, failure_runs,
     )
 }
 
@@ -174,6 +196,13 @@ WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
     "log_reply_cache": """WITH req AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 cached AS (SELECT DISTINCT r.text FROM req r JOIN conversations a ON a.role = 'assistant' AND a.conv_id = r.conv_id AND a.turn = r.turn + 1)
 SELECT count(c.text) AS hits, count(*) - count(c.text) AS misses FROM req r LEFT JOIN cached c ON c.text = r.text""",
+    "log_reply_store": """WITH req AS (
+  SELECT conv_id, turn, sha256(to_json({'json_mode': false, 'max_tokens': 512, 'messages': [{'content': text, 'role': 'user'}],
+    'model': 'm', 'temperature': 0.5::DOUBLE})::VARCHAR) AS key FROM conversations WHERE role = 'user'
+),
+stored AS (SELECT r.key, min(a.text) AS content FROM req r
+  JOIN conversations a ON a.role = 'assistant' AND a.conv_id = r.conv_id AND a.turn = r.turn + 1 GROUP BY r.key)
+SELECT conv_id, turn, key, content FROM req LEFT JOIN stored USING (key)""",
     "log_request_rate": """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts
   RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events""",
     "log_paced_requests": """WITH seq AS (SELECT event_id, event_type, epoch_us(ts) AS us,

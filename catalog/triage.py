@@ -16,6 +16,7 @@ from deskloom.operators import classify as cl
 from deskloom.operators import drafting as dr
 from deskloom.operators import guardrails as gr
 from deskloom.operators import metrics as m
+from deskloom.operators import search as se
 from deskloom.operators.decision_log import decision_rows
 from deskloom.operators.normalise import normalise_tickets
 from deskloom.plans import triage as tr
@@ -201,6 +202,15 @@ def vector_grounded_outcomes(spark, sf_dir):
     )
 
 
+def cited_passages(spark, sf_dir):
+    """Each citation of the triage followed to the title and text of its chunk, in a table in buckets."""
+    folder = shared_folder(spark, "chunk-table")
+    chunks = se.write_chunk_table(b.chunks(spark, sf_dir), folder, f"chunks_{folder.rsplit('-', 1)[1]}")
+    done = tr.triage(b.drafted_tickets(spark, sf_dir), b.articles(spark, sf_dir), S, run_id="run-1", chunks=chunks)
+    cited = done.select("position", F.explode("citations").alias("chunk_id"))
+    return se.resolve_citations(cited, chunks).select("position", "chunk_id", "title", F.sha2("text", 256).alias("text_sha256"))
+
+
 def outcome_volume(spark, sf_dir):
     flat = m.flatten(_outcomes(spark, sf_dir))
     return m.volume_by(flat, "rule_fired")
@@ -219,8 +229,8 @@ QUERIES = {
     "triage_" + f.__name__: f
     for f in (
         normalised_tickets, rule_classification, reply_classification, resolved_citations,
-        grounding_scores, outcomes, outcomes_with_failures, fitted_outcomes, vector_grounded_outcomes, outcome_volume,
-        log_rows,
+        grounding_scores, outcomes, outcomes_with_failures, fitted_outcomes, vector_grounded_outcomes, cited_passages,
+        outcome_volume, log_rows,
     )
 }
 
@@ -470,6 +480,9 @@ SELECT position, ticket_id, intent, confidence::DOUBLE AS confidence, probabilit
     "triage_vector_grounded_outcomes": f"""{_VECTOR_TRIAGE}
 SELECT position, ticket_id, f.ratio AS grounding, method, unsupported, action, rule_fired
 FROM final f LEFT JOIN vector_judged USING (position)""",
+    "triage_cited_passages": f"""{_TRIAGE}
+SELECT position, chunk_id, c.title, sha256(c.text) AS text_sha256
+FROM (SELECT position, unnest(cited) AS chunk_id FROM final) JOIN corpus c USING (chunk_id)""",
     "triage_outcome_volume": f"{_TRIAGE} SELECT rule_fired, count(*) AS n FROM final GROUP BY rule_fired",
     "triage_log_rows": f"""{_TRIAGE}
 SELECT 'run-1' AS run_id, ticket_id, channel, c_mktsegment AS customer_tier, r_name AS region, intent AS predicted_intent,

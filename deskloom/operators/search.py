@@ -187,6 +187,27 @@ def resolve_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return citations.join(chunks, "chunk_id")
 
 
+#: Chunks of one bucket of a chunk table, about.
+CHUNKS_PER_BUCKET = 200_000
+
+
+def write_chunk_table(chunks: DataFrame, path: str, table: str, buckets: int | None = None) -> DataFrame:
+    """Chunks under ``path`` as a table in buckets by ``chunk_id``, sorted inside them.
+
+    Lookups by ``chunk_id`` (:func:`resolve_citations`) then move the citations alone. The number of
+    buckets grows with the corpus, so a bucket stays what one task can sort and read.
+    """
+    spark = chunks.sparkSession
+    if buckets is None:
+        chunks = cut_lineage(chunks)
+        buckets = max(spark.sparkContext.defaultParallelism, -(-chunks.count() // CHUNKS_PER_BUCKET))
+    # One task a bucket writes one file a bucket.
+    chunks.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").option(
+        "path", path
+    ).saveAsTable(table)
+    return spark.table(table)
+
+
 def index_summary(chunks: DataFrame, dense_available: bool = False) -> DataFrame:
     return chunks.agg(
         F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents")

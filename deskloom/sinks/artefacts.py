@@ -76,6 +76,12 @@ def point_to(spark: SparkSession, path: str, name: str, version: str) -> None:
     row.write.mode("append").json(f"{path}/{name}/pointers")
 
 
+def newest_version(spark: SparkSession, path: str, name: str) -> str | None:
+    """The version last pointed to, or None."""
+    pointers = _pointers(spark, path, name)
+    return None if pointers is None else pointers.agg(F.max_by("version", F.struct("seq", "version"))).first()[0]
+
+
 def _pointers(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     try:
         return spark.read.schema(POINTER).json(f"{path}/{name}/pointers")

@@ -58,6 +58,31 @@ def first_decisions(decisions: DataFrame, ts: str = "ts", late: str = "10 minute
     return decisions.withWatermark(ts, late).dropDuplicatesWithinWatermark(["ticket_id"])
 
 
+def undecided_tickets(
+    tickets: DataFrame, decisions: DataFrame, *, within: str = "30 minutes", late: str = "10 minutes",
+    received: str = "received_at", decided: str = "processed_at",
+) -> DataFrame:
+    """Tickets of a stream (columns as they are) without a decision in ``within`` of their receipt.
+
+    The reconciliation of a run, on streams: a left outer join of tickets and decisions on ``ticket_id``
+    whose state is bounded by the watermarks of both sides. A ticket comes out once ``late`` has passed
+    after its time was up; a decision later than that no longer counts, a second one changes nothing. A
+    repeated ticket is reported as often as it came in. A ticket without an id or a time of receipt can
+    have no decision and comes out at once.
+    """
+    lacking = F.col("ticket_id").isNull() | F.col(received).isNull()
+    came = tickets.filter(~lacking).withWatermark(received, late).alias("t")
+    done = decisions.select(
+        F.col("ticket_id").alias("_decided_id"), F.col(decided).alias("_decided_at")
+    ).filter("_decided_id IS NOT NULL AND _decided_at IS NOT NULL").withWatermark("_decided_at", late)
+    in_time = (F.col("_decided_at") >= F.col(f"t.{received}")) & (
+        F.col("_decided_at") <= F.col(f"t.{received}") + F.expr(f"INTERVAL {within}")
+    )
+    joined = came.join(done, (F.col("t.ticket_id") == F.col("_decided_id")) & in_time, "left")
+    open_ = joined.filter("_decided_id IS NULL").drop("_decided_id", "_decided_at")
+    return open_.unionByName(tickets.filter(lacking))
+
+
 BREAKER_OUTPUT = "provider string, ts timestamp, call_id long, allowed boolean, opened boolean, failures int"
 BREAKER_STATE = "failures int, opened_at double"
 

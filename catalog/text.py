@@ -90,7 +90,7 @@ def _drafts(spark, sf_dir):
 def commitment_matches(spark, sf_dir):
     return _drafts(spark, sf_dir).select(
         "doc_id", F.explode(gr.commitment_evidence(F.col("text"))).alias("e")
-    ).select("doc_id", "e.name", F.left("e.value", F.lit(80)).alias("value"))
+    ).select("doc_id", "e.name", "e.value")
 
 
 def injection_matches(spark, sf_dir):
@@ -345,7 +345,7 @@ SELECT doc_id, true AS blocked, count(*) AS evidence_items,
   string_agg(name || ': ' || redacted, '|' ORDER BY i) AS evidence
 FROM kept WHERE i <= 10 GROUP BY doc_id""",
     "commitment_matches": f"""WITH {_DRAFTS}
-SELECT doc_id, name, left(value, 80) AS value FROM ({_COMMITS})""",
+SELECT doc_id, name, value FROM ({_COMMITS})""",
     "injection_matches": f"""WITH {_DRAFTS}
 SELECT doc_id, unnest(list_filter({_MARKERS}, lambda m: contains(lower(text), m))) AS marker FROM drafts""",
     "guardrail_bundle": f"""WITH {_DRAFTS}, {private_data_sql("drafts")},

@@ -2,8 +2,10 @@
 
 Vectors are assigned to the nearest of some pivots. By the triangle
 inequality on angles, a cell can be skipped for a query when even its best possible
-vector is worse than the query's ``depth``-th best from the nearest cells. What remains
-is an equi-join on (cell, slice, query block): both sides of every group are bounded, so
+vector is worse than the query's ``depth``-th best from the nearest cells. Neighbouring
+cells form bins, and a query goes once to each bin with a cell that it cannot skip: where
+nothing can be skipped, a vector is copied as often as there are bins, not cells. What remains
+is an equi-join on (bin, slice, query block): both sides of every group are bounded, so
 a cell holding a third of the corpus is many tasks, and each task emits only its top
 ``depth`` per query.
 """
@@ -22,8 +24,13 @@ from deskloom.session import cut_lineage
 KEY = ["doc_ord", "chunk_no"]
 PIVOTS = 64
 MOST_PIVOTS = 4096
-SLICE_ROWS = 4096
-QUERY_BLOCK = 1024
+# Corpus vectors of a bin and of a slice of a large cell, and queries that meet them in one group.
+SLICE_ROWS = 16384
+QUERY_BLOCK = 16384
+# Fewer queries than this are not worth a block of their own.
+LEAST_BLOCK = 1024
+# Rows of a table of products or angles that exists at once.
+TILE_ROWS = 256
 ANGLE_SLACK = 1e-6
 # Rounding of a product of unit vectors, which may exceed 1.
 SIM_SLACK = 1e-9
@@ -45,14 +52,20 @@ def choose_pivots(corpus: DataFrame, count: int = PIVOTS) -> np.ndarray:
     return unit_rows([r["vec"] for r in rows]) if rows else np.empty((0, 0))
 
 
+def _tiles(pdf: pd.DataFrame):
+    """The frame in pieces of ``TILE_ROWS`` rows."""
+    for at in range(0, len(pdf), TILE_ROWS):
+        yield pdf.iloc[at : at + TILE_ROWS]
+
+
 def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     def assign(batches):
         for pdf in batches:
-            if len(pdf):
-                angles = _angles(unit_rows(pdf["vec"]), pivots)
+            for tile in _tiles(pdf):
+                angles = _angles(unit_rows(tile["vec"]), pivots)
                 cell = angles.argmin(axis=1)
-                yield pdf.assign(
-                    cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell]
+                yield tile.assign(
+                    cell=cell.astype("int32"), angle=angles[np.arange(len(tile)), cell]
                 )
 
     return corpus.select(*KEY, "vec").mapInPandas(
@@ -61,30 +74,39 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _block_top(depth: int, per_document: int | None = None):
+    columns = ["query_id", *KEY, "dense"]
+
     def top(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", *KEY, "dense"]
         if not len(corpus) or not len(queries):
             return pd.DataFrame(columns=columns)
+        # In key order: ties go to the earlier chunk.
         corpus = corpus.sort_values(KEY, kind="stable")
-        sims = np.clip(unit_rows(queries["vec"]) @ unit_rows(corpus["vec"]).T, 0.0, 1.0)
-        # Stable sort on a corpus in key order: ties go to the earlier chunk.
-        order = np.argsort(-sims, axis=1, kind="stable")
-        if per_document is None:
-            order = order[:, :depth]
-        width = order.shape[1]
-        flat = order.ravel()
-        found = pd.DataFrame(
-            {
-                "query_id": np.repeat(queries["query_id"].to_numpy(), width),
-                "doc_ord": corpus["doc_ord"].to_numpy()[flat],
-                "chunk_no": corpus["chunk_no"].to_numpy()[flat],
-                "dense": np.take_along_axis(sims, order, axis=1).ravel(),
-            }
-        )
-        if per_document is not None:
-            found = found[found.groupby(["query_id", "doc_ord"]).cumcount() < per_document]
-            found = found[found.groupby("query_id").cumcount() < depth]
-        return found
+        doc, chunk = corpus["doc_ord"].to_numpy(), corpus["chunk_no"].to_numpy()
+        vectors = unit_rows(corpus["vec"])
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if per_document is not None else np.arange(len(doc))
+        found = []
+        for tile in _tiles(queries):
+            sims = np.clip(unit_rows(tile["vec"]) @ vectors.T, 0.0, 1.0)
+            # What ``depth`` documents reach is a bound; a chunk below it is not among the best.
+            if len(new) > depth:
+                best = np.maximum.reduceat(sims, new, axis=1)
+                bound = np.partition(best, len(new) - depth, axis=1)[:, len(new) - depth]
+            else:
+                bound = np.zeros(len(tile))
+            row, col = np.nonzero(sims >= bound[:, None])
+            dense = sims[row, col]
+            order = np.lexsort((col, -dense, row))
+            row, col, dense = row[order], col[order], dense[order]
+            if per_document is not None:
+                of_document = pd.DataFrame({"row": row, "doc": doc[col]}).groupby(["row", "doc"]).cumcount()
+                few = (of_document < per_document).to_numpy()
+                row, col, dense = row[few], col[few], dense[few]
+            ahead = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, dense = row[ahead < depth], col[ahead < depth], dense[ahead < depth]
+            found.append(pd.DataFrame(
+                {"query_id": tile["query_id"].to_numpy()[row], "doc_ord": doc[col], "chunk_no": chunk[col], "dense": dense}
+            ))
+        return pd.concat(found)
 
     return top
 
@@ -100,8 +122,16 @@ class CellIndex:
     radii: np.ndarray
 
     @property
-    def slices(self) -> dict[int, int]:
-        return {int(c): int(-(-n // SLICE_ROWS)) for c, n in zip(self.ids, self.sizes)}
+    def bins(self) -> np.ndarray:
+        """The bin of each cell: neighbours together, about ``SLICE_ROWS`` vectors; a larger cell is its own."""
+        few = self.centres[: max(1, int(self.sizes.sum()) // SLICE_ROWS)]
+        order = np.argsort(_angles(self.centres, few).argmin(axis=1), kind="stable")
+        bins, current, held = np.empty(len(order), dtype="int32"), 0, 0
+        for cell in order:
+            if held and held + self.sizes[cell] > SLICE_ROWS:
+                current, held = current + 1, 0
+            bins[cell], held = current, held + self.sizes[cell]
+        return bins
 
 
 def build_cells(corpus: DataFrame, pivots: int | None = None) -> CellIndex | None:
@@ -128,16 +158,22 @@ def build_cells(corpus: DataFrame, pivots: int | None = None) -> CellIndex | Non
     )
 
 
+def _lookup(values: dict, key: str):
+    return F.element_at(F.create_map(*[F.lit(int(x)) for pair in values.items() for x in pair]), F.col(key))
+
+
 def _probe(index: CellIndex, visits: DataFrame, blocks: int, depth: int, per_document: int | None):
-    """Score each visit (query_id, vec, cell) against its cell and keep the best ``depth``."""
-    per_cell = F.create_map(*[F.lit(x) for pair in index.slices.items() for x in pair])
-    n_slices = F.element_at(per_cell, F.col("cell"))
+    """Score each visit (query_id, vec, bin) against its bin and keep the best ``depth``."""
+    bins = index.bins
+    slices = -(-np.bincount(bins, weights=index.sizes).astype("int64") // SLICE_ROWS)
+    n_slices = _lookup(dict(enumerate(slices)), "bin")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     right = visits.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn("block", block)
-    # A cell's vectors go to the blocks of queries that visit it, and to no others.
-    visited = visits.select("cell", block.alias("block")).distinct()
-    left = index.celled.withColumn("slice", F.pmod(F.xxhash64(*KEY), n_slices).cast("int")).join(visited, "cell")
-    groups = ["cell", "slice", "block"]
+    # A bin's vectors go to the blocks of queries that visit it, and to no others.
+    visited = visits.select("bin", block.alias("block")).distinct()
+    celled = index.celled.select(*KEY, "vec", _lookup(dict(zip(index.ids, bins)), "cell").alias("bin"))
+    left = celled.withColumn("slice", F.pmod(F.xxhash64(*KEY), n_slices).cast("int")).join(visited, "bin")
+    groups = ["bin", "slice", "block"]
     local = (
         left.groupBy(*groups)
         .cogroup(right.groupBy(*groups))
@@ -173,42 +209,46 @@ def nearest(queries: DataFrame, corpus: DataFrame | CellIndex | None, depth: int
         return queries.sparkSession.createDataFrame(
             [], "query_id string, doc_ord long, chunk_no int, dense double"
         )
-    ids, sizes, radii, centres = index.ids, index.sizes, index.radii, index.centres
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def home_cells(batches):
-        """The nearest cells of each query, just enough of them to hold ``depth`` vectors."""
+    sizes, radii, centres, bins = index.sizes, index.radii, index.centres, index.bins
+    asked, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-asked // QUERY_BLOCK), min(cores, asked // LEAST_BLOCK))
+
+    def visits(tile: pd.DataFrame, cells: np.ndarray) -> pd.DataFrame:
+        """A row for each query and bin that holds a cell marked for it."""
+        of_bin = np.zeros((len(tile), bins.max() + 1), dtype=bool)
+        row, cell = np.nonzero(cells)
+        of_bin[row, bins[cell]] = True
+        row, to = np.nonzero(of_bin)
+        return tile[["query_id", "vec"]].iloc[row].assign(bin=to.astype("int32"))
+
+    def home_bins(batches):
+        """The bins of the nearest cells of each query, just enough of them to hold ``depth`` vectors."""
         for pdf in batches:
-            if not len(pdf):
-                continue
-            order = np.argsort(_angles(unit_rows(pdf["vec"]), centres), axis=1, kind="stable")
-            needed = 1 + (np.cumsum(sizes[order], axis=1) < depth).sum(axis=1)
-            picks = [ids[row[:n]].tolist() for row, n in zip(order, needed)]
-            yield pdf.assign(cell=picks).explode("cell").astype({"cell": "int32"})
-
-    def open_cells(batches):
-        """Cells that may still hold something at least as good as the query's bound."""
+            for tile in _tiles(pdf):
+                order = np.argsort(_angles(unit_rows(tile["vec"]), centres), axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                cells = np.zeros(order.shape, dtype=bool)
+                np.put_along_axis(cells, order, before < depth, axis=1)
+                yield visits(tile, cells)
+
+    def open_bins(batches):
+        """Bins of cells that may still hold something at least as good as the query's bound."""
         for pdf in batches:
-            if not len(pdf):
-                continue
-            gap = _angles(unit_rows(pdf["vec"]), centres) - radii - ANGLE_SLACK
-            reach = np.cos(np.clip(gap, 0.0, np.pi))
-            picks = [
-                ids[np.maximum(row, 0.0) + SIM_SLACK >= bound].tolist()
-                for row, bound in zip(reach, pdf["bound"])
-            ]
-            yield pdf[["query_id", "vec"]].assign(cell=picks).explode("cell").astype({"cell": "int32"})
-
-    visit = "query_id string, vec array<float>, cell int"
+            for tile in _tiles(pdf):
+                gap = _angles(unit_rows(tile["vec"]), centres) - radii - ANGLE_SLACK
+                reach = np.maximum(np.cos(np.clip(gap, 0.0, np.pi)), 0.0)
+                yield visits(tile, reach + SIM_SLACK >= tile["bound"].to_numpy()[:, None])
+
+    visit = "query_id string, vec array<float>, bin int"
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vec")
-    first = _probe(index, queries.mapInPandas(home_cells, visit), blocks, depth, per_document)
+    first = _probe(index, queries.mapInPandas(home_bins, visit), blocks, depth, per_document)
     bounds = first.groupBy("query_id").agg(
         F.when(F.count("*") >= depth, F.min("dense")).otherwise(F.lit(0.0)).alias("bound")
     )
     bounded = queries.join(bounds, "query_id", "left").select(
         "query_id", "vec", F.coalesce("bound", F.lit(0.0)).alias("bound")
     )
-    return _probe(index, bounded.mapInPandas(open_cells, visit), blocks, depth, per_document)
+    return _probe(index, bounded.mapInPandas(open_bins, visit), blocks, depth, per_document)
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -160,6 +160,23 @@ def test_dense_matches_brute_force_with_a_hot_cell(spark, monkeypatch):
         assert sorted(got[f"q{i}"].values(), reverse=True) == pytest.approx(best, abs=1e-5)
 
 
+def test_vectors_travel_once_for_each_bin_not_for_each_cell(spark, monkeypatch):
+    v = np.random.default_rng(4).normal(size=(200, 32))  # no cell can be skipped
+    rows = [(i, 0, [float(x) for x in r]) for i, r in enumerate(v)]
+    corpus = spark.createDataFrame(rows, "doc_ord long, chunk_no int, vec array<float>")
+    queries = corpus.select(F.col("doc_ord").cast("string").alias("query_id"), "vec")
+    probe, visited = dn._probe, []
+
+    def counted(index, visits, *rest):
+        visited.append(visits.groupBy("query_id").count().agg(F.max("count")).first()[0])
+        return probe(index, visits, *rest)
+
+    monkeypatch.setattr(dn, "SLICE_ROWS", 100)
+    monkeypatch.setattr(dn, "_probe", counted)
+    assert dn.nearest(queries, corpus, 5, pivots=40).count() == 200 * 5
+    assert max(visited) <= 4
+
+
 def test_queries_that_are_copies_of_corpus_vectors(spark):
     v = _vectors(8, 60, 64)
     rows = [(i, 0, [float(x) for x in v[i]]) for i in range(60)]

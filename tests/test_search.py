@@ -121,6 +121,24 @@ def test_scores_agree_with_brute_force(spark, data, depth, monkeypatch):
             assert all(v == pytest.approx(full[c], abs=1e-9) for c, v in got.get(q, {}).items())
 
 
+def test_copies_stay_in_their_block(spark, data, monkeypatch):
+    rows, queries, _, asked = data
+    monkeypatch.setattr(lex, "POSTINGS_PER_BLOCK", 700)
+    monkeypatch.setattr(lex, "QUERIES_PER_BLOCK", 5)
+    text = next(r[7] for r in rows if r[1] == 3)
+    rows = rows + [(f"{d}#0", d, 0, str(d), "title3", None, "", text) for d in range(200, 600)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    terms = cut_lineage(lex.query_terms(asked))
+    index = lex.build_index(chunks, terms)
+    blocks = -(-index.postings.count() // 700)
+    left = lex.bm25_scores(terms, index, depth=5, per_document=2).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert left <= blocks * 5 * 2 < 400
+    got = _got(se.search_lexical(asked, chunks, floor=0.18))
+    for q, text in queries:
+        scores = {c: s / (s + 16.0) if s > 0 else 0.0 for c, s in _bm25(rows, text).items()}
+        assert got.get(q, []) == (_rank(scores, 0.18) if text.strip() else []), q
+
+
 def test_hot_term_is_salted(spark, data, monkeypatch):
     _, _, chunks, asked = data
     terms = cut_lineage(lex.query_terms(asked))

@@ -165,3 +165,13 @@ def test_samples_are_reproducible_and_mergeable(spark):
         strata.setdefault(by, []).append(k)
     got = {(r.by, r.k) for r in ca.stratified_sample(frame, "k", "by", 20).collect()}
     assert got == {(by, k) for by, ks in strata.items() for k in ks[:20]}
+
+
+def test_unread_ticket_columns_are_not_shuffled(spark):
+    rows = [("a", 1, "x", "old"), ("a", 2, None, "new"), ("b", 3, "y", "only")]
+    tickets = spark.createDataFrame(rows, "ticket_id string, position long, region string, body string").cache()
+    assert sorted(m.last_by_id(tickets).select("ticket_id", "region", "body").collect()) == [
+        ("a", None, "new"), ("b", "y", "only")
+    ]
+    plan = m.last_by_id(tickets).select("ticket_id", "region")._jdf.queryExecution().optimizedPlan()
+    assert "max_by(body" not in plan.toString() and "struct(" not in plan.toString()

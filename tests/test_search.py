@@ -139,6 +139,19 @@ def test_copies_stay_in_their_block(spark, data, monkeypatch):
         assert got.get(q, []) == (_rank(scores, 0.18) if text.strip() else []), q
 
 
+def test_vocabulary_counts_terms_and_chunks(data):
+    rows, _, chunks, _ = data
+    want = {}
+    for r in rows:
+        toks = _tokens(f"{r[4]}\n{r[7]}")
+        for t in set(toks):
+            df, n = want.get(t, (0, 0))
+            want[t] = (df + 1, n + toks.count(t))
+    table, n_chunks = lex.vocabulary(chunks)
+    assert n_chunks == len(rows)
+    assert {r.term: (r.df, r.occurrences) for r in table.collect()} == want
+
+
 def test_hot_term_is_salted(spark, data, monkeypatch):
     _, _, chunks, asked = data
     terms = cut_lineage(lex.query_terms(asked))

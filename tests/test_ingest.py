@@ -144,3 +144,28 @@ def test_stream_source_uses_the_same_normaliser(spark, tmp_path):
 
 def test_chunk_settings_defaults():
     assert (SearchSettings().chunk_chars, SearchSettings().chunk_overlap) == (900, 150)
+
+
+def test_strip_trims_what_the_pattern_of_spaces_names(spark):
+    from deskloom.functions.text import SPACE, strip
+
+    odd = [chr(c) for c in range(0x3100) if c not in range(0xD800, 0xE000)]
+    frame = spark.createDataFrame([(f"{c}{c}x {c} y{c}\n{c}",) for c in odd] + [("",), (" \n",)], "t string")
+    pattern = F.regexp_replace("t", rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    assert frame.filter(strip(F.col("t")) != pattern).count() == 0
+
+
+def test_text_without_a_heading_skips_its_lines(spark):
+    from deskloom.operators.chunking import COLON_LINE, HASH_LINE, _is_heading, split_sections
+    from deskloom.functions.text import LINE_BREAK
+
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x85", " "]
+    texts = [f"one: two{b}{line}{b}three" for b in breaks for line in ("# Head", " 　## x", "a # b", "Name here:", "Name here:  ", "x:y", "#none")]
+    frame = spark.createDataFrame([(t,) for t in texts + ["Only this:", "# a", "#", ":", ""]], "t string")
+    lines = F.split("t", LINE_BREAK, -1)
+    has = F.exists(lines, _is_heading)
+    seen = F.col("t").rlike(HASH_LINE) | F.col("t").rlike(COLON_LINE)
+    assert frame.filter(has & ~seen).count() == 0
+    got = {r.t: r.s for r in frame.select("t", split_sections(F.col("t")).alias("s")).collect()}
+    assert [tuple(s) for s in got["one: two\r\na # b\r\nthree"]] == [("", "one: two\na # b\nthree")]
+    assert [tuple(s) for s in got["one: two Name here: three"]] == [("", "one: two"), ("Name here", "three")]

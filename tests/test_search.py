@@ -246,3 +246,31 @@ def test_hybrid_matches_brute_force(spark, data):
             both[c] = s.dense_weight * d + (1 - s.dense_weight) * lexical[c]
         want = [both[c] for c in _rank(both, s.min_score)]
         assert [x for _, x in sorted(got.get(q, []))] == pytest.approx(want, abs=1e-5)
+
+
+def test_index_is_one_row_a_chunk_in_files_with_the_tokens_of_tokenise(spark):
+    texts = ["Kelvin İstanbul kelvin a.b/c", "the of and", "", "  ÄB-c d_e ΣΣ 9", "x " * 300]
+    rows = [(f"{i}#0", i, 0, str(i), None if i == 4 else f"Title {i}", None, "Part" if i % 2 else "", t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    index = lex.build_index(chunks)
+    assert index.counted.inputFiles() and index.n_chunks == len(rows)
+    indexed = lex.indexed_text(F.col("title"), F.col("section"), F.col("text"))
+    want = {r.doc_ord: r.t for r in chunks.select("doc_ord", lex.tokenise(indexed).alias("t")).collect()}
+    got = {r.doc_ord: r for r in index.counted.collect()}
+    for i, tokens in want.items():
+        row = got.get(i)
+        assert (dict(zip(row.terms, row.tfs)) if row else {}) == {t: tokens.count(t) for t in tokens}
+        assert row is None or row.dl == len(tokens)
+    assert index.avgdl == pytest.approx(sum(map(len, want.values())) / len(rows))
+    words = spark.createDataFrame([("kelvin",), ("title",)], "term string")
+    cut = lex.build_index(chunks, words)
+    assert (cut.n_chunks, cut.avgdl) == (index.n_chunks, index.avgdl)
+    assert {r.term for r in cut.postings.collect()} == {"kelvin", "title"}
+
+
+def test_found_articles_are_broadcast_not_shuffled(spark, data):
+    rows, _, _, _ = data
+    articles = spark.createDataFrame([(r[1], r[3], r[4], None, r[7]) for r in rows], "doc_ord long, doc_id string, title string, url string, content string")
+    ranked = spark.createDataFrame([("q", 1, 3, 0, 0.5, 0.5)], "query_id string, rank int, doc_ord long, chunk_no int, score double, lexical double")
+    plan = se.with_passages_from(ranked, articles)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan.split("BroadcastHashJoin", 1)[1]

@@ -274,3 +274,15 @@ def test_found_articles_are_broadcast_not_shuffled(spark, data):
     ranked = spark.createDataFrame([("q", 1, 3, 0, 0.5, 0.5)], "query_id string, rank int, doc_ord long, chunk_no int, score double, lexical double")
     plan = se.with_passages_from(ranked, articles)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan.split("BroadcastHashJoin", 1)[1]
+
+
+def test_hybrid_query_cuts_texts_once_for_its_vectors(spark, monkeypatch):
+    from catalog import search as cs
+
+    seen = []
+    monkeypatch.setattr(cs.se, "search_hybrid", lambda *a, **k: seen.append(a[3]) or se.take_ranked(
+        spark.createDataFrame([("q", 1, 0, 0.5, 0.5, 0.5)], "query_id string, doc_ord long, chunk_no int, score double, dense double, lexical double"),
+        SearchSettings()))
+    cs.search_hybrid(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and seen[0].count() > 0

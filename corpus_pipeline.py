@@ -17,6 +17,8 @@ from deskloom.session import ship_package
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A document stays when its language is found with at least this score.
 MIN_SCORE = 0.3
+#: Characters of chunks that a worker of the last stage keeps; it also holds what the stages before left.
+KNOWN_CHARS = 8_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the documents in pieces."""
     ship_package(spark)
-    return pieces.encoding_digests(docs, tokenizer_file("piece_bpe_32k.model"))
+    return pieces.encoding_digests(docs, tokenizer_file("piece_bpe_32k.model"), known_chars=KNOWN_CHARS)
 
 
 STAGES = [

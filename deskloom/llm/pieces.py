@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deskloom.llm.chunks import ChunkEncoder
+from deskloom.llm.chunks import KNOWN_CHARS, ChunkEncoder
 from deskloom.llm.common import pick, text_slices
 
 SPACE = "▁"
@@ -254,9 +254,10 @@ def encode(texts: list[str], model_file: str) -> list[list[int]]:
     return [np.frombuffer(ids, "<u4").tolist() + [own.end] for ids in encoder(texts)]
 
 
-def _digest(model_file: str):
+def _digest(model_file: str, known_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = model(model_file)
+        own, encoder = model(model_file)
+        encoder.limit = known_chars
         for batch in batches:
             for a, b in text_slices(batch, "text", 1 << 21):
                 texts = ["" if t is None else t for t in batch.column("text")[a:b].to_pylist()]
@@ -300,6 +301,11 @@ def encode_documents(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id"
     return own.mapInArrow(_columns(model_file), "doc_id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, without sending ids or texts back to Spark."""
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_digest(model_file), SCHEMA)
+def encoding_digests(
+    docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text", known_chars: int = KNOWN_CHARS
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, without sending ids or texts back to Spark.
+
+    A worker keeps about ``known_chars`` characters of known chunks; fewer cost time and no result.
+    """
+    return pick(docs, doc_id=doc_id, text=text).mapInArrow(_digest(model_file, known_chars), SCHEMA)

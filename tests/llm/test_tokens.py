@@ -129,3 +129,15 @@ def test_words_encoded_together_and_forgotten_tables():
     chunks.forget()
     assert encode.held == 0 and not encode.later
     assert encode(texts) == want
+
+
+def test_digests_do_not_depend_on_the_chunks_that_are_kept(spark):
+    from deskloom.llm import pieces
+    from deskloom.llm.queries import tokenizer_file
+
+    docs = spark.createDataFrame([(i, f"word{i} and more words {i * 7} again") for i in range(50)], "doc_id long, text string")
+    few, many = (
+        {tuple(r) for r in pieces.encoding_digests(docs, tokenizer_file("piece_bpe_32k.model"), **kept).collect()}
+        for kept in ({"known_chars": 50}, {})
+    )
+    assert few == many and len(few) == 50

@@ -2,8 +2,10 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,35 @@ def test_scores_agree_with_brute_force(spark, data, depth, monkeypatch):
             assert all(v == pytest.approx(full[c], abs=1e-9) for c, v in got.get(q, {}).items())
 
 
+@pytest.mark.parametrize("coded, space", [(7, 1 << 20), (7, 15 * 8), (1 << 16, 1 << 20)])
+def test_chunks_travel_packed(spark, data, monkeypatch, coded, space):
+    rows, queries, _, asked = data
+    rows = rows + [(f"{d}#0", d, 0, str(d), "many", None, "", "hot " * 300 + f"w{d % 60}") for d in range(100, 103)]
+    monkeypatch.setattr(lex, "CODED_TERMS", coded)
+    monkeypatch.setattr(lex, "VOCABULARY_BYTES", space)
+    terms = cut_lineage(lex.query_terms(asked))
+    index = lex.build_index(spark.createDataFrame(rows, CHUNK), terms)
+    frame = lex.bm25_scores(terms, index, depth=None)
+    got = {(r.query_id, r.doc_ord, r.chunk_no): r.bm25 for r in frame.collect()}
+    want = {(q, *c): s for q, text in queries for c, s in _bm25(rows, text).items() if s > 0}
+    assert got == pytest.approx(want, abs=1e-9)
+    codes = lex._codes(terms.select(F.xxhash64("term").alias("id"), F.lit(1).alias("df")).distinct())
+    assert codes.whole == (space > 1 << 10) and len(codes.hashes) == min(space // 8, terms.select("term").distinct().count())
+    batch = pa.RecordBatch.from_pydict({
+        "chunk_block": pa.array([1, 0, 1], pa.int32()), "doc_ord": pa.array([5, 6, 7], pa.int64()),
+        "chunk_no": pa.array([0, 1, 2], pa.int32()), "dl": pa.array([2, 1, 400], pa.int64()),
+        "ids": pa.array([[codes.hashes[0], 99], [codes.hashes[1]], [codes.hashes[2]]], pa.list_(pa.int64())),
+        "tfs": pa.array([[1, 1], [1], [400]], pa.list_(pa.int32())),
+    })
+    # One row a block, and terms that nobody asks for only where not all asked ones are known.
+    packed = pa.Table.from_batches(lex._pack(SimpleNamespace(value=codes))(iter([batch])))
+    assert packed["chunk_block"].to_pylist() == [0, 1]
+    doc, no, dl, owner, ids, tf = lex._unpacked(packed, codes)
+    postings = {(int(doc[o]), int(no[o]), int(dl[o]), int(i), int(f)) for o, i, f in zip(owner, ids, tf, strict=True)}
+    a, b, c = (int(h) for h in codes.hashes[:3])
+    assert postings == {(5, 0, 2, a, 1), (6, 1, 1, b, 1), (7, 2, 400, c, 400)} | (set() if codes.whole else {(5, 0, 2, 99, 1)})
+
+
 def test_copies_stay_in_their_block(spark, data, monkeypatch):
     rows, queries, _, asked = data
     monkeypatch.setattr(lex, "POSTINGS_PER_BLOCK", 700)

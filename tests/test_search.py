@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom import lexicon as lx
+from deskloom.operators import chunking as ch
 from deskloom.operators import dense as dn
 from deskloom.operators import lexical as lex
 from deskloom.operators import search as se
@@ -317,3 +318,22 @@ def test_hybrid_query_cuts_texts_once_for_its_vectors(spark, monkeypatch):
     cs.search_hybrid(spark, "/root/testdata/sf0.001")
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and seen[0].count() > 0
+
+
+def test_terms_are_counted_as_the_tokens_are_found(spark):
+    texts = ["The Kelvin K9 a/b.c-d_e a/b.c-d_e", "İx été of WORD word", "", "漢abc字"]
+    rows = [(f"{i}#0", i, 0, str(i), "t", None, "", t) for i, t in enumerate(texts)]
+    for keep in (None, frozenset(["word", "k9"])):
+        counted = lex.counted_chunks(spark.createDataFrame(rows, CHUNK), keep)
+        assert counted.schema["terms"].dataType.elementType.typeName() == "string"
+        for r in counted.collect():
+            tokens = _tokens(f"t\n{texts[r.doc_ord]}")
+            want = {t: tokens.count(t) for t in tokens if keep is None or t in keep}
+            assert (r.dl, dict(zip(r.terms, r.tfs, strict=True))) == (len(tokens), want)
+
+
+def test_every_line_break_cuts_and_line_feeds_alone_cost_no_regex(spark):
+    text = "one\r\ntwo\rthree\x0bfour\x0cfive\x1csix\x1dseven\x1eeight\x85nine ten eleven\ntwelve"
+    rows = [(text,), ("one\ntwo",), (None,)]
+    found = spark.createDataFrame(rows, "content string").select(ch.split_sections(F.col("content")).alias("s")).collect()
+    assert [[s.body for s in r.s] for r in found] == [["\n".join("one two three four five six seven eight nine ten eleven twelve".split())], ["one\ntwo"], []]

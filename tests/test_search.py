@@ -308,6 +308,28 @@ def test_found_articles_are_broadcast_not_shuffled(spark, data):
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan.split("BroadcastHashJoin", 1)[1]
 
 
+def test_only_ranked_chunks_are_shuffled(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"{'word ' * 30}{i}." for i in range(60))
+        articles = spark.createDataFrame([(d, str(d), "t", None, text) for d in range(30)], "doc_ord long, doc_id string, title string, url string, content string")
+        whole = {(c.doc_ord, c.chunk_no): c.text for c in ch.chunk_documents(articles).collect()}
+        keys = [(q, d, n) for q in ("a", "b") for d in (0, 3, 7) for n in (1, 4)] + [("a", 5, 0), ("c", 5, 0)]
+        rows = [(q, i, d, n, 0.5, 0.5) for i, (q, d, n) in enumerate(keys)]
+        ranked = spark.createDataFrame(rows, "query_id string, rank int, doc_ord long, chunk_no int, score double, lexical double")
+        for most in (100, 3):  # broadcast, and shuffled
+            monkeypatch.setattr(se, "BROADCAST_DOCUMENTS", most, raising=False)
+            found = se.with_passages_from(ranked, articles)
+            got = {(r.query_id, r.doc_ord, r.chunk_no, r.text) for r in found.collect()}
+            assert got == {(q, d, n, whole[d, n]) for q, d, n in keys} and found.count() == len(keys)
+            # A chunk meets its document's ranked numbers before it moves.
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            cut = plan[: plan.index("Generate")]
+            assert "LeftSemi" in cut and "array_contains" in cut
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_hybrid_query_cuts_texts_once_for_its_vectors(spark, monkeypatch):
     from catalog import search as cs
 

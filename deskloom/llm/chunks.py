@@ -8,8 +8,11 @@ thinned to its short chunks, which are the frequent ones, when it holds ``limit`
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 
@@ -22,22 +25,31 @@ SHORT = 7
 _encoders: weakref.WeakSet[ChunkEncoder] = weakref.WeakSet()
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker freed: the C library keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def forget() -> None:
     """Empty the tables of this Python worker's encoders: tasks of another stage need the memory."""
     for encoder in _encoders:
         encoder.first, encoder.later, encoder.held = {}, {}, 0
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class ChunkEncoder:
     """``encode_new(chunks, first, known)`` gives one value for each chunk, or None where the chunk
     does not stand for itself; a text with such a chunk goes to ``encode_whole``. ``first`` tells
     that the chunks start their text, so that no space comes before them; ``known`` has the values
-    of such chunks so far and may be added to."""
+    of such chunks so far and may be added to. One that has put all values there gives None at all."""
 
     def __init__(
         self,
-        encode_new: Callable[[list[str], bool, dict], list[bytes | None]],
+        encode_new: Callable[[list[str], bool, dict], list[bytes | None] | None],
         encode_whole: Callable[[str], bytes],
         glue: bytes = b"",
         limit: int = KNOWN_CHARS,
@@ -49,10 +61,12 @@ class ChunkEncoder:
         self.held = 0
         _encoders.add(self)
 
-    def _learn(self, known: dict, chunks: set[str], first: bool) -> None:
-        new = list(chunks - known.keys())
+    def _learn(self, known: dict, chunks: Iterable[str], first: bool) -> None:
+        new = list(set(filterfalse(known.__contains__, chunks)))
         if new:
-            known.update(zip(new, self.encode_new(new, first, known), strict=True))
+            values = self.encode_new(new, first, known)
+            if values is not None:
+                known.update(zip(new, values, strict=True))
             self.held += sum(map(len, new)) + 8 * len(new)
 
     def _thin(self) -> None:
@@ -65,12 +79,22 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The value of each text; texts of some MB at a time, as the caller slices them."""
+        # Millions of strings in lists, none in a cycle: the collector would go through them again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._values(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _values(self, texts: list[str]) -> list[bytes]:
         if self.held > self.limit:
             self._thin()
         split = [t.split(" ") for t in texts]
         starts = [parts.pop(0) for parts in split]
-        self._learn(self.first, set(starts), True)
-        self._learn(self.later, set().union(*split), False)
+        self._learn(self.first, starts, True)
+        self._learn(self.later, chain.from_iterable(split), False)
         out = []
         first, later, join = self.first, self.later, self.glue.join
         for text, start, parts in zip(texts, starts, split, strict=True):

@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -185,8 +186,10 @@ def encoder(tokenizer_file: str, end_id: int) -> ChunkEncoder:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def library(strings: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            found = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
+            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            return [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
         # Single words need no further cutting: they are spelled in the letters that stand for bytes
         # and go to the merges together, parted by the letter of the line break, which no word has.
@@ -210,36 +213,32 @@ def encoder(tokenizer_file: str, end_id: int) -> ChunkEncoder:
 
         tails: dict[str, bytes] = {}
 
-        def encode_new(chunks: list[str], first: bool, known: dict) -> list[bytes | None]:
+        def encode_new(chunks: list[str], first: bool, known: dict) -> None:
             # The pre-tokenizer always cuts between letters and the marks after them.
-            cores, bare, whole = [], [], []
-            for chunk in chunks:
+            bare = dict.fromkeys(filter(str.isalpha, chunks))
+            split, whole = [], []
+            for chunk in filterfalse(str.isalpha, chunks):
                 core = chunk.rstrip(MARKS)
-                split = core != chunk and core.isalpha()
-                cores.append(core if split else None)
-                if split:
+                if core.isalpha():
+                    split.append((chunk, core))
                     if core not in known:
-                        bare.append(core)
-                    if (tail := chunk[len(core) :]) not in tails:
-                        if len(tails) > 10_000:
-                            tails.clear()
-                        tails[tail] = library([tail])[0]
-                elif chunk.isalpha():
-                    bare.append(chunk)
+                        bare[core] = None
                 else:
                     whole.append(chunk)
-            bare = list(dict.fromkeys(bare))
-            known.update(zip(bare, encode_words(bare if first else [f" {c}" for c in bare]), strict=True))
+            known.update(zip(bare, encode_words(list(bare) if first else [f" {c}" for c in bare]), strict=True))
             value = dict(zip(whole, library(whole if first else [f" {c}" for c in whole]), strict=True))
             for chunk in value:
                 # A chunk that borders on white space shares it with its neighbour.
                 if (not chunk and not first) or chunk[:1].isspace() or chunk[-1:].isspace():
                     value[chunk] = None
             known.update(value)
-            return [
-                known[chunk] if core is None else known[core] + (tails.get(t := chunk[len(core) :]) or library([t])[0])
-                for chunk, core in zip(chunks, cores, strict=True)
-            ]
+            for chunk, core in split:
+                tail = chunk[len(core) :]
+                if (marks := tails.get(tail)) is None:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    marks = tails[tail] = library([tail])[0]
+                known[chunk] = known[core] + marks
 
         def encode_whole(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,4 +1,8 @@
+import gc
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -6,7 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from deskloom.llm import pieces, token_ids
+from deskloom.llm import chunks, pieces, token_ids
 from llm.conftest import ODD
 
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -141,3 +145,35 @@ def test_digests_do_not_depend_on_the_chunks_that_are_kept(spark):
         for kept in ({"known_chars": 50}, {})
     )
     assert few == many and len(few) == 50
+
+
+def test_forgotten_memory_goes_back_to_the_system():
+    # Freed blocks below one that is in use stay with the process unless they are given back.
+    code = """
+import numpy
+from deskloom.llm import chunks
+def own():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1e3
+held = [bytes(4000) for _ in range(25_000)]
+last = held[-1]
+del held
+before = own()
+chunks.forget()
+print(before - own())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(said.stdout) > 50
+
+
+def test_the_collector_rests_while_texts_are_encoded():
+    rested = []
+
+    def encode_new(chunks, first, known):
+        rested.append(gc.isenabled())
+        return [c.encode() for c in chunks]
+
+    encoder = chunks.ChunkEncoder(encode_new, str.encode)
+    assert encoder(["a b", "b c"]) == [b"ab", b"bc"] and rested == [False, False] and gc.isenabled()
+    with pytest.raises(ZeroDivisionError):
+        chunks.ChunkEncoder(lambda *a: 1 / 0, str.encode)(["a"])
+    assert gc.isenabled()

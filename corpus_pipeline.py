@@ -18,7 +18,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A document stays when its language is found with at least this score.
 MIN_SCORE = 0.3
 #: Characters of chunks that a worker of the last stage keeps; it also holds what the stages before left.
-KNOWN_CHARS = 8_000_000
+KNOWN_CHARS = 2_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deskloom.llm.chunks import KNOWN_CHARS, ChunkEncoder
+from deskloom.llm.chunks import KNOWN_CHARS, ChunkEncoder, give_back
 from deskloom.llm.common import pick, text_slices
 
 SPACE = "▁"
@@ -256,6 +256,7 @@ def encode(texts: list[str], model_file: str) -> list[list[int]]:
 
 def _digest(model_file: str, known_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own, encoder = model(model_file)
         encoder.limit = known_chars
         for batch in batches:

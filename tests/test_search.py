@@ -171,6 +171,33 @@ def test_copies_stay_in_their_block(spark, data, monkeypatch):
         assert got.get(q, []) == (_rank(scores, 0.18) if text.strip() else []), q
 
 
+def test_what_blocks_return_does_not_grow_with_their_number(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"{d}#0", d, 0, str(d), "t", None, "", " ".join(rng.choices(WORDS, k=rng.randint(4, 20)))) for d in range(2000)]
+    queries = [(f"q{i}", " ".join(rng.choices(WORDS, k=6))) for i in range(4)]
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    monkeypatch.setattr(lex, "POSTINGS_PER_BLOCK", 100)
+    monkeypatch.setattr(lex, "PAIRS_PER_ROUND", 15)
+    terms = cut_lineage(lex.query_terms(asked))
+    index = lex.build_index(spark.createDataFrame(rows, CHUNK), terms)
+    blocks = -(-index.postings.count() // 100)
+    assert blocks > 60
+    waves = lex._waves(blocks, 8)
+    assert [a for a, _ in waves[1:]] == [b for _, b in waves[:-1]] and waves[-1][1] == blocks and len(waves) < 5
+    frame = lex.bm25_scores(terms, index, depth=5, per_document=2)
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.query_id, {})[(r.doc_ord, r.chunk_no)] = r.bm25
+    for q, text in queries:
+        full = {c: s for c, s in _bm25(rows, text).items() if s > 0}
+        for c in sorted(full, key=lambda c: (-round(full[c], 9), c))[:5]:
+            assert got[q][c] == pytest.approx(full[c], abs=1e-9)
+        # Each block has five or more; those of the first wave bound the others.
+        assert len(got[q]) < 2.5 * blocks
+    # Copies of queries or chunks for one another's blocks are not shuffled.
+    assert "CoGroups" not in frame._jdf.queryExecution().toString()
+
+
 def test_vocabulary_counts_terms_and_chunks(data):
     rows, _, chunks, _ = data
     want = {}
